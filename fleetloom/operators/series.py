@@ -103,7 +103,7 @@ def cpu_utilization(samples: DataFrame, as_of: AsOf, days: int = 45) -> DataFram
     recent = samples.where(F.col("event_time") >= times.days_before(as_of, days))
 
     def whole_mean(name: str) -> Column:
-        return F.floor(F.sum(name) / F.count(name)).cast("int")
+        return F.expr(f"sum(`{name}`) div count(`{name}`)").cast("int")
 
     return (
         recent.groupBy(
