@@ -1,4 +1,4 @@
 """Registered queries: the operators run over the snapshot tables, each with a SQL twin."""
 
-from fleetloom.plans import ingest, reports, series, views  # noqa: F401
+from fleetloom.plans import indexes, ingest, reports, series, views  # noqa: F401
 from fleetloom.plans.registry import ORACLES, QUERIES  # noqa: F401
