@@ -77,3 +77,16 @@ def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
         "length",
         "modified_on",
     )
+
+
+def read_trace_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events of exported XML trace files, one row each; large files are read in splits."""
+    from fleetloom.operators.xmlevents import TRACE_EVENT
+
+    return (
+        spark.read.format("xml")
+        .option("rowTag", "Event")
+        .option("ignoreNamespace", "true")
+        .schema(TRACE_EVENT)
+        .load(path)
+    )
