@@ -23,7 +23,9 @@ COUNTER_SERIES = ["instance_fullname", "object_name", "counter_name", "instance_
 SIZE_SERIES = ["instancefullname", "databasename", "usagetype", "allocationtype", "filegroupname"]
 
 
-def _counter_steps(samples: DataFrame, keys: Sequence[str], time_col: str, value_col: str) -> DataFrame:
+def _counter_steps(
+    samples: DataFrame, keys: Sequence[str], time_col: str, value_col: str, spread: str = "hour"
+) -> DataFrame:
     """Change of the counter and seconds since the previous sample of the same series."""
     return (
         with_previous(
@@ -31,7 +33,7 @@ def _counter_steps(samples: DataFrame, keys: Sequence[str], time_col: str, value
             keys,
             [time_col, value_col],
             {"_last_time": time_col, "_last_value": value_col},
-            bucket=F.date_trunc("hour", F.col(time_col)),
+            bucket=F.date_trunc(spread, F.col(time_col)),
         )
         .withColumns(
             {
@@ -59,11 +61,16 @@ def counter_rates(
     time_col: str = "sample_time",
     value_col: str = "cntr_value",
     object_suffix: str | None = STATISTICS_OBJECT,
+    spread: str = "hour",
 ) -> DataFrame:
-    """Per-second rate of every sample of the cumulative counters, as ``counter_value``."""
+    """Per-second rate of every sample of the cumulative counters, as ``counter_value``.
+
+    A series is worked on in pieces of the time unit ``spread``; choose a shorter one for samples
+    taken more often than every second.
+    """
     if object_suffix is not None:
         samples = samples.where(F.endswith("object_name", F.lit(object_suffix)))
-    steps = _counter_steps(samples.select(*keys, time_col, value_col), keys, time_col, value_col)
+    steps = _counter_steps(samples.select(*keys, time_col, value_col), keys, time_col, value_col, spread)
     return steps.select(*keys, time_col, rate_of(F.col("_step"), F.col("_secs")).alias("counter_value"))
 
 
@@ -202,6 +209,7 @@ def error_log_context(
     end: AsOf,
     partition_by: Sequence[str] = ("instance_fullname",),
     exclude_prefix: str = BOILERPLATE_MESSAGE,
+    spread: str = "hour",
 ) -> DataFrame:
     """Messages of a time range, each beside the message before it in the same server's log.
 
@@ -212,7 +220,7 @@ def error_log_context(
         & ~F.startswith("text", F.lit(exclude_prefix))
     )
     return with_previous(
-        lines, partition_by, ["date", "line_no", "text"], {"_before": "text"}, bucket=F.date_trunc("hour", F.col("date"))
+        lines, partition_by, ["date", "line_no", "text"], {"_before": "text"}, bucket=F.date_trunc(spread, F.col("date"))
     ).select(
         *partition_by,
         "date",

@@ -87,7 +87,7 @@ def stream_insert_new(tables: Tables) -> DataFrame:
         date_col="sample_date",
     )
     streams.start_batches(rows, job, f"{work}/checkpoint").awaitTermination()
-    return job.log.appended()
+    return job.log.rows()
 
 
 @query(

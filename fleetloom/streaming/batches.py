@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetloom.sources import files
+
 
 class BatchTable:
     """Folders ``<root>/batch=<id>`` of Parquet files.
@@ -18,24 +20,14 @@ class BatchTable:
     def folder(self, batch: int) -> str:
         return f"{self.root}/batch={batch}"
 
-    def _path(self, path: str):
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
-
     def batches(self) -> list[int]:
         """Batches completely written (their commit marker is there)."""
-        fs, root = self._path(self.root)
-        if not fs.exists(root):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(root)]
+        names = files.folder_names(self.spark, self.root)
         ids = [int(name.split("=", 1)[1]) for name in names if name.startswith("batch=")]
-        return sorted(i for i in ids if fs.exists(self._path(f"{self.folder(i)}/_SUCCESS")[1]))
+        return sorted(i for i in ids if files.exists(self.spark, f"{self.folder(i)}/_SUCCESS"))
 
-    def write(self, df: DataFrame, batch: int, partition_by: str | None = None) -> None:
-        writer = df.write.mode("overwrite")
-        if partition_by is not None:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(self.folder(batch))
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(self.folder(batch))
 
     def version(self, batch: int) -> DataFrame | None:
         """What one batch wrote, for tables every batch writes anew; None before the first."""
@@ -47,20 +39,14 @@ class BatchTable:
         done = self.batches()
         return self.version(done[-1]) if done else self.spark.createDataFrame([], self.schema)
 
-    def appended(self, before: int | None = None) -> DataFrame | None:
-        """All rows of the batches before one, for tables every batch adds to; None when there are none."""
-        done = [b for b in self.batches() if before is None or b < before]
+    def appended(self) -> DataFrame:
+        """All rows, for tables every batch adds to."""
+        done = self.batches()
         if not done:
-            return None
-        return (
-            self.spark.read.schema(self.schema)
-            .option("basePath", self.root)
-            .parquet(*[self.folder(b) for b in done])
-            .drop("batch")
-        )
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[self.folder(b) for b in done])
 
     def forget(self, batch: int) -> None:
         """Remove the version of an old batch, no longer needed by any retry."""
         if batch >= 0:
-            fs, path = self._path(self.folder(batch))
-            fs.delete(path, True)
+            files.remove(self.spark, self.folder(batch))

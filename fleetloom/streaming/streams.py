@@ -8,7 +8,7 @@ one much repeated row does not end up in a single state task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetloom.operators.ingest import dedupe, new_rows, upsert_latest
 from fleetloom.operators.series import COUNTER_SERIES, counter_rates
+from fleetloom.sources.logs import DatedLog
 from fleetloom.streaming.batches import BatchTable
 
 
@@ -79,41 +80,39 @@ class CounterRates:
     """
 
     def __init__(self, spark: SparkSession, root: str, delay: timedelta = timedelta(minutes=10)):
-        self.delay = delay
+        self.delay = delay // timedelta(microseconds=1)
         self.rates = BatchTable(spark, f"{root}/rates", RATE)
         self.last = BatchTable(spark, f"{root}/last", SAMPLE)
         self.waiting = BatchTable(spark, f"{root}/waiting", SAMPLE)
-        self.reached = BatchTable(spark, f"{root}/reached", "newest TIMESTAMP")
+        # Time of the newest sample seen so far, in microseconds since the epoch.
+        self.reached = BatchTable(spark, f"{root}/reached", "newest BIGINT")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        time = F.unix_micros("sample_time")
         samples = batch.select(*COUNTER_SERIES, "sample_time", "cntr_value")
         last, waiting, reached = (t.version(batch_id - 1) for t in (self.last, self.waiting, self.reached))
         before = reached.first()[0] if reached is not None else None
-        newest = _later(before, samples.agg(F.max("sample_time")).first()[0])
-        if newest is None:
-            limit = F.lit(False)
-        else:
-            limit = F.col("sample_time") <= F.lit(newest - self.delay)
-        if before is not None:
-            samples = samples.where(F.col("sample_time") > F.lit(before - self.delay))
+        newest = _later(before, samples.agg(F.max(time)).first()[0])
+        ready = F.lit(False) if newest is None else time <= newest - self.delay
+        # What was ready before this batch has been rated: samples of that time come too late, and
+        # the last ones only give their series its past.
+        is_new = F.lit(True) if before is None else time > before - self.delay
+        samples = samples.where(is_new)
         if waiting is not None:
             samples = samples.unionByName(waiting)
-        ready = samples.where(limit)
-        series = ready if last is None else ready.unionByName(last)
-        rated = counter_rates(series, object_suffix=None)
-        if before is not None:
-            # The samples that only give the series their past were rated before.
-            rated = rated.where(F.col("sample_time") > F.lit(before - self.delay))
-        self.rates.write(rated, batch_id)
+        series = samples.where(ready)
+        if last is not None:
+            series = series.unionByName(last)
+        self.rates.write(counter_rates(series, object_suffix=None).where(is_new), batch_id)
         newest_of = series.groupBy(*COUNTER_SERIES).agg(F.max(F.struct("sample_time", "cntr_value")).alias("_last"))
         self.last.write(newest_of.select(*COUNTER_SERIES, "_last.*"), batch_id)
-        self.waiting.write(samples.where(~limit), batch_id)
-        self.reached.write(batch.sparkSession.createDataFrame([(newest,)], "newest TIMESTAMP"), batch_id)
+        self.waiting.write(samples.where(~ready), batch_id)
+        self.reached.write(batch.sparkSession.createDataFrame([(newest,)], "newest BIGINT"), batch_id)
         for table in (self.last, self.waiting, self.reached):
             table.forget(batch_id - 2)
 
 
-def _later(a: datetime | None, b: datetime | None) -> datetime | None:
+def _later(a: int | None, b: int | None) -> int | None:
     return max((t for t in (a, b) if t is not None), default=None)
 
 
@@ -134,18 +133,12 @@ class InsertNew:
         date_col: str,
     ):
         self.keys, self.order_by, self.date_col = [*keys, date_col], list(order_by), date_col
-        self.log = BatchTable(spark, root, schema)
+        self.log = DatedLog(spark, root, schema, date_col)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        present = self.log.appended(before=batch_id)
-        if present is None:
-            fresh = dedupe(batch, self.keys, self.order_by)
-        else:
-            first, last = batch.agg(F.min(self.date_col), F.max(self.date_col)).first()
-            days = F.col(self.date_col)
-            nearby = present.where(days.between(F.lit(first), F.lit(last)) | days.isNull())
-            fresh = new_rows(nearby, batch, self.keys, self.order_by)
-        self.log.write(fresh, batch_id, partition_by=self.date_col)
+        first, last = batch.agg(F.min(self.date_col), F.max(self.date_col)).first()
+        nearby = self.log.rows(first, last, before_load=batch_id)
+        self.log.write(new_rows(nearby, batch, self.keys, self.order_by), batch_id)
 
 
 class Upsert:
