@@ -10,6 +10,7 @@ from fleetloom.functions.ordered import with_global_number
 from fleetloom.functions.times import AsOf
 from fleetloom.operators.series import latest_db_size
 from fleetloom.operators.views import live_primary
+from fleetloom.operators.xmlevents import parsed_once
 
 # Property names, stages and codes of the report servers.
 INFORMATION_TYPE = "sys_information_type_name"
@@ -21,12 +22,13 @@ UNLISTED_TYPES = [1, 3, 5, 8]
 REFRESH_ACTION = "DataRefresh"
 BASE_URL = "http://baseurl"
 REPORT_PREFIX = "/BI/report"
+SOURCE_INFO = "SourceReportUri ARRAY<STRING>"
 # End of the fixed values.
 
 
 def source_uri(additional_info: Column) -> Column:
     """First source report URI in the XML of a log row; NULL when there is none or no proper XML."""
-    info = F.from_xml(additional_info, "SourceReportUri ARRAY<STRING>")
+    info = F.from_xml(additional_info, SOURCE_INFO)
     return F.try_element_at(info["SourceReportUri"], F.lit(1))
 
 
@@ -164,8 +166,9 @@ def report_catalog(catalog: DataFrame, case_insensitive: bool = True) -> DataFra
 
 def report_sources(log: DataFrame) -> DataFrame:
     """Executions and last access per source report URI found in the log."""
+    uris = parsed_once(log, "additionalinfo", SOURCE_INFO)
     return (
-        log.withColumn("source_uri", source_uri(F.col("additionalinfo")))
+        uris.withColumn("source_uri", F.try_element_at("SourceReportUri", F.lit(1)))
         .where(F.col("source_uri").isNotNull())
         .groupBy("source_uri")
         .agg(F.count(F.lit(1)).alias("executions"), F.max("timeend").alias("last_access"))

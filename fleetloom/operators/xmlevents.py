@@ -66,15 +66,24 @@ def long_running_queries(buffers: DataFrame, as_of: AsOf, days: int = 1, first_o
     return rows.where((F.col("timestamp") >= times.days_before(as_of, days)) & F.col("batch_text").isNotNull())
 
 
+def parsed_once(rows: DataFrame, column: str, schema: str, options: dict | None = None) -> DataFrame:
+    """The rows with the fields of an XML column beside them, all NULL where it is no proper XML.
+
+    Parsed by a generator, not an expression: filters on the fields stay above it, so that a document
+    is read once however many of its fields are used.
+    """
+    return rows.select("*", F.inline(F.array(F.from_xml(column, schema, options))))
+
+
 def _reports(rows: DataFrame, unknown_loop: Column | None = None) -> DataFrame:
     """Rows with ``report_xml``, ``endtime``, ``duration``, ``databasename`` to the common layout."""
-    parsed = rows.withColumn("_report", F.from_xml("report_xml", REPORT))
+    parsed = parsed_once(rows, "report_xml", REPORT)
 
     def process(kind: str, attribute: str) -> Column:
-        return F.col("_report")[f"{kind}-process"]["process"][attribute]
+        return F.col(f"`{kind}-process`")["process"][attribute]
 
     loop = F.coalesce(
-        F.col("_report")["_monitorLoop"],
+        F.col("_monitorLoop"),
         F.date_format("endtime", "yyyy-MM-dd HH:mm:ss"),
         # A report without loop and time is a loop of its own, the same one in every run.
         unknown_loop if unknown_loop is not None else F.sha2(F.col("report_xml"), 256),
@@ -99,8 +108,7 @@ def _without_measures(rows: DataFrame) -> DataFrame:
 
 
 def _report_text(event_text: Column) -> Column:
-    found = F.regexp_extract(event_text, REPORT_TEXT, 0)
-    return F.when(found != "", found)
+    return F.try_element_at(F.regexp_extract_all(event_text, F.lit(REPORT_TEXT), F.lit(0)), F.lit(1))
 
 
 def trace_rows(rows: DataFrame) -> DataFrame:
@@ -111,15 +119,13 @@ def trace_rows(rows: DataFrame) -> DataFrame:
 
 def event_files(rows: DataFrame) -> DataFrame:
     """One event document per row: time, duration (microseconds to whole milliseconds), database, report."""
-    event = F.from_xml("textdata", EVENT)
-    parsed = rows.select("textdata", event.alias("_event"))
-    pairs = F.when(F.col("_event")["_name"] == REPORT_EVENT, F.col("_event")["data"])
-    micros = _named(pairs, "duration").try_cast("bigint")
+    parsed = parsed_once(rows.select("textdata"), "textdata", EVENT)
+    pairs = F.when(F.col("_name") == REPORT_EVENT, F.col("data"))
     return _reports(
         parsed.select(
             _report_text(F.col("textdata")).alias("report_xml"),
-            F.col("_event")["_timestamp"].try_cast("timestamp").alias("endtime"),
-            micros.alias("_micros"),
+            F.col("_timestamp").try_cast("timestamp").alias("endtime"),
+            _named(pairs, "duration").try_cast("bigint").alias("_micros"),
             _named(pairs, "database_name").alias("databasename"),
         ).withColumn("duration", F.expr("_micros div 1000"))
     )
@@ -128,11 +134,11 @@ def event_files(rows: DataFrame) -> DataFrame:
 def ring_buffers(rows: DataFrame) -> DataFrame:
     """Ring-buffer documents of many events."""
     events = rows.select(F.explode(F.regexp_extract_all("textdata", F.lit(EVENT_TEXT), F.lit(0))).alias("_text"))
-    parsed = events.withColumn("_event", F.from_xml("_text", EVENT)).where(F.col("_event")["_name"] == REPORT_EVENT)
+    parsed = parsed_once(events, "_text", EVENT).where(F.col("_name") == REPORT_EVENT)
     return _reports(
         _without_measures(
             parsed.select(
-                F.col("_event")["_timestamp"].try_cast("timestamp").alias("endtime"),
+                F.col("_timestamp").try_cast("timestamp").alias("endtime"),
                 _report_text(F.col("_text")).alias("report_xml"),
             )
         )

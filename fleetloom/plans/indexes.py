@@ -45,9 +45,9 @@ def part_usage(tables: Tables) -> DataFrame:
     "index_usage",
     """
     WITH s AS (
-        SELECT l_partkey AS object_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS index_id,
+        SELECT l_partkey + 200 AS object_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS index_id,
                l_linenumber AS partition_number, sum(l_quantity) * 8 / 1024 AS mb, max(l_orderkey) AS rowscount
-        FROM lineitem WHERE l_partkey > 250 GROUP BY ALL),
+        FROM lineitem WHERE l_partkey + 200 > 250 GROUP BY ALL),
     u AS (SELECT s_suppkey * 3 + 251 AS object_id, s_nationkey * 3 AS reads,
                  CAST(floor(abs(s_acctbal) / 1000) AS BIGINT) AS writes,
                  CASE WHEN s_nationkey < 10 THEN TIMESTAMP '2024-01-01' + to_days(s_nationkey) END AS scan,
@@ -62,12 +62,12 @@ def part_usage(tables: Tables) -> DataFrame:
            coalesce(scan, seek) AS lastread_user, NULL::TIMESTAMP AS lastread_sys,
            CASE WHEN reads IS NOT NULL THEN TIMESTAMP '2024-03-01' END AS lastwrite_user,
            coalesce(scan, seek, CASE WHEN reads IS NOT NULL THEN TIMESTAMP '2024-03-01' END) AS lastused
-    FROM s JOIN part ON p_partkey = object_id LEFT JOIN u USING (object_id)
+    FROM s JOIN part ON p_partkey + 200 = object_id LEFT JOIN u USING (object_id)
     WHERE s.index_id < 2 AND (s.index_id = 1 OR reads IS NULL)
     UNION ALL
     SELECT object_id, s.index_id, partition_number, 'ix_' || p_name || s.index_id, p_type, rowscount, mb, NULL, NULL,
            NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-    FROM s JOIN part ON p_partkey = object_id JOIN u USING (object_id) WHERE s.index_id = 0
+    FROM s JOIN part ON p_partkey + 200 = object_id JOIN u USING (object_id) WHERE s.index_id = 0
     """,
 )
 def index_usage(tables: Tables) -> DataFrame:
@@ -75,7 +75,7 @@ def index_usage(tables: Tables) -> DataFrame:
     flag, nation = F.col("l_returnflag"), F.col("s_nationkey")
     stats = tables.lineitem.select(
         *node(),
-        F.col("l_partkey").alias("object_id"),
+        (F.col("l_partkey") + 200).alias("object_id"),
         F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("index_id"),
         F.col("l_linenumber").alias("partition_number"),
         F.col("l_quantity").cast("bigint").alias("used_page_count"),
@@ -83,7 +83,7 @@ def index_usage(tables: Tables) -> DataFrame:
     )
     named = tables.part.select(
         *node(),
-        F.col("p_partkey").alias("object_id"),
+        (F.col("p_partkey") + 200).alias("object_id"),
         F.explode(F.array(F.lit(0), F.lit(1))).alias("index_id"),
         "p_name",
         F.col("p_type").alias("type_desc"),

@@ -86,16 +86,16 @@ def _size_inputs(tables: Tables) -> list[DataFrame]:
     return [
         part.select(
             *node(),
-            F.col("p_partkey").alias("object_id"),
+            (F.col("p_partkey") + 200).alias("object_id"),
             F.col("p_brand").alias("schema_id"),
             F.concat("p_name", F.lit("-"), "p_partkey").alias("name"),
         ),
         part.select(
-            *node(), F.col("p_partkey").alias("object_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("index_id")
+            *node(), (F.col("p_partkey") + 200).alias("object_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("index_id")
         ),
         tables.orders.select(
             *node(),
-            F.col("o_custkey").alias("object_id"),
+            (F.col("o_custkey") + 200).alias("object_id"),
             F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).alias("index_id"),
             F.col("o_orderkey").alias("partition_id"),
             F.when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(F.floor(F.col("o_totalprice") / 100000)).alias("rows"),
@@ -119,7 +119,7 @@ def table_sizes_sql(rows: str, group: str, filter_rows: str) -> str:
                CAST(CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE floor(o_totalprice / 100000) END AS BIGINT) AS n,
                l_quantity * 1000 AS total, l_linenumber * 1000 AS used
         FROM part JOIN orders ON o_custkey = p_partkey JOIN lineitem ON l_orderkey = o_orderkey
-        WHERE p_partkey > 255 AND o_orderstatus <> 'P')
+        WHERE p_partkey + 200 > 255 AND o_orderstatus <> 'P')
     SELECT schema_name, table_name, {rows} AS row_count,
            floor(sum(total) * 800 / 1024 + 0.5) / 100 AS totalsize_mb,
            floor(sum(total) * 800 / 1048576 + 0.5) / 100 AS totalsize_gb,
@@ -265,8 +265,8 @@ def order_backups(tables: Tables) -> DataFrame:
              AS backup_finish_date, path AS physical_device_name,
            CASE WHEN l_linestatus = 'F' THEN path ELSE '\\\\bk\\' || l_returnflag END AS folder,
            CASE WHEN l_linestatus <> 'F' THEN 'f' || l_linenumber || '.bak' END AS filename,
-           DATE '1998-10-03' AS backup_date
-    FROM orders LEFT JOIN m ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) = DATE '1998-10-03'
+           DATE '1995-02-16' AS backup_date
+    FROM orders LEFT JOIN m ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) = DATE '1995-02-16'
     """,
 )
 def backup_files(tables: Tables) -> DataFrame:
@@ -278,7 +278,7 @@ def backup_files(tables: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("\\\\bk\\"), "l_returnflag", F.lit("\\f"), "l_linenumber", F.lit(".bak")))
         .alias("physical_device_name"),
     )
-    return inventory.backup_files(order_backups(tables), media, as_of="1998-10-04 09:00:00").drop(NODE)
+    return inventory.backup_files(order_backups(tables), media, as_of="1995-02-17 09:00:00").drop(NODE)
 
 
 PART_BASELINE = [("ECONOMY", 11, "1.1"), ("Economy", 20, "1.2"), ("Small", 5, "2"), ("PROMO", 50, None), ("absent", 0, "9")]

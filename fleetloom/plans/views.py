@@ -81,13 +81,13 @@ def resolve_scope(tables: Tables) -> DataFrame:
     "resolve_scope_exclude",
     """
     SELECT p_partkey, p_name, p_brand FROM part
-    WHERE p_type IN ('SMALL', 'LARGE') AND p_name NOT IN (SELECT p_name FROM part WHERE p_size = 50)
+    WHERE p_type IN ('SMALL', 'LARGE') AND p_name NOT IN (SELECT p_name FROM part WHERE p_size = 50 AND p_brand = 'Brand#7')
     """,
 )
 def resolve_scope_exclude(tables: Tables) -> DataFrame:
     """Parts of two types without the names that a table excludes."""
     part = tables.part
-    excluded = part.where(F.col("p_size") == 50).select(F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("name"))
+    excluded = part.where((F.col("p_size") == 50) & (F.col("p_brand") == "Brand#7")).select(F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("name"))
     listed = views.resolve_scope(part, "p_type", "SMALL; LARGE", sep=";")
     return views.resolve_scope(listed, "p_name", exclude=excluded).select("p_partkey", "p_name", "p_brand")
 
@@ -100,7 +100,7 @@ def resolve_scope_exclude(tables: Tables) -> DataFrame:
            p_type AS database_name, p_size::DOUBLE AS impact_reduced,
            CAST(floor(p_retailprice) AS BIGINT) AS user_requests,
            CASE WHEN p_brand <> 'Brand#1' THEN p_name || '-' || p_brand || '-' || p_partkey END AS database_key
-    FROM part WHERE p_size > 25 AND floor(p_retailprice) > 950 AND p_type <> 'ECONOMY'
+    FROM part WHERE p_size > 25 AND floor(p_retailprice) > 905 AND p_type <> 'ECONOMY'
     """,
 )
 def missing_indexes(tables: Tables) -> DataFrame:
@@ -116,7 +116,7 @@ def missing_indexes(tables: Tables) -> DataFrame:
         F.col("p_size").cast("double").alias("impact_reduced"),
         F.when(F.col("p_type") == "ECONOMY", F.lit("2024-01-01").cast("timestamp")).alias("optimized_on"),
     )
-    return views.missing_indexes(suggestions, min_impact=25, min_requests=950).drop(
+    return views.missing_indexes(suggestions, min_impact=25, min_requests=905).drop(
         "idx_table", "idx_columns", "idx_columns_include", "index_handle"
     )
 
