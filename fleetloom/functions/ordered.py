@@ -59,8 +59,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | C
 def with_global_number(df: DataFrame, order_by: Sequence[str | Column], name: str) -> DataFrame:
     """1-based position of every row in one total order over the whole table.
 
-    Range-sorts the table and checkpoints it, so that the layout is settled once; a row's number is
-    the count of rows in the partitions before its own plus its place within it.
+    Range-sorts the table and writes it, so that the layout is settled once; a row's number is the
+    count of rows in the partitions before its own plus its place within it.
     """
     placed = durable(df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()))
     # monotonically_increasing_id: partition number in the upper bits, position in the lower 33.

@@ -25,7 +25,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return f"{value:.9g}" if value == value else "nan"
+        return repr(value)
     if isinstance(value, Decimal):
         return f"{value.normalize():f}" + "d"
     if isinstance(value, (bytes, bytearray)):
