@@ -13,7 +13,10 @@ from fleetloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cpus=4, app="fleetloom-tests", memory="4g")
+    session = local_session(cpus=4, app="fleetloom-tests", memory="4g")
+    # Plans are searched for pushed filters: print these in full.
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    return session
 
 
 @pytest.fixture()
