@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from fleetloom.functions.durable import durable
 
 
+# Rows of one series and bucket that a task may get before the bucket is cut finer.
+CROWDED = 10_000_000
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
     values: Mapping[str, str],
     bucket: Column,
+    finer: Column | None = None,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """Add, to each row, values of the row before it in its series.
 
@@ -24,9 +30,15 @@ def with_previous(
     shuffled by (keys, bucket), so one long series is spread over many tasks. The only row of
     another bucket that a bucket needs is the last one before it: that row is found with a
     partially aggregated maximum and carried over to the next bucket which has rows.
+
+    Buckets with more than ``crowded`` rows are cut further by ``finer``, which lies between the
+    bucket and the next one for every row of the bucket (a second of that hour).
     """
     used = list(dict.fromkeys([*order_by, *values.values()]))
-    rows = df.withColumn("_bucket", bucket).withColumn("_carried", F.lit(False))
+    rows = df.withColumn("_bucket", bucket)
+    if finer is not None:
+        rows = _cut_crowded(rows, keys, finer, crowded)
+    rows = rows.withColumn("_carried", F.lit(False))
 
     last = rows.groupBy(*keys, "_bucket").agg(F.max(F.struct(*used)).alias("_last"))
     # One row per series and bucket that has rows, whatever the number of samples in it.
@@ -50,6 +62,20 @@ def with_previous(
     )
 
 
+def _cut_crowded(rows: DataFrame, keys: Sequence[str], finer: Column, crowded: int) -> DataFrame:
+    place = [*keys, "_bucket"]
+    # At most one row per ``crowded`` rows of the table, which bounds the broadcast.
+    full = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
+    full = full.select(*[F.col(c).alias(f"_full_{i}") for i, c in enumerate(place)], F.lit(True).alias("_crowded"))
+    same = F.lit(True)
+    for i, c in enumerate(place):
+        same = same & F.col(c).eqNullSafe(F.col(f"_full_{i}"))
+    return rows.join(F.broadcast(full), same, "left").select(
+        *[c for c in rows.columns if c != "_bucket"],
+        F.when(F.col("_crowded"), finer).otherwise(F.col("_bucket")).alias("_bucket"),
+    )
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows per key. Spark cuts every map task to ``k`` rows per key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))

@@ -23,9 +23,7 @@ COUNTER_SERIES = ["instance_fullname", "object_name", "counter_name", "instance_
 SIZE_SERIES = ["instancefullname", "databasename", "usagetype", "allocationtype", "filegroupname"]
 
 
-def _counter_steps(
-    samples: DataFrame, keys: Sequence[str], time_col: str, value_col: str, spread: str = "hour"
-) -> DataFrame:
+def _counter_steps(samples: DataFrame, keys: Sequence[str], time_col: str, value_col: str) -> DataFrame:
     """Change of the counter and seconds since the previous sample of the same series."""
     return (
         with_previous(
@@ -33,7 +31,8 @@ def _counter_steps(
             keys,
             [time_col, value_col],
             {"_last_time": time_col, "_last_value": value_col},
-            bucket=F.date_trunc(spread, F.col(time_col)),
+            bucket=F.date_trunc("hour", F.col(time_col)),
+            finer=F.date_trunc("second", F.col(time_col)),
         )
         .withColumns(
             {
@@ -61,16 +60,11 @@ def counter_rates(
     time_col: str = "sample_time",
     value_col: str = "cntr_value",
     object_suffix: str | None = STATISTICS_OBJECT,
-    spread: str = "hour",
 ) -> DataFrame:
-    """Per-second rate of every sample of the cumulative counters, as ``counter_value``.
-
-    A series is worked on in pieces of the time unit ``spread``; choose a shorter one for samples
-    taken more often than every second.
-    """
+    """Per-second rate of every sample of the cumulative counters, as ``counter_value``."""
     if object_suffix is not None:
         samples = samples.where(F.endswith("object_name", F.lit(object_suffix)))
-    steps = _counter_steps(samples.select(*keys, time_col, value_col), keys, time_col, value_col, spread)
+    steps = _counter_steps(samples.select(*keys, time_col, value_col), keys, time_col, value_col)
     return steps.select(*keys, time_col, rate_of(F.col("_step"), F.col("_secs")).alias("counter_value"))
 
 
@@ -170,9 +164,14 @@ def size_growth(
         series, day = list(series_keys), [*series_keys, date_col]
         order = [date_col, value_col]
         recent = first_per_key(recent, day, newest)
-    # Daily rows: a month of one series is at most 31 of them, or as many loads of a day in strict mode.
+    # A month of one series is at most 31 rows, or in strict mode as many as servers and loads make it.
     changes = with_previous(
-        recent, series, order, {"_before": value_col}, bucket=F.trunc(F.col(date_col), "month")
+        recent,
+        series,
+        order,
+        {"_before": value_col},
+        bucket=F.trunc(F.col(date_col), "month"),
+        finer=F.col(date_col) if strict else None,
     )
     if strict:
         changes = first_per_key(changes, day, newest)
@@ -209,7 +208,6 @@ def error_log_context(
     end: AsOf,
     partition_by: Sequence[str] = ("instance_fullname",),
     exclude_prefix: str = BOILERPLATE_MESSAGE,
-    spread: str = "hour",
 ) -> DataFrame:
     """Messages of a time range, each beside the message before it in the same server's log.
 
@@ -220,7 +218,12 @@ def error_log_context(
         & ~F.startswith("text", F.lit(exclude_prefix))
     )
     return with_previous(
-        lines, partition_by, ["date", "line_no", "text"], {"_before": "text"}, bucket=F.date_trunc(spread, F.col("date"))
+        lines,
+        partition_by,
+        ["date", "line_no", "text"],
+        {"_before": "text"},
+        bucket=F.date_trunc("hour", F.col("date")),
+        finer=F.date_trunc("second", F.col("date")),
     ).select(
         *partition_by,
         "date",

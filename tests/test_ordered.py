@@ -36,6 +36,15 @@ def test_previous_does_not_depend_on_bucket_or_layout(spark):
     assert results[0] == results[1] == results[2]
 
 
+def test_crowded_buckets_are_cut_finer(spark):
+    df = hot_series(spark)
+    plain = with_previous(df, ["k"], ["t", "id"], {"p": "id"}, bucket=F.floor(F.col("t") / 10**6))
+    for limit in (0, 5, 100, 10**9):
+        cut = with_previous(df, ["k"], ["t", "id"], {"p": "id"}, bucket=F.floor(F.col("t") / 5000) * 5000,
+                            finer=F.col("t").cast("bigint"), crowded=limit)
+        assert cut.columns == plain.columns and tuples(cut) == tuples(plain)
+
+
 def test_previous_with_null_order_value_and_value(spark):
     df = spark.createDataFrame([("a", None, 1, None), ("a", 1, 2, "x"), ("a", 9, 3, None), ("a", 10, 4, "y")],
                                "k STRING, t INT, id INT, v STRING")

@@ -41,7 +41,7 @@ def test_counter_rates_never_negative_and_layout_free(spark):
         (F.col("id") % 3).cast("string").alias("counter_name"), F.lit(None).cast("string").alias("instance_name"),
         F.timestamp_seconds(1704067200 + F.col("id") * 37).alias("sample_time"),
         F.abs(F.hash("id") % 1000).cast("bigint").alias("cntr_value"))
-    one, many = series.counter_rates(df.coalesce(1)), series.counter_rates(df.repartition(9), spread="minute")
+    one, many = series.counter_rates(df.coalesce(1)), series.counter_rates(df.repartition(9))
     assert one.where("counter_value < 0").count() == 0
     assert one.count() == 3000 and tuples(one) == tuples(many)
 
