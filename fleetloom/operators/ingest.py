@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetloom.functions import decode, text, times
 from fleetloom.functions.ordered import first_per_key
 from fleetloom.functions.times import AsOf
+from fleetloom.sources import schemas
 
 
 def _same(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Column:
@@ -164,6 +165,28 @@ def mark_dropped(
     return joined.select(*[new_values.get(c, F.col(f"t.{c}")).alias(c) for c in target.columns])
 
 
+def sync_database_master(
+    master: DataFrame, staged: DataFrame, as_of: AsOf, ok_sources: Sequence[str] | None = None
+) -> DataFrame:
+    """The database list after a load: known databases refreshed, new ones added, missing ones flagged.
+
+    ``ok_sources`` are the instances that answered; the databases of others are left alone.
+    """
+    keys = schemas.DATABASE_MASTER_KEY
+    rest = [c for c in staged.columns if c not in keys]
+    once = dedupe(staged, keys, rest).withColumn("is_dropped", F.lit(False))
+    refreshed = [c for c in rest if c not in schemas.DATABASE_MASTER_FIXED]
+    loaded = upsert_latest(master, once, keys, refreshed, as_of)
+    return mark_dropped(loaded, staged, keys, as_of, ok_sources)
+
+
+def sync_size_log(log: DataFrame, staged: DataFrame, as_of: AsOf) -> DataFrame:
+    """The daily size log after a load: sizes of known parts refreshed, new parts and days added."""
+    keys, sizes = schemas.DATABASE_SIZE_LOG_DETAILS_KEY, ["used_mb", "reserved_mb"]
+    once = dedupe(staged, keys, [c for c in staged.columns if c not in keys])
+    return upsert_latest(log, once, keys, sizes, as_of, created_col=None)
+
+
 def retain(
     df: DataFrame, time_col: str, days: int, as_of: AsOf, date_col: str | None = None
 ) -> DataFrame:

@@ -104,6 +104,37 @@ def test_mark_dropped(short):
     assert tuples(strict, "db", "is_dropped") == [("a", True), ("b", True), ("c", True), ("d", True)]
 
 
+def test_sync_database_master(table):
+    def db(name, **kw):
+        return dict(dict(instancefullname="n1", databasename=name, compatibility_level=100, recovery_model="FULL"), **kw)
+
+    master_rows = table(schemas.DATABASE_MASTER, [
+        db("a", is_dropped=False, created_on=at("2023-01-01")), db("gone", is_dropped=False), db("back", is_dropped=True),
+        db("x", instancefullname="n2", is_dropped=False)])
+    staged = table(schemas.DATABASE_MASTER, [
+        db("a", compatibility_level=150, recovery_model="SIMPLE"), db("a", compatibility_level=150, recovery_model="SIMPLE"),
+        db("back"), db("new")]).drop("is_dropped", "created_on", "modified_on")
+    got = ingest.sync_database_master(master_rows, staged, "2024-01-01", ok_sources=["n1"])
+    assert got.columns == master_rows.columns
+    assert tuples(got, "databasename", "compatibility_level", "recovery_model", "is_dropped", "created_on") == [
+        ("a", 100, "SIMPLE", False, at("2023-01-01")), ("back", 100, "FULL", False, None), ("gone", 100, "FULL", True, None),
+        ("new", 100, "FULL", False, at("2024-01-01")), ("x", 100, "FULL", False, None)]
+
+
+def test_sync_size_log_knows_parts_without_file_group(table):
+    def size(fg, used, **kw):
+        return dict(dict(instancefullname="n1", databasename="d", databaseid=5, log_date=day("2024-01-01"), usagetype="log",
+                         allocationtype="x", filegroupname=fg, used_mb=dec(used), reserved_mb=dec("9")), **kw)
+
+    log = table(schemas.DATABASE_SIZE_LOG_DETAILS, [size(None, "1"), size("P", "2")])
+    staged = table(schemas.DATABASE_SIZE_LOG_DETAILS, [size(None, "5"), size("Q", "7"), size("P", "2", log_date=day("2024-01-02"))])
+    once = ingest.sync_size_log(log, staged.drop("modified_on"), "2024-01-03")
+    assert tuples(once, "filegroupname", "log_date", "used_mb", "modified_on") == [
+        (None, day("2024-01-01"), dec("5.000"), at("2024-01-03")), ("P", day("2024-01-01"), dec("2.000"), None),
+        ("P", day("2024-01-02"), dec("2.000"), None), ("Q", day("2024-01-01"), dec("7.000"), None)]
+    assert ingest.sync_size_log(once, staged.drop("modified_on"), "2024-01-04").count() == 4
+
+
 def test_retain_bounds(short):
     df = short("id INT, t TIMESTAMP, d DATE", [
         (1, at("2023-12-02 10:00:00"), day("2023-12-02")), (2, at("2023-12-02 10:00:01"), day("2023-12-02")),
