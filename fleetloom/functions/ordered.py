@@ -32,7 +32,7 @@ def with_previous(
     partially aggregated maximum and carried over to the next bucket which has rows.
 
     Buckets with more than ``crowded`` rows are cut further by ``finer``, which lies between the
-    bucket and the next one for every row of the bucket (a second of that hour).
+    bucket and the next one for every row of the bucket (a minute of that hour).
     """
     used = list(dict.fromkeys([*order_by, *values.values()]))
     rows = df.withColumn("_bucket", bucket)

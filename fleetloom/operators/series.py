@@ -32,7 +32,7 @@ def _counter_steps(samples: DataFrame, keys: Sequence[str], time_col: str, value
             [time_col, value_col],
             {"_last_time": time_col, "_last_value": value_col},
             bucket=F.date_trunc("hour", F.col(time_col)),
-            finer=F.date_trunc("second", F.col(time_col)),
+            finer=F.date_trunc("minute", F.col(time_col)),
         )
         .withColumns(
             {
@@ -223,7 +223,7 @@ def error_log_context(
         ["date", "line_no", "text"],
         {"_before": "text"},
         bucket=F.date_trunc("hour", F.col("date")),
-        finer=F.date_trunc("second", F.col("date")),
+        finer=F.date_trunc("minute", F.col("date")),
     ).select(
         *partition_by,
         "date",
