@@ -48,14 +48,15 @@ def paths_from_root(nodes: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _blocking_nodes(processes: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Processes that block or are blocked, and their nodes with parents."""
-    once = first_per_key(
-        processes, [*group, "spid"], [F.desc("blocked"), *[c for c in processes.columns if c not in {*group, "spid", "blocked"}]]
-    )
+    """Processes that block or are blocked, one row each, and their nodes with parents."""
     is_blocked = (F.col("blocked") > 0) & (F.col("blocked") != F.col("spid"))
     blockers = processes.where(is_blocked).select(*group, F.col("blocked").alias("spid")).distinct()
-    flagged = once.join(blockers.withColumn("_blocks", F.lit(True)), [*group, "spid"], "left")
-    involved = durable(flagged.where(is_blocked | F.col("_blocks")))
+    # Most processes of a log have no part in any blocking: they leave before the rows are ranked.
+    concerned = processes.join(blockers.withColumn("_blocks", F.lit(True)), [*group, "spid"], "left").where(
+        is_blocked | F.col("_blocks")
+    )
+    rest = [c for c in processes.columns if c not in {*group, "spid", "blocked"}]
+    involved = durable(first_per_key(concerned, [*group, "spid"], [F.desc("blocked"), *rest]))
     edges = involved.where(is_blocked).select(*group, F.col("spid").alias("node"), F.col("blocked").alias("parent"))
     heads = involved.where(F.col("_blocks") & ((F.col("blocked") == 0) | (F.col("blocked") == F.col("spid")))).select(
         *group, F.col("spid").alias("node"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent")

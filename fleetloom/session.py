@@ -26,6 +26,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, per_task: int = 128 << 20) -> int:
+    """Set the number of shuffle partitions for the largest shuffle of a job, and return it.
+
+    Tasks then get about ``per_task`` bytes, few enough to sort without much spilling; partitions
+    that turn out small are put together at run time.
+    """
+    partitions = min(max(-(-shuffled_bytes // per_task), 200), 200_000)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return partitions
+
+
 def local_session(cpus: int = 8, app: str = "fleetloom", memory: str = "12g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     builder = (

@@ -1,3 +1,4 @@
+from fleetloom import session
 from fleetloom.functions import durable
 from fleetloom.operators import inventory
 from fleetloom.sources import files, readers, schemas
@@ -50,6 +51,15 @@ def test_durable_uses_the_named_folder(spark, tmp_path, short):
         spark.conf.unset(durable.SETTING)
 
 
+def test_shuffles_are_sized(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert session.size_shuffles(spark, 1 << 20) == 200
+    assert session.size_shuffles(spark, 10 << 40) == 81920
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "81920"
+    assert session.size_shuffles(spark, 100 << 40) == 200_000
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     assert files.exists(spark, str(tmp_path / "a")) and not files.exists(spark, str(tmp_path / "b"))
