@@ -9,9 +9,9 @@ from fleetloom.functions import times
 from fleetloom.functions.times import AsOf
 
 # Names and layouts of the event documents.
-DATA = "data ARRAY<STRUCT<_name: STRING, value: STRING>>"
-EVENT = f"_name STRING, _package STRING, _timestamp STRING, {DATA}"
-RING_BUFFER = f"event ARRAY<STRUCT<_name: STRING, _package: STRING, _timestamp: STRING, {DATA.replace(' ', ': ', 1)}>>"
+VALUES = "ARRAY<STRUCT<_name: STRING, value: STRING>>"
+EVENT = f"_name STRING, _package STRING, _timestamp STRING, data {VALUES}"
+RING_BUFFER = f"event ARRAY<STRUCT<_name: STRING, _package: STRING, _timestamp: STRING, data: {VALUES}>>"
 PROCESS = "STRUCT<process: STRUCT<_spid: INT, _ecid: INT>>"
 REPORT = f"_monitorLoop STRING, `blocked-process` {PROCESS}, `blocking-process` {PROCESS}"
 TRACE_EVENT = "_name STRING, Column ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>"
@@ -39,6 +39,8 @@ def _named(pairs: Column, name: str, value: str = "value") -> Column:
 def long_running_queries(buffers: DataFrame, as_of: AsOf, days: int = 1, first_only: bool = False) -> DataFrame:
     """Slow-query events of the last days from ring-buffer documents, one row per event with a text.
 
+    The report shows the first 150 characters of a statement.
+
     ``first_only`` gives one row per document, made of the first value of each kind found in it.
     """
     parsed = buffers.withColumn("_events", F.from_xml("targetdata", RING_BUFFER)["event"])
@@ -56,10 +58,7 @@ def long_running_queries(buffers: DataFrame, as_of: AsOf, days: int = 1, first_o
         F.left("_name", F.lit(50)).alias("name"),
         F.left("_package", F.lit(50)).alias("package"),
         F.col("_timestamp").try_cast("timestamp").alias("timestamp"),
-        *[
-            _named(pairs, source).try_cast("bigint").alias(name)
-            for source, name in (("cpu_time", "cpu_time"), ("duration", "duration"), ("physical_reads", "physical_reads"))
-        ],
+        *[_named(pairs, name).try_cast("bigint").alias(name) for name in ("cpu_time", "duration", "physical_reads")],
         F.left(_named(pairs, "batch_text"), F.lit(TEXT_LENGTH)).alias("batch_text"),
         F.left(_named(pairs, "Statement"), F.lit(TEXT_LENGTH)).alias("statement"),
     )

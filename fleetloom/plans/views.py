@@ -70,11 +70,15 @@ def live_primary(tables: Tables) -> DataFrame:
 
 @query(
     "resolve_scope",
-    "SELECT * FROM nation WHERE n_name IN ('NATION_1', 'NATION_3', 'NATION_7')",
+    """
+    SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE n_name IN ('NATION_1', 'NATION_3', 'NATION_7')
+    """,
 )
 def resolve_scope(tables: Tables) -> DataFrame:
-    """Listed nations; the include list wins over the exclude list."""
-    return views.resolve_scope(tables.nation, "n_name", " NATION_1, NATION_3 ,NATION_7,", "NATION_3")
+    """Customers of the listed nations; the include list wins over the exclude list."""
+    customers = tables.customer.join(tables.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return views.resolve_scope(customers, "n_name", " NATION_1, NATION_3 ,NATION_7,", "NATION_3")
 
 
 @query(

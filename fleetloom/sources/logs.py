@@ -36,9 +36,9 @@ class DatedLog:
         prefix = f"{self.date_col}="
         return sorted(n[len(prefix) :] for n in files.folder_names(self.spark, self.root) if n.startswith(prefix))
 
-    def rows(self, first: date | None = None, last: date | None = None, before_load: int | None = None) -> DataFrame:
+    def rows(self, first: date = date.min, last: date = date.max, before_load: int | None = None) -> DataFrame:
         """Rows of a range of days (rows without a date always included), of the loads before one."""
-        low, high = str(first or date.min), str(last or date.max)
+        low, high = str(first), str(last)
         wanted = [d for d in self.days() if d == NO_DATE or low <= d <= high]
         if not wanted:
             return self.spark.createDataFrame([], self.schema)

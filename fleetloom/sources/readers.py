@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def read_snapshot(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """A snapshot table with its declared schema; nothing is inferred."""
     paths = [path] if isinstance(path, str) else list(path)

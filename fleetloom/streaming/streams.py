@@ -8,7 +8,7 @@ one much repeated row does not end up in a single state task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +100,7 @@ class CounterRates:
         samples = samples.where(is_new)
         if waiting is not None:
             samples = samples.unionByName(waiting)
+        samples = samples.persist()
         series = samples.where(ready)
         if last is not None:
             series = series.unionByName(last)
@@ -108,6 +109,7 @@ class CounterRates:
         self.last.write(newest_of.select(*COUNTER_SERIES, "_last.*"), batch_id)
         self.waiting.write(samples.where(~ready), batch_id)
         self.reached.write(batch.sparkSession.createDataFrame([(newest,)], "newest BIGINT"), batch_id)
+        samples.unpersist()
         for table in (self.last, self.waiting, self.reached):
             table.forget(batch_id - 2)
 
@@ -137,7 +139,8 @@ class InsertNew:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         first, last = batch.agg(F.min(self.date_col), F.max(self.date_col)).first()
-        nearby = self.log.rows(first, last, before_load=batch_id)
+        # A batch without any date has only rows without a date to look for.
+        nearby = self.log.rows(first or date.max, last or date.min, before_load=batch_id)
         self.log.write(new_rows(nearby, batch, self.keys, self.order_by), batch_id)
 
 
