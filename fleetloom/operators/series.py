@@ -204,17 +204,20 @@ def latest_db_size(
 
 def error_log_context(
     log: DataFrame,
-    start: AsOf,
-    end: AsOf,
+    start: AsOf = None,
+    end: AsOf = None,
     partition_by: Sequence[str] = ("instance_fullname",),
     exclude_prefix: str = BOILERPLATE_MESSAGE,
 ) -> DataFrame:
     """Messages of a time range, each beside the message before it in the same server's log.
 
-    Boilerplate lines are removed first, so they are never the message before.
+    Without ``start`` the range begins with the day before its end. Boilerplate lines are removed
+    first, so they are never the message before.
     """
+    last = times.as_of_time(end)
+    first = times.as_of_time(start) if start is not None else F.date_sub(last, 1).cast("timestamp")
     lines = log.where(
-        F.col("date").between(times.as_of_time(start), times.as_of_time(end))
+        F.col("date").between(first, last)
         & ~F.startswith("text", F.lit(exclude_prefix))
     )
     return with_previous(

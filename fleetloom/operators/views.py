@@ -63,7 +63,8 @@ def _listed(df: DataFrame, col: str, names: Scope, sep: str, how: str) -> DataFr
 def missing_indexes(df: DataFrame, min_impact: float = 50, min_requests: int = 500) -> DataFrame:
     """Suggested indexes that would pay off and were not acted on, with server and database keys.
 
-    A default instance has no instance name, so both keys are NULL for it.
+    A default instance has no instance name, so both keys are NULL for it. Database ids of three and
+    more digits are written out.
     """
     return df.where(
         (F.col("impact_reduced") > min_impact)

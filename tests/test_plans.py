@@ -93,3 +93,35 @@ def test_hot_key_gives_the_same_rows(spark, short):
     assert got.count() == 1 + 2000 + 2000
     assert tuples(got.where("inst = 'hot'")) == [("hot", 1, 0)]
     assert got.where("inst = 'big' and v = 9").count() == 1000
+
+
+def test_hot_join_key_is_split(spark, no_broadcast, table):
+    """A third of the log is executions of one report; the catalog has it once."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        log = spark.range(0, 60000, numPartitions=8).select(
+            F.col("id").alias("logentryid"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 3000)).alias("reportid"),
+            *[F.lit(None).cast(t).alias(c) for c, t in _columns(schemas.EXECUTION_LOG) if c not in ("logentryid", "reportid")],
+        )
+        catalog = spark.range(3000).select(
+            F.concat(F.lit("r"), "id").alias("itemid"), F.lit("n").alias("name"), F.lit("/p").alias("path"), F.lit(2).alias("type")
+        ).unionByName(spark.createDataFrame([("hot", "hot", "/h", 13)], "itemid STRING, name STRING, path STRING, type INT"))
+        got = reports.execution_log(log, catalog).select("logentryid", "itemname")
+        rows = got.collect()
+        assert len(rows) == 60000 and sum(r.itemname == "hot" for r in rows) == 20000
+        assert "skew=true" in plan_of(got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _columns(ddl):
+    return [tuple(part.split()) for part in ddl.split(", ")]

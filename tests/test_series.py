@@ -146,3 +146,6 @@ def test_error_log_context(table):
     got = series.error_log_context(df, "2024-01-01", "2024-01-02")
     assert tuples(got, "line_no", "messagetext", "error") == [
         (1, "first", ""), (2, "second", "first"), (3, "third", "second"), (6, "last", "third"), (7, "other", "")]
+    # The default range is the day before and the day so far.
+    assert tuples(series.error_log_context(df, end="2024-01-02 23:00"), "line_no") == [(1,), (2,), (3,), (6,), (7,), (8,)]
+    assert tuples(series.error_log_context(df, end="2024-01-03 01:00"), "line_no") == [(8,)]
