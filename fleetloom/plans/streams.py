@@ -109,8 +109,9 @@ def stream_upsert(tables: Tables) -> DataFrame:
         update_cols=["event_type", "value"],
         order_by=[F.desc("event_id")],
         as_of=F.col("s.ts"),
+        buckets=8,
     )
     streams.start_batches(
         event_stream(tables).select("user_id", "event_type", "value", "ts", "event_id"), job, f"{work}/checkpoint"
     ).awaitTermination()
-    return job.table.latest()
+    return job.table.current()

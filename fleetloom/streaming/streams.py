@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetloom.operators.ingest import dedupe, new_rows, upsert_latest
 from fleetloom.operators.series import COUNTER_SERIES, counter_rates
 from fleetloom.sources.logs import DatedLog
+from fleetloom.sources.tables import BucketedTable
 from fleetloom.streaming.batches import BatchTable
 
 
@@ -145,10 +146,10 @@ class InsertNew:
 
 
 class Upsert:
-    """Latest-state table kept up to date by a stream; each batch writes the next version of the table.
+    """Latest-state table kept up to date by a stream; a batch rewrites the buckets its keys fall into.
 
     Of several rows of a key in a batch the first in ``order_by`` counts; a later batch wins over an
-    earlier one.
+    earlier one. ``as_of`` may be a column of the staged rows (``s.<name>``).
     """
 
     def __init__(
@@ -162,21 +163,18 @@ class Upsert:
         as_of: Column,
         created_col: str = "created_on",
         modified_col: str = "modified_on",
+        buckets: int = 64,
     ):
-        self.spark, self.schema = spark, schema
         self.keys, self.update_cols, self.order_by = list(keys), list(update_cols), list(order_by)
         self.as_of, self.created_col, self.modified_col = as_of, created_col, modified_col
-        self.table = BatchTable(spark, root, schema)
+        self.table = BucketedTable(spark, root, schema, keys, buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        target = self.table.version(batch_id - 1)
-        if target is None:
-            target = self.spark.createDataFrame([], self.schema)
         staged = dedupe(batch, self.keys, self.order_by)
-        self.table.write(
-            upsert_latest(
-                target, staged, self.keys, self.update_cols, self.as_of, self.created_col, self.modified_col
-            ),
-            batch_id,
+        touched = self.table.touched(staged)
+        target = self.table.current(touched, before_load=batch_id)
+        merged = upsert_latest(
+            target, staged, self.keys, self.update_cols, self.as_of, self.created_col, self.modified_col
         )
-        self.table.forget(batch_id - 2)
+        self.table.write(merged, batch_id)
+        self.table.forget(touched, before_load=batch_id)

@@ -142,9 +142,31 @@ def test_upsert_across_batches(spark, slices, tmp_path):
     job = streams.Upsert(spark, str(tmp_path / "t"), STATE, ["k"], ["v"], [F.desc("t"), "v"], F.col("s.t"))
     streams.start_batches(slices(files, ddl), job, str(tmp_path / "cp")).awaitTermination()
     want = [("a", 6, 1, at("2024-01-01"), at("2024-01-04")), ("b", 3, 9, at("2024-01-02"), None), ("c", 4, 4, at("2024-01-03"), None)]
-    assert tuples(job.table.latest()) == want
+    assert tuples(job.table.current()) == want
     job(spark.createDataFrame(files[2], ddl), 2)
-    assert tuples(job.table.latest()) == want
+    assert tuples(job.table.current()) == want
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    ddl = "k STRING, v INT, fixed INT, t TIMESTAMP"
+    job = streams.Upsert(spark, str(tmp_path / "t"), STATE, ["k"], ["v"], ["t"], F.col("s.t"), buckets=16)
+    job(spark.createDataFrame([(f"k{i}", i, 0, at("2024-01-01")) for i in range(200)], ddl), 0)
+    for batch in range(1, 5):
+        job(spark.createDataFrame([("k7", batch * 100, 0, at("2024-01-02")), (None, batch, 0, at("2024-01-02"))], ddl), batch)
+    changed = [b for b in range(16) if job.table._loads(b) != [0]]
+    assert 1 <= len(changed) <= 2
+    # The two states before the last load are kept, in case it has to be repeated.
+    assert all(job.table._loads(b)[-3:] == [2, 3, 4] for b in changed)
+    got = {r.k: r.v for r in job.table.current().collect()}
+    assert len(got) == 201 and got["k7"] == 400 and got[None] == 4 and got["k8"] == 8
+
+
+def test_upsert_of_an_empty_batch(spark, tmp_path):
+    ddl = "k STRING, v INT, fixed INT, t TIMESTAMP"
+    job = streams.Upsert(spark, str(tmp_path / "t"), STATE, ["k"], ["v"], ["t"], F.col("s.t"))
+    job(spark.createDataFrame([("a", 1, 1, at("2024-01-01"))], ddl), 0)
+    job(spark.createDataFrame([], ddl), 1)
+    assert job.table.current().count() == 1
 
 
 def test_restart_continues(spark, tmp_path):
