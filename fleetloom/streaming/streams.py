@@ -171,7 +171,7 @@ class Upsert:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         staged = dedupe(batch, self.keys, self.order_by)
-        touched = self.table.touched(staged)
+        touched = self.table.touched(batch)
         target = self.table.current(touched, before_load=batch_id)
         merged = upsert_latest(
             target, staged, self.keys, self.update_cols, self.as_of, self.created_col, self.modified_col
