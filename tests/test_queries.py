@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from fleetloom import plans
 from tests import oracle
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 # A handful of rows are too few for some thresholds; the larger tables cover them.
 MAY_BE_EMPTY = {"resolve_scope_exclude"}
 
