@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import exact, language, mixing, quality, tokens
+from fleetloom.llm import exact, language, mixing, quality, secrets, tokens
 from fleetloom.llm.common import in_fold, learnable, read, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,65 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(read(spark, folder, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+@query(
+    "op3_secrets",
+    r"""
+    with d as (
+        select row_number() over () as row, doc_id, coalesce(text, '') as t from documents
+    ), patterns(kind, p) as (
+        values ('assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+               ('access', 'AKIA[A-Z0-9]+'), ('hex', '[0-9a-f]+'), ('candidate', '[A-Za-z0-9+/_=-]{20,}')
+    ), found as (
+        select row, doc_id, kind, p, regexp_extract_all(t, p) as found, string_split_regex(t, p) as gaps from d, patterns
+    ), pieces as (
+        select row, doc_id, kind, p, unnest(found) as m, unnest(gaps[:len(found)]) as gap, generate_subscripts(found, 1) as i
+        from found where len(found) > 0
+    ), spans as (
+        select row, kind, p, m, cast(sum(length(gap) + length(m)) over (partition by row, kind order by i) as bigint) as stop from pieces
+    ), base as (
+        select row, kind, case kind when 'assign' then 0 when 'access' then 1 else 2 end as rank, stop - length(m) as start, stop
+        from spans
+        where kind = 'assign' and length(regexp_extract(m, p, 2)) >= 8 or kind = 'access' and length(m) >= 16
+           or kind = 'hex' and length(m) >= 32
+    ), candidates as (
+        select row, stop - length(m) as start, stop, m,
+               case when regexp_matches(m, '^[0-9a-fA-F]+$') then 3 when regexp_matches(m, '^[0-9A-Za-z]+$') then 4 else 5 end as rank
+        from spans s
+        where kind = 'candidate'
+          and not exists (select 1 from base b where b.row = s.row and b.start < s.stop and s.stop - length(s.m) < b.stop)
+          and not regexp_matches(m, '^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$')
+          and not regexp_matches(m, '^[0-9+/_=-]+$') and not regexp_matches(m, '^[A-Za-z+/_=-]+$')
+          and not regexp_matches(m, '(?i)(example|sample|placeholder|dummy|xxxxx|00000|12345678)')
+    ), windows as (
+        select row, start, rank, m, unnest(range(1, length(m) - 18)) as i from candidates
+    ), hot as (
+        select row, start as of_start, rank, start + i - 1 as start, start + i + 19 as stop from windows
+        where list_aggregate(string_split(substr(m, i, 20), ''), 'entropy') >= case rank when 3 then 2.95 when 4 then 3.65 else 3.85 end
+    ), islands as (
+        select *, sum(new) over (partition by row, of_start order by start) as island
+        from (select *, case when start <= lag(stop) over (partition by row, of_start order by start) then 0 else 1 end as new from hot)
+    ), high as (
+        select row, case rank when 3 then 'high_hex' when 4 then 'high_alnum' else 'high_base64' end as kind, rank,
+               min(start) as start, max(stop) as stop
+        from islands group by row, of_start, rank, island
+    ), every as (
+        select row, kind, rank, start, stop, true as in_base from base union all select row, kind, rank, start, stop, false from high
+    ), listed as (
+        select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+               count(*) filter (kind = 'hex') as n_hex,
+               string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (in_base) as base,
+               string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
+        from every group by row
+    )
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+           sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from d left join listed using (row)
+    """,
+)
+def find_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets_report(read(spark, folder, "documents"))
+
+
 @query("op4_quality")
 def quality_score(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
