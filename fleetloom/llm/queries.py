@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import exact, language, mixing, quality, secrets, tokens
+from fleetloom.llm import exact, language, mixing, quality, secrets, simhash, tokens
 from fleetloom.llm.common import in_fold, learnable, read, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,9 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
         tokens.token_count(F.col("text"), path).alias("n_tokens"),
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op10_simhash")
+def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", simhash.written(F.col("mark")).alias("fingerprint"), "component_id")
