@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import exact, language, mixing, quality, secrets, simhash, tokens
+from fleetloom.llm import contamination, exact, language, mixing, quality, secrets, simhash, tokens
 from fleetloom.llm.common import in_fold, learnable, read, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,47 @@ def quality_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query(
+    "op5_decontaminate",
+    r"""
+    with item_words as (
+        select coalesce(cast(item_id as varchar), '') as item,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from benchmark
+    ), windows as (
+        select item, least(len(w), 13) as size, array_to_string(w[i:i + 12], ' ') as words
+        from (select *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from item_words where len(w) > 0)
+    ), d as (
+        select row_number() over () as row, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from documents
+    ), doc_windows as (
+        select row, i, size, array_to_string(w[i:i + size - 1], ' ') as words
+        from (select row, w, size, unnest(range(1, len(w) - size + 2)) as i from d, (select distinct size from windows))
+    ), found as (
+        select distinct row, i, size, item from doc_windows join windows using (size, words)
+    ), hits as (
+        select row, count(distinct place) as n_hit from (select row, unnest(range(i, i + size)) as place from found) group by row
+    ), named as (
+        select row, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from found group by row
+    )
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+    from d left join hits using (row) left join named using (row)
+    """,
+)
+def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query(
     "op6_mix_sources",
     r"""
