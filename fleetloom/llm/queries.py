@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import contamination, exact, language, mixing, quality, secrets, simhash, tokens
+from fleetloom.llm import classlm, contamination, exact, language, mixing, quality, secrets, simhash, tokens
 from fleetloom.llm.common import in_fold, learnable, read, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,6 +216,23 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query("op7_class_lm")
+def class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model, counts = classlm.fit(docs.where(learnable("doc_id", 10, 0)))
+    scored = classlm.score(docs, model, counts)
+    return scored.select(
+        "doc_id",
+        in_fold("doc_id", 10, 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
+
+
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
