@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import classlm, contamination, exact, language, mixing, quality, secrets, simhash, tokens
+from fleetloom.llm import classlm, contamination, exact, language, lines, mixing, quality, secrets, simhash, tokens
 from fleetloom.llm.common import in_fold, learnable, read, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +233,11 @@ def class_lm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(read(spark, folder, "documents"))
+
+
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
