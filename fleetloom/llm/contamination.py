@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetloom.functions.durable import durable
-from fleetloom.llm.common import lower_ascii, text_or_empty
+from fleetloom.llm.common import document_key, lower_ascii, text_or_empty
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Windows of the benchmark that are broadcast at once, about 100 bytes each.
@@ -125,14 +125,6 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda done: done["total"])
 
 
-def document_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Id and text, which name a document: rows that repeat both are one document."""
-    return [
-        F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("key"),
-        F.xxhash64(text_or_empty(text_col)).alias("text_hash"),
-    ]
-
-
 def document_hits(
     docs: DataFrame,
     items: DataFrame,
@@ -144,11 +136,12 @@ def document_hits(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``key, text_hash, n_hit, items`` of the documents that have any window of any item."""
+    """``key, text_hash, n_words, n_hit, items`` of the documents that have any window of any item."""
     windows = durable(item_windows(items, width, item_id_col, item_text_col))
-    keyed = docs.select(*document_key(id_col, text_col), words_of(text_col).alias("words"))
+    split = docs.select(*document_key(id_col, text_col), words_of(text_col).alias("words"))
+    keyed = split.withColumn("n_words", F.size("words").cast("long"))
     found = durable(occurrences(keyed, windows.select("window", "size").distinct(), shingle, block))
-    of_document = ["key", "text_hash"]
+    of_document = ["key", "text_hash", "n_words"]
     hits = found.groupBy(*of_document).agg(
         covered(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))).alias("n_hit")
     )
@@ -173,7 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, one_in: int = 20, id_col: s
     rows = docs.select(
         F.col(id_col).alias("doc_id"), *document_key(id_col, text_col), F.size(words_of(text_col)).cast("long").alias("n_words")
     )
-    joined = rows.join(hits, ["key", "text_hash"], "left")
+    joined = rows.join(hits.drop("n_words"), ["key", "text_hash"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id",
@@ -182,3 +175,16 @@ def contamination(docs: DataFrame, items: DataFrame, one_in: int = 20, id_col: s
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text", **settings
+) -> DataFrame:
+    """The documents that are not contaminated, in the columns they came with."""
+    hits = document_hits(docs, items, id_col=id_col, text_col=text_col, **settings)
+    bad = hits.where(F.col("n_hit") * one_in >= F.col("n_words")).select(
+        F.col("key").alias("_key"), F.col("text_hash").alias("_hash")
+    )
+    key, text_hash = document_key(id_col, text_col)
+    packed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), text_hash.alias("_hash"))
+    return packed.join(bad, ["_key", "_hash"], "left_anti").select("_row.*")

@@ -8,10 +8,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetloom.functions.durable import durable
+from fleetloom.llm.common import document_key
 from fleetloom.llm.components import components
 
 BITS = 64
@@ -294,14 +295,15 @@ def near_links(marks: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFra
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, crowd: int = CROWD
 ) -> DataFrame:
-    """Which documents are near copies: ``doc_id, mark, root, component_id``, one row per input row.
+    """Which documents are near copies: ``doc_id, key, text_hash, mark, root, component_id``, one row per input row.
 
     Fingerprints within ``radius`` bits link, and a component is all that links reach. Only distinct
     fingerprints are compared, so copies cost nothing. ``root`` is the component's smallest fingerprint, and
     ``component_id`` its smallest document id; it is NULL if no document of the component has one. NULL and
     wordless texts have fingerprint 0 and link like others. Other columns are ignored.
     """
-    marked = durable(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("mark")))
+    mark = fingerprint(F.col(text_col), words).alias("mark")
+    marked = durable(docs.select(F.col(id_col).alias("doc_id"), *document_key(id_col, text_col), mark))
     distinct = durable(marked.groupBy("mark").agg(F.min("doc_id").alias("least")))
     hung = components(near_links(distinct.select("mark"), radius, crowd))
     rooted = distinct.join(hung, distinct["mark"] == hung["node"], "left").select(
@@ -309,4 +311,30 @@ def near_duplicates(
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_mark = durable(rooted.select("mark", "root").join(least, "root"))
-    return marked.join(of_mark, "mark").select("doc_id", "mark", "root", "component_id")
+    return marked.join(of_mark, "mark").select("doc_id", "key", "text_hash", "mark", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id, in the columns it came with.
+
+    Of a group without ids, and of rows that repeat an id, one stays as well: the choice depends on the
+    rows alone.
+    """
+    found = durable(near_duplicates(docs, id_col, text_col, **settings))
+    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min(F.struct("key", "text_hash")).alias("best")
+    )
+    times = found.groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    keepers = durable(best.select("best.*").join(times, ["key", "text_hash"])).select(
+        F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("times").alias("_times")
+    )
+    key, text_hash = document_key(id_col, text_col)
+    packed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), text_hash.alias("_hash"))
+    kept = packed.join(keepers, ["_key", "_hash"])
+    repeated = keepers.where("_times > 1")
+    if not repeated.isEmpty():
+        # Equal rows of one id: few, or the ids are no ids. The first by content stays.
+        rank = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.xxhash64("_row")))
+        first = kept.where("_times > 1").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+        kept = kept.where("_times = 1").unionByName(first)
+    return kept.select("_row.*")
