@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,15 +69,17 @@ def _hot_windows(candidate: Column, threshold: Column) -> Column:
     state = f"struct<i:int,counts:array<int>,total:double,from:int,to:int,out:{_HOT}>"
 
     def step(s: Column, code: Column) -> Column:
-        gone = F.when(s["i"] >= WINDOW, F.get(codes, s["i"] - WINDOW)).otherwise(F.lit(0))
-        less = F.get(s["counts"], gone)
         # Place 0 counts nothing; the character that goes out leaves before the other comes in.
+        come, gone = code["come"], code["gone"]
+        less = F.get(s["counts"], gone)
         left = s["total"] + F.when(gone > 0, F.get(weigh, less - 1) - F.get(weigh, less)).otherwise(F.lit(0.0))
-        more = F.get(s["counts"], code) - F.when(gone == code, 1).otherwise(0)
-        total = left + F.get(weigh, more + 1) - F.get(weigh, more)
+        more = F.get(s["counts"], come) - F.when(gone == come, 1).otherwise(0)
         counts = F.transform(
-            s["counts"], lambda n, j: n + F.when(j == code, 1).otherwise(0) - F.when((j == gone) & (gone > 0), 1).otherwise(0)
+            s["counts"], lambda n, j: n + F.when(j == come, 1).otherwise(0) - F.when((j == gone) & (gone > 0), 1).otherwise(0)
         )
+        return _bound(left + F.get(weigh, more + 1) - F.get(weigh, more), lambda total: moved(s, counts, total))
+
+    def moved(s: Column, counts: Column, total: Column) -> Column:
         i = s["i"] + 1
         hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= threshold)
         apart = hot & (s["to"] >= 0) & (i - WINDOW > s["to"])
@@ -102,7 +104,18 @@ def _hot_windows(candidate: Column, threshold: Column) -> Column:
     last = lambda s: F.when(
         s["to"] >= 0, F.concat(s["out"], F.array(F.struct(s["from"].alias("from"), s["to"].alias("to"))))
     ).otherwise(s["out"])
-    return F.aggregate(codes, begin, step, lambda s: last(s).cast(_HOT))
+
+    def slide(codes: Column) -> Column:
+        gone = lambda i: F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(0))
+        pairs = F.transform(codes, lambda come, i: F.struct(come.alias("come"), gone(i).alias("gone")))
+        return F.aggregate(pairs, begin, step, lambda s: last(s).cast(_HOT))
+
+    return _bound(codes, slide)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 _HOT = "array<struct<from:int,to:int>>"
