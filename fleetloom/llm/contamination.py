@@ -81,6 +81,8 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int = 3, block: in
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(-(-count // block))) == number)
         shingles = durable(_window_shingles(part, shingle))
         lengths = sorted(r[0] for r in shingles.select("length").distinct().collect())
+        if not lengths:
+            continue
         sought = F.broadcast(shingles.select("hash", "length").distinct())
         counted = (
             _document_shingles(docs.select("words"), lengths)
