@@ -15,10 +15,10 @@ def host_name(instance: Column) -> Column:
     return F.substring_index(instance, BACKSLASH, 1)
 
 
-def instance_name(instance: Column, default: str = "Default", length: int = 50) -> Column:
-    """Instance part of ``host\\instance`` cut to ``length``, or ``default`` for a default instance."""
+def instance_name(instance: Column, default: str = "Default", length: int | None = None) -> Column:
+    """Instance part of ``host\\instance`` cut to ``length`` if given, or ``default`` for a default instance."""
     at = F.instr(instance, BACKSLASH)
-    return F.when(at == 0, F.lit(default)).otherwise(F.substring(instance, at + 1, F.lit(length)))
+    return F.when(at == 0, F.lit(default)).otherwise(F.substring(instance, at + 1, F.length(instance) if length is None else F.lit(length)))
 
 
 def file_name(path: Column, separator: str = BACKSLASH) -> Column:

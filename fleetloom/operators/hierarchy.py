@@ -18,6 +18,9 @@ TREE_HEAD = "HEAD -  "
 TREE_BRANCH = "|------  "
 # End of the fixed values.
 
+# Digits of the largest process id there can be: ids are 32-bit numbers.
+ID_WIDTH = 10
+
 
 def paths_from_root(nodes: DataFrame, group: Sequence[str]) -> DataFrame:
     """Path from its root to every node that has one.
@@ -79,7 +82,7 @@ def blocking_tree(
         *group,
         F.col("node").alias("spid"),
         depth.alias("depth"),
-        F.concat_ws("/", F.transform("path", lambda p: F.lpad(p.cast("string"), 6, "0"))).alias("path_key"),
+        F.concat_ws("/", F.transform("path", lambda p: F.lpad(p.cast("string"), ID_WIDTH, "0"))).alias("path_key"),
     )
     line = F.concat(
         F.lit(TREE_MARGIN),
@@ -129,7 +132,7 @@ def blocked_hierarchy(reports: DataFrame) -> DataFrame:
         F.struct("spid", "ecid").alias("node"),
         F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"),
     )
-    step = lambda p: F.concat_ws(".", F.lpad(p["spid"].cast("string"), 6, "0"), F.lpad(p["ecid"].cast("string"), 6, "0"))
+    step = lambda p: F.concat_ws(".", F.lpad(p["spid"].cast("string"), ID_WIDTH, "0"), F.lpad(p["ecid"].cast("string"), ID_WIDTH, "0"))
     placed = paths_from_root(edges.unionByName(heads), ["monitorloop"]).select(
         "monitorloop",
         F.col("node.spid").alias("spid"),

@@ -226,7 +226,10 @@ def index_scope(
     updates = _total("leaf_update_count", "nonleaf_update_count")
     splits = known(("leaf_allocation_count", "nonleaf_allocation_count"))
     place = [*INDEX, "partition_number"]
-    activity = operational.select(
+    counted = ("leaf_insert", "nonleaf_insert", "leaf_update", "nonleaf_update", "leaf_delete", "nonleaf_delete", "leaf_allocation", "nonleaf_allocation")
+    # One row per index partition, however often its statistics were taken: a candidate meets at most one.
+    summed = operational.groupBy(*place).agg(*[F.sum(f"{c}_count").alias(f"{c}_count") for c in counted])
+    activity = summed.select(
         *place,
         splits.alias("total_pagesplits"),
         (F.coalesce(F.try_divide(splits.cast("double"), inserts + updates), F.lit(0.0)) * 100).alias("pagesplit_percent"),

@@ -87,10 +87,10 @@ def missing_indexes(df: DataFrame, min_impact: float = 50, min_requests: int = 5
     )
 
 
-def size_log(df: DataFrame, as_of: AsOf, days: int = 60) -> DataFrame:
+def size_log(df: DataFrame, as_of: AsOf, days: int = 60, name_length: int | None = None) -> DataFrame:
     """File sizes of the last days on primary replicas, with host, instance and month parts.
 
-    The instance name is cut to 15 characters; for a default instance it is the host name.
+    The instance name is cut to ``name_length`` if given; for a default instance it is the host name.
     """
     full = F.col("instancefullname")
     return df.where(
@@ -98,7 +98,7 @@ def size_log(df: DataFrame, as_of: AsOf, days: int = 60) -> DataFrame:
     ).select(
         full.alias("sqlinstancefullname"),
         text.host_name(full).alias("host_name"),
-        F.substring(full, F.instr(full, "\\") + 1, F.lit(15)).alias("instancename"),
+        F.substring(full, F.instr(full, "\\") + 1, F.length(full) if name_length is None else F.lit(name_length)).alias("instancename"),
         F.month("db_logdate").alias("monthnum"),
         F.year("db_logdate").alias("yearnum"),
         "db_logdate",

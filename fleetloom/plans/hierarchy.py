@@ -30,11 +30,11 @@ TREE_SQL = """
                CASE user_id + 1 WHEN 5 THEN 14 WHEN 14 THEN 5 ELSE (user_id + 1) // 3 END AS blocked
         FROM events GROUP BY ALL),
     tree AS (
-        SELECT *, 0 AS depth, lpad(CAST(spid AS VARCHAR), 6, '0') AS path_key FROM p h
+        SELECT *, 0 AS depth, lpad(CAST(spid AS VARCHAR), 10, '0') AS path_key FROM p h
         WHERE blocked = 0 AND EXISTS (SELECT 1 FROM p c WHERE c.instance_fullname = h.instance_fullname
                                         AND c.sample_time = h.sample_time AND c.blocked = h.spid)
         UNION ALL
-        SELECT c.*, t.depth + 1, t.path_key || '/' || lpad(CAST(c.spid AS VARCHAR), 6, '0')
+        SELECT c.*, t.depth + 1, t.path_key || '/' || lpad(CAST(c.spid AS VARCHAR), 10, '0')
         FROM p c JOIN tree t ON c.instance_fullname = t.instance_fullname AND c.sample_time = t.sample_time
                             AND c.blocked = t.spid
         WHERE c.blocked > 0)
@@ -119,11 +119,11 @@ def block_heads(tables: Tables) -> DataFrame:
     h AS (SELECT monitorloop, by_spid AS spid FROM u EXCEPT SELECT monitorloop, spid FROM u),
     t AS (
         SELECT monitorloop, spid, 0 AS level,
-               '/' || lpad(CAST(spid AS VARCHAR), 6, '0') || '.' || lpad(CAST(spid % 2 AS VARCHAR), 6, '0') || '/' AS chain
+               '/' || lpad(CAST(spid AS VARCHAR), 10, '0') || '.' || lpad(CAST(spid % 2 AS VARCHAR), 10, '0') || '/' AS chain
         FROM h
         UNION ALL
         SELECT u.monitorloop, u.spid, t.level + 1,
-               t.chain || lpad(CAST(u.spid AS VARCHAR), 6, '0') || '.' || lpad(CAST(u.spid % 2 AS VARCHAR), 6, '0') || '/'
+               t.chain || lpad(CAST(u.spid AS VARCHAR), 10, '0') || '.' || lpad(CAST(u.spid % 2 AS VARCHAR), 10, '0') || '/'
         FROM u JOIN t ON u.monitorloop = t.monitorloop AND u.by_spid = t.spid)
     SELECT t.monitorloop, coalesce(strftime(endtime, '%Y-%m-%d %H:%M:%S'), 'Lead') AS tracetime, duration, databasename,
            repeat(' ', 4 * level) || t.spid || CASE t.spid % 2 WHEN 0 THEN '' ELSE '(1)' END AS blockingtree, report_xml,

@@ -284,10 +284,11 @@ def fragmentation(tables: Tables) -> DataFrame:
 def scope_sql(write: str, read: str) -> str:
     return f"""
     WITH {INDEX_FLEET_SQL},
-    a AS (SELECT o_custkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS ix, o_orderkey,
-                 q + w AS splits, coalesce(round((q + w) * 100.0::DOUBLE / nullif(w + o.o, 0), 4), 0) AS split_pct,
-                 w AS ins, o.o AS upd, o.o + w AS del
-          FROM orders JOIN o ON l_orderkey = o_orderkey)
+    a AS (SELECT o_custkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS ix,
+                 CAST(sum(q + w) AS BIGINT) AS splits,
+                 coalesce(round(sum(q + w) * 100.0::DOUBLE / nullif(sum(w + o.o), 0), 4), 0) AS split_pct,
+                 CAST(sum(w) AS BIGINT) AS ins, CAST(sum(o.o) AS BIGINT) AS upd, CAST(sum(o.o + w) AS BIGINT) AS del
+          FROM orders JOIN o ON l_orderkey = o_orderkey GROUP BY 1, 2)
     SELECT p.o_custkey AS object_id, p.ix AS index_id, n_name AS schema_name, c_name AS table_name,
            'ix' || p.ix AS index_name, round(pages * 8 / 1024.0::DOUBLE, 2) AS size_mb, frag AS avg_fragmentation_in_percent,
            p.ix + 2 AS type, p.ix = 1 AS is_primary_key, CASE WHEN c_nationkey <> 3 THEN c_nationkey ELSE 0 END AS fill_factor,

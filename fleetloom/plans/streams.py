@@ -17,7 +17,8 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, valu
 
 def event_stream(tables: Tables) -> DataFrame:
     return (
-        tables.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(tables.folder)
+        # As a pattern the path may be one file or a folder of files.
+        tables.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 64).parquet(f"{tables.folder.rstrip('/')}/events.parque[t]")
     )
 
 

@@ -131,7 +131,7 @@ def missing_indexes(tables: Tables) -> DataFrame:
     WITH s AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'warehouse-server-one'
                               ELSE replace(o_orderpriority, '-', '\\') END AS full_name FROM orders)
     SELECT full_name AS sqlinstancefullname, split_part(full_name, '\\', 1) AS host_name,
-           substr(full_name, strpos(full_name, '\\') + 1, 15) AS instancename,
+           substr(full_name, strpos(full_name, '\\') + 1) AS instancename,
            CAST(month(o_orderdate) AS INTEGER) AS monthnum, CAST(year(o_orderdate) AS INTEGER) AS yearnum,
            o_orderdate AS db_logdate, 'db' || o_custkey AS databasename, 1 AS ag_isjoined,
            CASE o_orderstatus WHEN 'O' THEN 1 ELSE 2 END AS ag_isprimary, o_orderstatus AS db_filetype,

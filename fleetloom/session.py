@@ -32,7 +32,7 @@ def size_shuffles(spark: SparkSession, shuffled_bytes: int, per_task: int = 128
     Tasks then get about ``per_task`` bytes, few enough to sort without much spilling; partitions
     that turn out small are put together at run time.
     """
-    partitions = min(max(-(-shuffled_bytes // per_task), 200), 200_000)
+    partitions = max(-(-shuffled_bytes // per_task), 200)
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return partitions
 

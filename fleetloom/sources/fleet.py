@@ -69,7 +69,7 @@ def fleet_union(
         if good
         else spark.createDataFrame([], tagged)
     )
-    failed = [(process_name, name, error[:4000]) for name, _, error in staged if error is not None]
+    failed = [(process_name, name, error) for name, _, error in staged if error is not None]
     return FleetResult(data, spark.createDataFrame(failed, ERRORS), [name for name, _ in good])
 
 

@@ -86,7 +86,7 @@ DATABASES = (
 MASTER_FILES = ("instance_fullname STRING, database_id INT, type SMALLINT, size BIGINT")
 REPLICA_STATES = (
     "instance_fullname STRING, group_database_id STRING, group_id STRING, is_local BOOLEAN, "
-    "is_primary_replica BOOLEAN"
+    "is_primary_replica BOOLEAN, is_preferred_backup BOOLEAN"
 )
 AVAILABILITY_GROUPS = ("instance_fullname STRING, group_id STRING, name STRING")
 EXTENDED_PROPERTIES = (
