@@ -75,7 +75,7 @@ def test_deep_chain_and_many_children_match_a_walk(short):
     import sys
     sys.setrecursionlimit(5000)
     assert len(got) == 1199
-    assert all(got[i] == (len(path(i)) - 1, "/".join(f"{n:06d}" for n in path(i))) for i in parents)
+    assert all(got[i] == (len(path(i)) - 1, "/".join(f"{n:010d}" for n in path(i))) for i in parents)
 
 
 def reports(table, rows):

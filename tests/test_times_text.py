@@ -33,9 +33,10 @@ def test_host_and_instance(short):
     assert tuples(got) == [(None, None), ("srv01", "prod"), ("srv02", "Default")]
 
 
-def test_instance_name_is_cut(short):
+def test_instance_name_is_cut_on_demand_only(short):
     df = short("i STRING", [("h\\" + "x" * 60,)])
-    assert df.select(text.instance_name(F.col("i"))).first()[0] == "x" * 50
+    assert df.select(text.instance_name(F.col("i"))).first()[0] == "x" * 60
+    assert df.select(text.instance_name(F.col("i"), length=50)).first()[0] == "x" * 50
 
 
 def test_file_and_folder(short):

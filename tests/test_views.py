@@ -51,7 +51,10 @@ def test_size_log(table):
 
     df = table(schemas.DATABASE_SIZE_LOG, [
         row("h1\\production-instance-x", 1), row("a-very-long-host-name", 2), row("h2\\i", 0), row("h2\\i", 1, "2023-01-01")])
-    assert tuples(views.size_log(df, "2024-02-01"), "host_name", "instancename", "monthnum", "yearnum") == [
+    wanted = ("host_name", "instancename", "monthnum", "yearnum")
+    assert tuples(views.size_log(df, "2024-02-01"), *wanted) == [
+        ("a-very-long-host-name", "a-very-long-host-name", 1, 2024), ("h1", "production-instance-x", 1, 2024)]
+    assert tuples(views.size_log(df, "2024-02-01", name_length=15), *wanted) == [
         ("a-very-long-host-name", "a-very-long-hos", 1, 2024), ("h1", "production-inst", 1, 2024)]
 
 
