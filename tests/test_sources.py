@@ -56,7 +56,7 @@ def test_shuffles_are_sized(spark):
     assert session.size_shuffles(spark, 1 << 20) == 200
     assert session.size_shuffles(spark, 10 << 40) == 81920
     assert spark.conf.get("spark.sql.shuffle.partitions") == "81920"
-    assert session.size_shuffles(spark, 100 << 40) == 200_000
+    assert session.size_shuffles(spark, 100 << 40) == 819_200
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
