@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,50 +22,58 @@ TREE_BRANCH = "|------  "
 # Digits of the largest process id there can be: ids are 32-bit numbers.
 ID_WIDTH = 10
 
+# Loop numbers count per server.
+LOOP = ("instance_fullname", "monitorloop")
 
-def paths_from_root(nodes: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Path from its root to every node that has one.
 
-    ``nodes`` has ``node`` (unique within ``group``) and ``parent`` (NULL for roots). Each round joins
-    a node with the node its path begins below, so paths double in length per round and the number of
-    rounds is the logarithm of the depth. Nodes on or below a cycle, or below a missing node, have no
-    root and no result row; a round that completes nothing has only such nodes left.
+def paths_from_root(edges: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Every path from a root to a node, as ``node`` and ``path``.
+
+    ``edges`` has ``node`` and ``parent`` (NULL for roots), each pair once within ``group``; a node may have
+    several parents, and has a path by each. Each round joins a path with all that lead to the node it begins
+    below, so paths double in length per round and the number of rounds is the logarithm of the depth. A path
+    that meets itself is left out, and one below a missing node finds nothing to join: what lies only on or
+    below a cycle or a missing node has no result row. A round writes only the paths it made longer.
     """
-    state = durable(nodes.select(*group, "node", F.col("parent").alias("_above"), F.array("node").alias("path")))
-    unfinished = state.where(F.col("_above").isNotNull())
-    left = unfinished.count()
-    while left:
-        upper = state.select(
-            *group, F.col("node").alias("_above"), F.col("path").alias("_upper"), F.col("_above").alias("_next")
-        )
-        # A blocker with very many blocked nodes is a hot key on one side only, and unique on the
-        # other: the run-time skew split of the join applies.
-        longer = unfinished.join(upper, [*group, "_above"]).select(
-            *group, "node", F.col("_next").alias("_above"), F.concat("_upper", "path").alias("path")
+    above = F.col("_above")
+    latest = durable(edges.select(*group, "node", F.col("parent").alias("_above"), F.array("node").alias("path")))
+    finished, unfinished = [latest.where(above.isNull())], latest.where(above.isNotNull())
+    while not unfinished.isEmpty():
+        known = reduce(DataFrame.unionByName, [*finished, unfinished])
+        upper = known.select(*group, F.col("node").alias("_above"), F.col("path").alias("_upper"), above.alias("_next"))
+        # A blocker with very many blocked nodes is a hot key on one side only: the run-time skew
+        # split of the join applies.
+        longer = unfinished.join(upper, [*group, "_above"]).where(~F.arrays_overlap("_upper", "path"))
+        latest = durable(
+            longer.select(*group, "node", F.col("_next").alias("_above"), F.concat("_upper", "path").alias("path"))
         )
-        state = durable(state.where(F.col("_above").isNull()).unionByName(longer))
-        unfinished = state.where(F.col("_above").isNotNull())
-        before, left = left, unfinished.count()
-        if left == before:
-            break
-    return state.where(F.col("_above").isNull()).select(*group, "node", "path")
+        finished.append(latest.where(above.isNull()))
+        unfinished = latest.where(above.isNotNull())
+    return reduce(DataFrame.unionByName, finished).select(*group, "node", "path")
+
 
+def _blocking_edges(processes: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of processes that block or are blocked, one per process and blocker, and the edges between them.
 
-def _blocking_nodes(processes: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Processes that block or are blocked, one row each, and their nodes with parents."""
+    ``_parent`` is the blocker, 0 for a row that waits for nobody; such rows count only if they block others.
+    """
     is_blocked = (F.col("blocked") > 0) & (F.col("blocked") != F.col("spid"))
-    blockers = processes.where(is_blocked).select(*group, F.col("blocked").alias("spid")).distinct()
+    blocked = processes.where(is_blocked)
+    free = processes.where((F.col("blocked") == 0) | (F.col("blocked") == F.col("spid")))
+    blockers = blocked.select(*group, F.col("blocked").alias("spid")).distinct()
     # Most processes of a log have no part in any blocking: they leave before the rows are ranked.
-    concerned = processes.join(blockers.withColumn("_blocks", F.lit(True)), [*group, "spid"], "left").where(
-        is_blocked | F.col("_blocks")
+    concerned = blocked.unionByName(free.join(blockers, [*group, "spid"], "left_semi")).withColumn(
+        "_parent", F.when(is_blocked, F.col("blocked")).otherwise(0)
     )
     rest = [c for c in processes.columns if c not in {*group, "spid", "blocked"}]
-    involved = durable(first_per_key(concerned, [*group, "spid"], [F.desc("blocked"), *rest]))
-    edges = involved.where(is_blocked).select(*group, F.col("spid").alias("node"), F.col("blocked").alias("parent"))
-    heads = involved.where(F.col("_blocks") & ((F.col("blocked") == 0) | (F.col("blocked") == F.col("spid")))).select(
-        *group, F.col("spid").alias("node"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent")
-    )
-    return involved.drop("_blocks"), edges.unionByName(heads)
+    involved = durable(first_per_key(concerned, [*group, "spid", "_parent"], [F.desc("blocked"), *rest]))
+    parent = F.when(F.col("_parent") != 0, F.col("_parent")).cast(processes.schema["spid"].dataType)
+    return involved, involved.select(*group, F.col("spid").alias("node"), parent.alias("parent"))
+
+
+def _parent_in(path: str) -> Column:
+    """Second last element of a path; NULL for a root."""
+    return F.try_element_at(path, F.lit(-2))
 
 
 def blocking_tree(
@@ -73,15 +82,16 @@ def blocking_tree(
     """Blocking trees of every snapshot: head blockers, whom they block, and so on.
 
     Adds ``depth``, ``path_key`` (sorts a tree in reading order) and ``blocking_tree`` (indented text).
-    Processes are reduced to one row per id and snapshot first; one row per blocked thread is shown
-    as the row that names a blocker.
+    Rows are reduced to one per snapshot, process and blocker first. A process whose threads wait for
+    several blockers stands below each of them, with all that it blocks; one that also has a thread that
+    waits for nobody is a head besides.
     """
-    involved, nodes = _blocking_nodes(processes, group)
-    depth = F.size("path") - 1
-    placed = paths_from_root(nodes, group).select(
+    involved, edges = _blocking_edges(processes, group)
+    placed = paths_from_root(edges, group).select(
         *group,
         F.col("node").alias("spid"),
-        depth.alias("depth"),
+        F.coalesce(_parent_in("path"), F.lit(0)).alias("_parent"),
+        (F.size("path") - 1).alias("depth"),
         F.concat_ws("/", F.transform("path", lambda p: F.lpad(p.cast("string"), ID_WIDTH, "0"))).alias("path_key"),
     )
     line = F.concat(
@@ -92,18 +102,18 @@ def blocking_tree(
         F.lit(" "),
         one_line(F.col(text_col)),
     )
-    return involved.join(placed, [*group, "spid"]).withColumn("blocking_tree", line)
+    return involved.join(placed, [*group, "spid", "_parent"]).drop("_parent").withColumn("blocking_tree", line)
 
 
 def unreached(
     processes: DataFrame, group: Sequence[str] = ("instance_fullname", "sample_time")
 ) -> DataFrame:
-    """Blocked processes in no tree: in a cycle (deadlock), below one, or below a process not sampled."""
-    involved, nodes = _blocking_nodes(processes, group)
-    reached = paths_from_root(nodes, group).select(*group, F.col("node").alias("spid"))
-    return involved.where((F.col("blocked") > 0) & (F.col("blocked") != F.col("spid"))).join(
-        reached, [*group, "spid"], "left_anti"
+    """Blocked rows in no tree: part of a cycle (deadlock), below one, or below a process not sampled."""
+    involved, edges = _blocking_edges(processes, group)
+    reached = paths_from_root(edges, group).select(
+        *group, F.col("node").alias("spid"), F.coalesce(_parent_in("path"), F.lit(0)).alias("_parent")
     )
+    return involved.where(F.col("_parent") != 0).join(reached, [*group, "spid", "_parent"], "left_anti").drop("_parent")
 
 
 def _identity(kind: str) -> Column:
@@ -111,51 +121,47 @@ def _identity(kind: str) -> Column:
 
 
 def block_heads(reports: DataFrame) -> DataFrame:
-    """Blockers of each monitor loop that are not blocked themselves."""
-    blocker = reports.select(
-        "monitorloop", F.col("blocking_spid").alias("spid"), F.col("blocking_ecid").alias("ecid")
-    ).distinct()
-    blocked = reports.select("monitorloop", F.col("blocked_spid").alias("spid"), F.col("blocked_ecid").alias("ecid"))
-    return blocker.join(blocked, ["monitorloop", "spid", "ecid"], "left_anti")
+    """Blockers of each server's monitor loops that are not blocked themselves in the loop."""
+    blocker = reports.select(*LOOP, F.col("blocking_spid").alias("spid"), F.col("blocking_ecid").alias("ecid")).distinct()
+    blocked = reports.select(*LOOP, F.col("blocked_spid").alias("spid"), F.col("blocked_ecid").alias("ecid"))
+    return blocker.join(blocked, [*LOOP, "spid", "ecid"], "left_anti")
 
 
 def blocked_hierarchy(reports: DataFrame) -> DataFrame:
-    """Blocked-process reports as trees per monitor loop, head blockers included as 'Lead' rows.
+    """Blocked-process reports as trees per server and monitor loop, head blockers included as 'Lead' rows.
 
-    ``chain`` orders a loop's rows; its numbers are padded, so it orders them as numbers.
+    One report per blocked and blocking process of a loop counts; who is blocked by several stands below
+    each. ``chain`` orders a loop's rows; its numbers are padded, so it orders them as numbers.
     """
-    rest = [c for c in reports.columns if c not in ("monitorloop", "blocked_spid", "blocked_ecid")]
-    once = durable(first_per_key(reports, ["monitorloop", "blocked_spid", "blocked_ecid"], rest))
-    edges = once.select("monitorloop", _identity("blocked").alias("node"), _identity("blocking").alias("parent"))
+    ends = ["blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"]
+    rest = [c for c in reports.columns if c not in {*LOOP, *ends}]
+    once = durable(first_per_key(reports, [*LOOP, *ends], rest))
+    edges = once.select(*LOOP, _identity("blocked").alias("node"), _identity("blocking").alias("parent"))
     heads = block_heads(once).select(
-        "monitorloop",
+        *LOOP,
         F.struct("spid", "ecid").alias("node"),
         F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"),
     )
     step = lambda p: F.concat_ws(".", F.lpad(p["spid"].cast("string"), ID_WIDTH, "0"), F.lpad(p["ecid"].cast("string"), ID_WIDTH, "0"))
-    placed = paths_from_root(edges.unionByName(heads), ["monitorloop"]).select(
-        "monitorloop",
-        F.col("node.spid").alias("spid"),
-        F.col("node.ecid").alias("ecid"),
+    placed = paths_from_root(edges.unionByName(heads), LOOP).select(
+        *LOOP,
+        F.col("node.spid").alias("blocked_spid"),
+        F.col("node.ecid").alias("blocked_ecid"),
+        _parent_in("path")["spid"].alias("blocking_spid"),
+        _parent_in("path")["ecid"].alias("blocking_ecid"),
         (F.size("path") - 1).alias("level"),
         F.concat(F.lit("/"), F.concat_ws("/", F.transform("path", step)), F.lit("/")).alias("chain"),
     )
-    report = once.select(
-        "monitorloop",
-        F.col("blocked_spid").alias("spid"),
-        F.col("blocked_ecid").alias("ecid"),
-        "endtime",
-        "duration",
-        "databasename",
-        "report_xml",
-    )
-    worker = F.when(F.col("ecid") == 0, "").otherwise(F.concat(F.lit("("), F.col("ecid").cast("string"), F.lit(")")))
-    return placed.join(report, ["monitorloop", "spid", "ecid"], "left").select(
-        "monitorloop",
+    report = once.select(*LOOP, *ends, "endtime", "duration", "databasename", "report_xml")
+    spid, ecid = F.col("blocked_spid"), F.col("blocked_ecid")
+    worker = F.when(ecid == 0, "").otherwise(F.concat(F.lit("("), ecid.cast("string"), F.lit(")")))
+    # A head has no blocker, and so meets no report.
+    return placed.join(report, [*LOOP, *ends], "left").select(
+        *LOOP,
         F.coalesce(F.date_format("endtime", "yyyy-MM-dd HH:mm:ss"), F.lit("Lead")).alias("tracetime"),
         "duration",
         "databasename",
-        F.concat(F.repeat(F.lit(" "), F.col("level") * 4), F.col("spid").cast("string"), worker).alias("blockingtree"),
+        F.concat(F.repeat(F.lit(" "), F.col("level") * 4), spid.cast("string"), worker).alias("blockingtree"),
         "report_xml",
         "level",
         "chain",

@@ -18,12 +18,12 @@ TRACE_EVENT = "_name STRING, Column ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>
 TRACE_FILE = "Events STRUCT<Event: ARRAY<STRUCT<_name: STRING, Column: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>>"
 PERSON = "results ARRAY<STRUCT<name: STRUCT<first: STRING, last: STRING>>>"
 REPORT_TEXT = r"(?s)<blocked-process-report\b.*?</blocked-process-report>"
-EVENT_TEXT = r"(?s)<event\b.*?</event>"
+# One event: its start tag, in which quoted values may hold any character, then either the end of a
+# tag without content or all up to the end tag.
+EVENT_TEXT = r"""(?s)<event(?=[\s/>])(?:"[^"]*"|'[^']*'|[^"'>/]+)*+(?:/>|>.*?</event\s*>)"""
 REPORT_EVENT = "blocked_process_report"
 REPORT_EVENT_CLASS = 137
 TRACE_REPORT_EVENT = "Blocked process report"
-TEXT_LENGTH = 150
-NAME_LENGTH = 50
 UNREADABLE = "??"
 # End of the fixed values.
 
@@ -36,10 +36,21 @@ def _named(pairs: Column, name: str, value: str = "value") -> Column:
     return F.try_element_at(hit, F.lit(1))[value]
 
 
-def long_running_queries(buffers: DataFrame, as_of: AsOf, days: int = 1, first_only: bool = False) -> DataFrame:
+def _cut(text: Column, length: int | None) -> Column:
+    return text if length is None else F.left(text, F.lit(length))
+
+
+def long_running_queries(
+    buffers: DataFrame,
+    as_of: AsOf,
+    days: int = 1,
+    first_only: bool = False,
+    name_length: int | None = None,
+    text_length: int | None = None,
+) -> DataFrame:
     """Slow-query events of the last days from ring-buffer documents, one row per event with a text.
 
-    The report shows the first 150 characters of a statement.
+    Names and statements are whole unless a length is given (the original report has 50 and 150).
 
     ``first_only`` gives one row per document, made of the first value of each kind found in it.
     """
@@ -55,12 +66,12 @@ def long_running_queries(buffers: DataFrame, as_of: AsOf, days: int = 1, first_o
     pairs = F.col("data")
     rows = events.select(
         F.col("instance_fullname").alias("servername"),
-        F.left("_name", F.lit(50)).alias("name"),
-        F.left("_package", F.lit(50)).alias("package"),
+        _cut(F.col("_name"), name_length).alias("name"),
+        _cut(F.col("_package"), name_length).alias("package"),
         F.col("_timestamp").try_cast("timestamp").alias("timestamp"),
         *[_named(pairs, name).try_cast("bigint").alias(name) for name in ("cpu_time", "duration", "physical_reads")],
-        F.left(_named(pairs, "batch_text"), F.lit(TEXT_LENGTH)).alias("batch_text"),
-        F.left(_named(pairs, "Statement"), F.lit(TEXT_LENGTH)).alias("statement"),
+        _cut(_named(pairs, "batch_text"), text_length).alias("batch_text"),
+        _cut(_named(pairs, "Statement"), text_length).alias("statement"),
     )
     return rows.where((F.col("timestamp") >= times.days_before(as_of, days)) & F.col("batch_text").isNotNull())
 
@@ -75,7 +86,7 @@ def parsed_once(rows: DataFrame, column: str, schema: str, options: dict | None
 
 
 def _reports(rows: DataFrame, unknown_loop: Column | None = None) -> DataFrame:
-    """Rows with ``report_xml``, ``endtime``, ``duration``, ``databasename`` to the common layout."""
+    """Rows with ``instance_fullname``, ``report_xml``, ``endtime``, ``duration``, ``databasename`` to the common layout."""
     parsed = parsed_once(rows, "report_xml", REPORT)
 
     def process(kind: str, attribute: str) -> Column:
@@ -88,6 +99,7 @@ def _reports(rows: DataFrame, unknown_loop: Column | None = None) -> DataFrame:
         unknown_loop if unknown_loop is not None else F.sha2(F.col("report_xml"), 256),
     )
     return parsed.select(
+        "instance_fullname",
         loop.alias("monitorloop"),
         "databasename",
         "endtime",
@@ -112,16 +124,19 @@ def _report_text(event_text: Column) -> Column:
 
 def trace_rows(rows: DataFrame) -> DataFrame:
     """Trace table or trace file rows: the event class tells reports, the text is the report."""
-    reports = rows.where(F.col("eventclass") == REPORT_EVENT_CLASS).select("endtime", F.col("textdata").alias("report_xml"))
+    reports = rows.where(F.col("eventclass") == REPORT_EVENT_CLASS).select(
+        "instance_fullname", "endtime", F.col("textdata").alias("report_xml")
+    )
     return _reports(_without_measures(reports))
 
 
 def event_files(rows: DataFrame) -> DataFrame:
     """One event document per row: time, duration (microseconds to whole milliseconds), database, report."""
-    parsed = parsed_once(rows.select("textdata"), "textdata", EVENT)
+    parsed = parsed_once(rows.select("instance_fullname", "textdata"), "textdata", EVENT)
     pairs = F.when(F.col("_name") == REPORT_EVENT, F.col("data"))
     return _reports(
         parsed.select(
+            "instance_fullname",
             _report_text(F.col("textdata")).alias("report_xml"),
             F.col("_timestamp").try_cast("timestamp").alias("endtime"),
             _named(pairs, "duration").try_cast("bigint").alias("_micros"),
@@ -132,11 +147,13 @@ def event_files(rows: DataFrame) -> DataFrame:
 
 def ring_buffers(rows: DataFrame) -> DataFrame:
     """Ring-buffer documents of many events."""
-    events = rows.select(F.explode(F.regexp_extract_all("textdata", F.lit(EVENT_TEXT), F.lit(0))).alias("_text"))
+    texts = F.explode(F.regexp_extract_all("textdata", F.lit(EVENT_TEXT), F.lit(0)))
+    events = rows.select("instance_fullname", texts.alias("_text"))
     parsed = parsed_once(events, "_text", EVENT).where(F.col("_name") == REPORT_EVENT)
     return _reports(
         _without_measures(
             parsed.select(
+                "instance_fullname",
                 F.col("_timestamp").try_cast("timestamp").alias("endtime"),
                 _report_text(F.col("_text")).alias("report_xml"),
             )
@@ -148,6 +165,7 @@ def trace_events(events: DataFrame) -> DataFrame:
     """Events of exported trace files, one per row, the report as escaped text in a column element."""
     columns = F.col("Column")
     reports = events.where(F.col("_name") == TRACE_REPORT_EVENT).select(
+        "instance_fullname",
         F.left(_named(columns, "EndTime", "_VALUE"), F.lit(19)).try_cast("timestamp").alias("endtime"),
         _named(columns, "TextData", "_VALUE").alias("report_xml"),
     )
@@ -156,8 +174,8 @@ def trace_events(events: DataFrame) -> DataFrame:
 
 def trace_documents(rows: DataFrame) -> DataFrame:
     """Whole exported trace files, one per row; for large files read their events instead."""
-    parsed = rows.select(F.from_xml("textdata", TRACE_FILE, IGNORE_NAMESPACE)["Events"]["Event"].alias("_events"))
-    return trace_events(parsed.select(F.inline("_events")))
+    events = F.from_xml("textdata", TRACE_FILE, IGNORE_NAMESPACE)["Events"]["Event"]
+    return trace_events(rows.select("instance_fullname", events.alias("_events")).select("instance_fullname", F.inline("_events")))
 
 
 SHAPES = {
@@ -175,13 +193,14 @@ def shred_blocked_reports(rows: DataFrame, shape: str) -> DataFrame:
     return SHAPES[shape](rows)
 
 
-def xml_person_names(payloads: DataFrame) -> DataFrame:
+def xml_person_names(payloads: DataFrame, length: int | None = None) -> DataFrame:
     """First and last name of every result in the documents; unreadable names are left out.
 
-    A result without one of the two names gives NULL.
+    A result without one of the two names gives NULL. Names are whole unless a length is given (the
+    original has 50 for each of the two).
     """
     results = payloads.select(F.inline(F.from_xml("payload", PERSON)["results"]))
-    first, last = (F.left(F.col("name")[part], F.lit(NAME_LENGTH)) for part in ("first", "last"))
+    first, last = (_cut(F.col("name")[part], length) for part in ("first", "last"))
     return results.select(F.concat(first, F.lit(" "), last).alias("full_name")).where(
         ~F.coalesce(F.contains("full_name", F.lit(UNREADABLE)), F.lit(False))
     )

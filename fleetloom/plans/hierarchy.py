@@ -8,36 +8,56 @@ from pyspark.sql import functions as F
 from fleetloom.operators import hierarchy
 from fleetloom.plans.registry import Tables, query
 
+# Process ids begin above this number: they have seven digits.
+BIG = 1_000_000
+
 
 def event_processes(tables: Tables) -> DataFrame:
-    """One snapshot per event type and day; users seen that day are its processes."""
+    """One snapshot per event type and day; users seen that day are its processes, each with two threads.
+
+    The second thread waits for nobody, for itself, for the first process or, like the first, for the
+    user at a third of its number.
+    """
     spid = F.col("user_id") + 1
+    # User 4 of three and user 13 of four block each other: a cycle without a head.
+    by = F.when(spid == 5, 14).when(spid == 14, 5).otherwise(F.floor(spid / 3))
+    also = F.when(spid % 4 == 0, 0).when(spid % 4 == 1, spid).when(spid % 4 == 2, F.when(spid > 1, 1).otherwise(0)).otherwise(by)
+    big = lambda c: F.when(c > 0, c + BIG).otherwise(0)
     return tables.events.select(
         F.col("event_type").alias("instance_fullname"),
         F.date_trunc("day", "ts").alias("sample_time"),
-        spid.alias("spid"),
-        # User 4 of three and user 13 of four block each other: a cycle without a head.
-        F.when(spid == 5, 14).when(spid == 14, 5).otherwise(F.floor(spid / 3)).alias("blocked"),
+        big(spid).alias("spid"),
+        F.explode(F.array(big(by), big(also))).alias("blocked"),
         F.col("event_id").alias("cpu"),
         F.concat(F.lit("select\n"), F.col("event_id").cast("string")).alias("sql_text"),
     )
 
 
-TREE_SQL = """
-    WITH RECURSIVE p AS (
-        SELECT event_type AS instance_fullname, date_trunc('day', ts) AS sample_time, user_id + 1 AS spid,
-               min(event_id) AS cpu,
-               CASE user_id + 1 WHEN 5 THEN 14 WHEN 14 THEN 5 ELSE (user_id + 1) // 3 END AS blocked
-        FROM events GROUP BY ALL),
+# One row per process and blocker: the row of the smallest event, and no blocker before itself.
+TREE_SQL = f"""
+    WITH RECURSIVE seen AS (
+        SELECT event_type AS instance_fullname, date_trunc('day', ts) AS sample_time, user_id + 1 AS id, event_id AS cpu,
+               CASE user_id + 1 WHEN 5 THEN 14 WHEN 14 THEN 5 ELSE (user_id + 1) // 3 END AS blocker
+        FROM events),
+    threads AS (
+        SELECT instance_fullname, sample_time, id, cpu, blocker FROM seen
+        UNION ALL
+        SELECT instance_fullname, sample_time, id, cpu,
+               CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN id WHEN 2 THEN CASE WHEN id > 1 THEN 1 ELSE 0 END ELSE blocker END FROM seen),
+    p AS (
+        SELECT instance_fullname, sample_time, id + {BIG} AS spid, CASE WHEN max(blocker) > 0 THEN max(blocker) + {BIG} ELSE 0 END AS blocked,
+               CASE WHEN blocker = id OR blocker = 0 THEN 0 ELSE blocker + {BIG} END AS waits,
+               arg_min(cpu, (-blocker, cpu)) AS cpu
+        FROM threads GROUP BY instance_fullname, sample_time, id, waits),
     tree AS (
-        SELECT *, 0 AS depth, lpad(CAST(spid AS VARCHAR), 10, '0') AS path_key FROM p h
-        WHERE blocked = 0 AND EXISTS (SELECT 1 FROM p c WHERE c.instance_fullname = h.instance_fullname
-                                        AND c.sample_time = h.sample_time AND c.blocked = h.spid)
+        SELECT *, [spid] AS path FROM p h
+        WHERE waits = 0 AND EXISTS (SELECT 1 FROM p c WHERE c.instance_fullname = h.instance_fullname
+                                      AND c.sample_time = h.sample_time AND c.waits = h.spid)
         UNION ALL
-        SELECT c.*, t.depth + 1, t.path_key || '/' || lpad(CAST(c.spid AS VARCHAR), 10, '0')
+        SELECT c.*, list_append(t.path, c.spid)
         FROM p c JOIN tree t ON c.instance_fullname = t.instance_fullname AND c.sample_time = t.sample_time
-                            AND c.blocked = t.spid
-        WHERE c.blocked > 0)
+                            AND c.waits = t.spid
+        WHERE c.waits > 0 AND NOT list_contains(t.path, c.spid))
 """
 
 
@@ -46,8 +66,9 @@ TREE_SQL = """
     TREE_SQL
     + """
     SELECT instance_fullname, sample_time, spid, blocked, cpu, 'select' || chr(10) || cpu AS sql_text,
-           CAST(depth AS INTEGER) AS depth, path_key,
-           '    ' || repeat('|         ', depth) || CASE depth WHEN 0 THEN 'HEAD -  ' ELSE '|------  ' END || spid
+           CAST(len(path) - 1 AS INTEGER) AS depth,
+           array_to_string([lpad(CAST(n AS VARCHAR), 10, '0') for n in path], '/') AS path_key,
+           '    ' || repeat('|         ', len(path) - 1) || CASE len(path) WHEN 1 THEN 'HEAD -  ' ELSE '|------  ' END || spid
              || ' select ' || cpu AS blocking_tree
     FROM tree
     """,
@@ -62,8 +83,8 @@ def blocking_tree(tables: Tables) -> DataFrame:
     TREE_SQL
     + """
     SELECT instance_fullname, sample_time, spid, blocked, cpu, 'select' || chr(10) || cpu AS sql_text FROM p
-    WHERE blocked > 0 AND NOT EXISTS (SELECT 1 FROM tree t WHERE t.instance_fullname = p.instance_fullname
-                                        AND t.sample_time = p.sample_time AND t.spid = p.spid)
+    WHERE waits > 0 AND NOT EXISTS (SELECT 1 FROM tree t WHERE t.instance_fullname = p.instance_fullname
+                                      AND t.sample_time = p.sample_time AND t.spid = p.spid AND t.waits = p.waits)
     """,
 )
 def blocking_unreached(tables: Tables) -> DataFrame:
@@ -72,10 +93,15 @@ def blocking_unreached(tables: Tables) -> DataFrame:
 
 
 def event_reports(tables: Tables) -> DataFrame:
-    """One report per event of a blocked user; loops are days and workers alternate."""
+    """Reports of blocked users; servers have the same loops, the days, and workers alternate.
+
+    Users of the first two numbers wait for nobody and have no report. The others wait for the user at a
+    third of their number, or, at every fourth event, at half of it.
+    """
     spid = (F.col("user_id") + 1).cast("int")
-    by = F.floor(spid / 3).cast("int")
+    by = F.when(F.col("event_id") % 4 == 0, F.floor(spid / 2)).otherwise(F.floor(spid / 3)).cast("int")
     return tables.events.where(spid >= 3).select(
+        F.concat(F.lit("node-"), (F.col("event_id") % 2).cast("string")).alias("instance_fullname"),
         F.date_format("ts", "yyyyMMdd").alias("monitorloop"),
         F.col("event_type").alias("databasename"),
         F.col("ts").alias("endtime"),
@@ -90,8 +116,9 @@ def event_reports(tables: Tables) -> DataFrame:
 
 REPORTS_SQL = """
     r AS (
-        SELECT strftime(ts, '%Y%m%d') AS monitorloop, event_type AS databasename, ts AS endtime, event_id AS duration,
-               CAST((user_id + 1) // 3 AS INTEGER) AS by_spid, CAST(user_id + 1 AS INTEGER) AS spid, props AS report_xml
+        SELECT 'node-' || event_id % 2 AS instance_fullname, strftime(ts, '%Y%m%d') AS monitorloop,
+               event_type AS databasename, ts AS endtime, event_id AS duration,
+               CAST(CASE event_id % 4 WHEN 0 THEN (user_id + 1) // 2 ELSE (user_id + 1) // 3 END AS INTEGER) AS by_spid, CAST(user_id + 1 AS INTEGER) AS spid, props AS report_xml
         FROM events WHERE user_id >= 2)
 """
 
@@ -100,9 +127,9 @@ REPORTS_SQL = """
     "block_heads",
     f"""
     WITH {REPORTS_SQL}
-    SELECT monitorloop, by_spid AS spid, by_spid % 2 AS ecid FROM r
+    SELECT instance_fullname, monitorloop, by_spid AS spid, by_spid % 2 AS ecid FROM r
     EXCEPT
-    SELECT monitorloop, spid, spid % 2 FROM r
+    SELECT instance_fullname, monitorloop, spid, spid % 2 FROM r
     """,
 )
 def block_heads(tables: Tables) -> DataFrame:
@@ -114,23 +141,25 @@ def block_heads(tables: Tables) -> DataFrame:
     "blocked_hierarchy",
     f"""
     WITH RECURSIVE {REPORTS_SQL},
-    u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY monitorloop, spid
+    u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY instance_fullname, monitorloop, spid, by_spid
                                                      ORDER BY databasename, endtime, duration) = 1),
-    h AS (SELECT monitorloop, by_spid AS spid FROM u EXCEPT SELECT monitorloop, spid FROM u),
+    h AS (SELECT instance_fullname, monitorloop, by_spid AS spid FROM u EXCEPT SELECT instance_fullname, monitorloop, spid FROM u),
     t AS (
-        SELECT monitorloop, spid, 0 AS level,
-               '/' || lpad(CAST(spid AS VARCHAR), 10, '0') || '.' || lpad(CAST(spid % 2 AS VARCHAR), 10, '0') || '/' AS chain
-        FROM h
+        SELECT instance_fullname, monitorloop, spid, CAST(NULL AS INTEGER) AS by_spid, [spid] AS path FROM h
         UNION ALL
-        SELECT u.monitorloop, u.spid, t.level + 1,
-               t.chain || lpad(CAST(u.spid AS VARCHAR), 10, '0') || '.' || lpad(CAST(u.spid % 2 AS VARCHAR), 10, '0') || '/'
-        FROM u JOIN t ON u.monitorloop = t.monitorloop AND u.by_spid = t.spid)
-    SELECT t.monitorloop, coalesce(strftime(endtime, '%Y-%m-%d %H:%M:%S'), 'Lead') AS tracetime, duration, databasename,
-           repeat(' ', 4 * level) || t.spid || CASE t.spid % 2 WHEN 0 THEN '' ELSE '(1)' END AS blockingtree, report_xml,
-           CAST(level AS INTEGER) AS level, chain
-    FROM t LEFT JOIN u ON u.monitorloop = t.monitorloop AND u.spid = t.spid
+        SELECT u.instance_fullname, u.monitorloop, u.spid, u.by_spid, list_append(t.path, u.spid)
+        FROM u JOIN t ON u.instance_fullname = t.instance_fullname AND u.monitorloop = t.monitorloop AND u.by_spid = t.spid
+        WHERE NOT list_contains(t.path, u.spid))
+    SELECT t.instance_fullname, t.monitorloop, coalesce(strftime(endtime, '%Y-%m-%d %H:%M:%S'), 'Lead') AS tracetime,
+           duration, databasename,
+           repeat(' ', 4 * (len(path) - 1)) || t.spid || CASE t.spid % 2 WHEN 0 THEN '' ELSE '(1)' END AS blockingtree, report_xml,
+           CAST(len(path) - 1 AS INTEGER) AS level,
+           '/' || array_to_string([lpad(CAST(n AS VARCHAR), 10, '0') || '.'
+             || lpad(CAST(n % 2 AS VARCHAR), 10, '0') for n in path], '/') || '/' AS chain
+    FROM t LEFT JOIN u ON u.instance_fullname = t.instance_fullname AND u.monitorloop = t.monitorloop AND u.spid = t.spid
+                      AND u.by_spid = t.by_spid
     """,
 )
 def blocked_hierarchy(tables: Tables) -> DataFrame:
-    """Report trees per day."""
+    """Report trees per server and day."""
     return hierarchy.blocked_hierarchy(event_reports(tables))

@@ -13,10 +13,17 @@ from fleetloom.plans.registry import Tables, query
 PER_DOCUMENT = 16
 
 
+def server() -> Column:
+    """Two servers, by day."""
+    return F.concat(F.lit("node-"), (F.dayofmonth("ts") % 2).cast("string"))
+
+
 def documents_of(events: DataFrame, text: Column, before: str, after: str) -> DataFrame:
-    """Event texts joined to documents of at most ``PER_DOCUMENT`` events each."""
+    """Event texts joined to documents of one server with at most ``PER_DOCUMENT`` events each."""
     parts = F.sort_array(F.collect_list(F.struct("event_id", text.alias("text"))))
-    return events.groupBy(F.floor(F.col("event_id") / PER_DOCUMENT).alias("document")).agg(
+    return events.groupBy(
+        server().alias("instance_fullname"), F.floor(F.col("event_id") / PER_DOCUMENT).alias("document")
+    ).agg(
         F.concat(F.lit(before), F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.lit(after)).alias("textdata")
     )
 
@@ -32,9 +39,9 @@ def utc_text(time: Column) -> Column:
 @query(
     "xe_events",
     """
-    SELECT 'node-1' AS servername, event_type AS name, 'sqlserver' AS package, ts AS timestamp, user_id AS cpu_time,
+    SELECT 'node-' || day(ts) % 2 AS servername, event_type AS name, 'sqlserver' AS package, ts AS timestamp, user_id AS cpu_time,
            CAST(floor(value) AS BIGINT) AS duration, CASE WHEN value >= 10 THEN event_id END AS physical_reads,
-           left(repeat('a<b & ', 20) || props || repeat('x', 60), 150) AS batch_text,
+           repeat('a<b & ', 20) || props || repeat('x', 60) AS batch_text,
            CASE WHEN value < 50 THEN 'select ' || event_id END AS statement
     FROM events WHERE ts >= TIMESTAMP '2024-01-11 09:30:00' AND event_type <> 'error'
     """,
@@ -57,7 +64,7 @@ def xe_events(tables: Tables) -> DataFrame:
         F.lit("</event>"),
     )
     buffers = documents_of(events, text, "<RingBufferTarget>", "</RingBufferTarget>").select(
-        F.lit("node-1").alias("instance_fullname"), F.col("textdata").alias("targetdata")
+        "instance_fullname", F.col("textdata").alias("targetdata")
     )
     return xmlevents.long_running_queries(buffers, as_of="2024-01-31 09:30:00", days=20)
 
@@ -93,7 +100,8 @@ def reports_sql(loop: str, endtime: str, duration: str = "NULL::BIGINT", databas
           || '><blocked-process><process id="p" spid="' || (user_id + 1) || '" ecid="' || event_id || '"><inputbuf>a &lt; b'
           || chr(10) || replace(props, '"', '&quot;') || '</inputbuf></process></blocked-process><blocking-process><process spid="'
           || ((user_id + 1) // 3) || '" ecid="0"/></blocking-process></blocked-process-report>' AS report FROM events)
-    SELECT CASE WHEN event_type <> 'view' THEN strftime(ts, '%d') ELSE {loop} END AS monitorloop, {database} AS databasename,
+    SELECT 'node-' || day(ts) % 2 AS instance_fullname,
+           CASE WHEN event_type <> 'view' THEN strftime(ts, '%d') ELSE {loop} END AS monitorloop, {database} AS databasename,
            {endtime} AS endtime, {duration} AS duration, CAST((user_id + 1) // 3 AS INTEGER) AS blocking_spid, 0 AS blocking_ecid,
            CAST(user_id + 1 AS INTEGER) AS blocked_spid, CAST(event_id AS INTEGER) AS blocked_ecid, report AS report_xml
     FROM e WHERE user_id >= 2 AND {where}
@@ -114,6 +122,7 @@ SECONDS = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
 def blocked_reports_trace(tables: Tables) -> DataFrame:
     """Reports as trace rows; another event class is ignored, some rows have no time."""
     rows = with_reports(tables).select(
+        server().alias("instance_fullname"),
         F.when(F.col("event_type") == "signup", 12).otherwise(xmlevents.REPORT_EVENT_CLASS).alias("eventclass"),
         F.when(F.col("value") >= 20, F.col("ts")).alias("endtime"),
         F.col("report").alias("textdata"),
@@ -138,15 +147,19 @@ def report_event(kind: Column) -> Column:
 @query("blocked_reports_event_file", reports_sql(SECONDS, "ts", "event_id * 500 // 1000", "event_type"))
 def blocked_reports_event_file(tables: Tables) -> DataFrame:
     """Reports as event documents, one per row."""
-    rows = with_reports(tables).select(report_event(F.lit(xmlevents.REPORT_EVENT)).alias("textdata"))
+    rows = with_reports(tables).select(
+        server().alias("instance_fullname"), report_event(F.lit(xmlevents.REPORT_EVENT)).alias("textdata")
+    )
     return xmlevents.shred_blocked_reports(rows, "event_file")
 
 
 @query("blocked_reports_ring_buffer", reports_sql(SECONDS, "ts", where="event_type <> 'signup'"))
 def blocked_reports_ring_buffer(tables: Tables) -> DataFrame:
-    """Reports in ring-buffer documents among events of another name."""
+    """Reports in ring-buffer documents among events of another name, some of them without content."""
     kind = F.when(F.col("event_type") == "signup", "sql_batch_completed").otherwise(xmlevents.REPORT_EVENT)
-    documents = documents_of(with_reports(tables), report_event(kind), "<RingBufferTarget>", "</RingBufferTarget>")
+    empty = F.when(F.col("event_id") % 3 == 0, '<event name="a/b > c" package="sqlserver"/>').otherwise("")
+    text = F.concat(empty, report_event(kind))
+    documents = documents_of(with_reports(tables), text, "<RingBufferTarget>", "</RingBufferTarget>")
     return xmlevents.shred_blocked_reports(documents, "ring_buffer")
 
 

@@ -51,9 +51,10 @@ def jdbc_source(
     return read
 
 
-def read_documents(spark: SparkSession, path: str, column: str = "textdata") -> DataFrame:
-    """Whole text files (XML event files), one row per file."""
+def read_documents(spark: SparkSession, path: str, column: str = "textdata", instance: str | None = None) -> DataFrame:
+    """Whole text files (XML event files) of one server, one row per file."""
     return spark.read.text(path, wholetext=True).select(
+        F.lit(instance).cast("string").alias("instance_fullname"),
         F.col("value").alias(column), F.col("_metadata.file_path").alias("file_path")
     )
 
@@ -78,8 +79,8 @@ def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     )
 
 
-def read_trace_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of exported XML trace files, one row each; large files are read in splits."""
+def read_trace_events(spark: SparkSession, path: str, instance: str | None = None) -> DataFrame:
+    """Events of one server's exported XML trace files, one row each; large files are read in splits."""
     from fleetloom.operators.xmlevents import TRACE_EVENT
 
     return (
@@ -88,4 +89,5 @@ def read_trace_events(spark: SparkSession, path: str) -> DataFrame:
         .option("ignoreNamespace", "true")
         .schema(TRACE_EVENT)
         .load(path)
+        .withColumn("instance_fullname", F.lit(instance).cast("string"))
     )

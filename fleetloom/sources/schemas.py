@@ -209,9 +209,9 @@ NOTIFICATION_LOG = (
     "responsetext STRING, calldetails STRING"
 )
 XE_RING_BUFFER = ("instance_fullname STRING, targetdata STRING")
-BLOCKED_REPORTS_RAW = ("shape STRING, eventclass INT, endtime TIMESTAMP, textdata STRING")
+BLOCKED_REPORTS_RAW = ("instance_fullname STRING, shape STRING, eventclass INT, endtime TIMESTAMP, textdata STRING")
 BLOCKED_REPORTS = (
-    "monitorloop STRING, databasename STRING, endtime TIMESTAMP, duration BIGINT, blocking_spid INT, "
+    "instance_fullname STRING, monitorloop STRING, databasename STRING, endtime TIMESTAMP, duration BIGINT, blocking_spid INT, "
     "blocking_ecid INT, blocked_spid INT, blocked_ecid INT, report_xml STRING"
 )
 PERSON_XML = ("payload STRING")

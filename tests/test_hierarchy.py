@@ -50,6 +50,31 @@ def test_rows_per_thread_count_once(short):
     assert tuples(hierarchy.blocking_tree(df), "spid", "blocked", "depth") == [(1, 0, 0), (2, 1, 1)]
 
 
+def test_every_blocker_of_a_process_counts(short):
+    df = processes(short, [(52, 0), (70, 0), (60, 52), (60, 70), (61, 60)])
+    assert tuples(hierarchy.blocking_tree(df), "path_key") == [
+        (f"{52:010d}",), (f"{52:010d}/{60:010d}",), (f"{52:010d}/{60:010d}/{61:010d}",),
+        (f"{70:010d}",), (f"{70:010d}/{60:010d}",), (f"{70:010d}/{60:010d}/{61:010d}",)]
+    assert hierarchy.unreached(df).count() == 0
+
+
+def test_thread_that_waits_for_its_own_process(short):
+    df = processes(short, [(52, 0), (60, 60), (60, 52), (61, 60)])
+    assert tuples(hierarchy.blocking_tree(df), "spid", "blocked", "depth") == [
+        (52, 0, 0), (60, 52, 1), (60, 60, 0), (61, 60, 1), (61, 60, 2)]
+
+
+def test_cycle_below_a_head(short):
+    df = processes(short, [(1, 0), (2, 1), (2, 3), (3, 2)])
+    assert tuples(hierarchy.blocking_tree(df), "spid", "blocked", "depth") == [(1, 0, 0), (2, 1, 1), (3, 2, 2)]
+    assert tuples(hierarchy.unreached(df), "spid", "blocked") == [(2, 3)]
+
+
+def test_ids_of_seven_digits(short):
+    df = processes(short, [(1000001, 0), (1000002, 1000001), (1000003, 1000001)])
+    assert len(set(tuples(hierarchy.blocking_tree(df), "path_key"))) == 3
+
+
 def test_newlines_and_missing_text(short):
     df = processes(short, [(1, 0), (2, 1)]).withColumn(
         "sql_text", F.when(F.col("spid") == 1, "a\r\nb"))
@@ -78,16 +103,16 @@ def test_deep_chain_and_many_children_match_a_walk(short):
     assert all(got[i] == (len(path(i)) - 1, "/".join(f"{n:010d}" for n in path(i))) for i in parents)
 
 
-def reports(table, rows):
+def reports(table, rows, inst="n1"):
     return table(schemas.BLOCKED_REPORTS, [
-        dict(monitorloop=loop, blocking_spid=a, blocking_ecid=ae, blocked_spid=b, blocked_ecid=be, endtime=at("2024-01-01 10:00:01"),
+        dict(instance_fullname=inst, monitorloop=loop, blocking_spid=a, blocking_ecid=ae, blocked_spid=b, blocked_ecid=be, endtime=at("2024-01-01 10:00:01"),
              duration=5, databasename="d", report_xml="<r/>") for loop, a, ae, b, be in rows])
 
 
 def test_blocked_hierarchy(table):
     df = reports(table, [("1", 9, 0, 10, 0), ("1", 9, 0, 11, 2), ("1", 10, 0, 12, 0), ("1", 9, 0, 10, 0), ("2", 10, 0, 9, 0),
                          ("3", 1, 0, 2, 0), ("3", 2, 0, 1, 0)])
-    assert tuples(hierarchy.block_heads(df)) == [("1", 9, 0), ("2", 10, 0)]
+    assert tuples(hierarchy.block_heads(df)) == [("n1", "1", 9, 0), ("n1", "2", 10, 0)]
     got = hierarchy.blocked_hierarchy(df).orderBy("monitorloop", "chain").collect()
     assert [(r.monitorloop, r.tracetime, r.blockingtree, r.level) for r in got] == [
         ("1", "Lead", "9", 0), ("1", "2024-01-01 10:00:01", "    10", 1), ("1", "2024-01-01 10:00:01", "        12", 2),
@@ -103,3 +128,15 @@ def test_chain_orders_numbers_as_numbers(table):
 def test_worker_is_part_of_the_identity(table):
     got = hierarchy.blocked_hierarchy(reports(table, [("1", 5, 0, 6, 1), ("1", 6, 0, 7, 0)]))
     assert tuples(got, "blockingtree", "level") == [("    6(1)", 1), ("    7", 1), ("5", 0), ("6", 0)]
+
+
+def test_servers_have_their_own_loops(table):
+    df = reports(table, [("1", 5, 0, 6, 0)]).unionByName(reports(table, [("1", 4, 0, 5, 0)], inst="n2"))
+    assert tuples(hierarchy.block_heads(df)) == [("n1", "1", 5, 0), ("n2", "1", 4, 0)]
+    assert tuples(hierarchy.blocked_hierarchy(df), "instance_fullname", "blockingtree") == [
+        ("n1", "    6"), ("n1", "5"), ("n2", "    5"), ("n2", "4")]
+
+
+def test_reports_of_one_process_by_two_blockers(table):
+    got = hierarchy.blocked_hierarchy(reports(table, [("unknown", 5, 0, 7, 0), ("unknown", 6, 0, 7, 0), ("unknown", 7, 0, 8, 0)]))
+    assert sorted(r.blockingtree for r in got.collect()) == ["        8", "        8", "    7", "    7", "5", "6"]

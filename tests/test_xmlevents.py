@@ -21,7 +21,7 @@ def test_long_running_queries(table):
         t="2023-12-31T11:59:59Z", batch_text="old") + event(cpu_time=1) + event(cpu_time="x", batch_text="y" * 200, Statement="z") + "</RingBufferTarget>"
     got = xmlevents.long_running_queries(buffers(table, doc, "<broken", None, "<RingBufferTarget/>"), "2024-01-01 12:00")
     assert tuples(got, "timestamp", "cpu_time", "duration", "physical_reads", "batch_text", "statement") == [
-        (at("2024-01-01 10:00:00.500"), None, None, None, "y" * 150, "z"), (at("2024-01-01 10:00:00.500"), 5, 7, None, "a < b", None)]
+        (at("2024-01-01 10:00:00.500"), None, None, None, "y" * 200, "z"), (at("2024-01-01 10:00:00.500"), 5, 7, None, "a < b", None)]
 
 
 def test_first_only_mixes_events(table):
@@ -38,7 +38,7 @@ def report(loop="7", blocked=52, blocking=51, ecid=0):
 
 
 def raw(table, *rows):
-    return table(schemas.BLOCKED_REPORTS_RAW, [dict(textdata=x, eventclass=c, endtime=at(t) if t else None) for x, c, t in rows])
+    return table(schemas.BLOCKED_REPORTS_RAW, [dict(instance_fullname="n1", textdata=x, eventclass=c, endtime=at(t) if t else None) for x, c, t in rows])
 
 
 COLS = ("monitorloop", "databasename", "endtime", "duration", "blocking_spid", "blocked_spid", "blocked_ecid", "report_xml")
@@ -74,6 +74,13 @@ def test_ring_buffer(table):
         ("2024-01-02 00:00:00", None, at("2024-01-02"), None, 51, 53, 0), ("7", None, at("2024-01-01 10:00:00.500"), None, 51, 52, 0)]
 
 
+def test_ring_buffer_with_events_without_content(table):
+    full = event("blocked_process_report", blocked_process=report())
+    doc = f'<RingBufferTarget eventCount="4"><event name="a/b &gt; > c" package="p"/>{full}<event/>{full}<event name="x"></event></RingBufferTarget>'
+    got = xmlevents.shred_blocked_reports(raw(table, (doc, None, None)), "ring_buffer")
+    assert tuples(got, "instance_fullname", "monitorloop", "blocking_spid", "blocked_spid") == [("n1", "7", 51, 52)] * 2
+
+
 def trace_event(text, end="2024-01-01T10:00:00.123", name="Blocked process report", prefix=""):
     escaped = text.replace("&", "&amp;").replace("<", "&lt;")
     p = prefix
@@ -99,9 +106,9 @@ def test_trace_documents(table, prefix):
 def test_trace_files_read_event_by_event(spark, tmp_path):
     path = tmp_path / "trace.xml"
     path.write_text(trace_file([trace_event(report(blocked=100 + i)) for i in range(50)]))
-    got = xmlevents.trace_events(readers.read_trace_events(spark, str(path)))
+    got = xmlevents.trace_events(readers.read_trace_events(spark, str(path), "n1"))
     assert tuples(got, "blocked_spid") == sorted([(100 + i,) for i in range(50)])
-    whole = readers.read_documents(spark, str(path))
+    whole = readers.read_documents(spark, str(path), instance="n1")
     assert tuples(xmlevents.trace_documents(whole)) == tuples(got)
 
 
@@ -116,4 +123,5 @@ def test_person_names(table):
 
     docs = ["<user>" + person("Ann", "Bee") + person("a??b", "Cee") + person("Solo", None) + person("x" * 60, "y") + "</user>", "<user/>", "<bad"]
     df = table(schemas.PERSON_XML, [dict(payload=d) for d in docs])
-    assert tuples(xmlevents.xml_person_names(df)) == [(None,), ("Ann Bee",), ("x" * 50 + " y",)]
+    assert tuples(xmlevents.xml_person_names(df)) == [(None,), ("Ann Bee",), ("x" * 60 + " y",)]
+    assert tuples(xmlevents.xml_person_names(df, length=50))[-1] == ("x" * 50 + " y",)
