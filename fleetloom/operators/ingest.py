@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,12 @@ from fleetloom.functions.times import AsOf
 from fleetloom.sources import schemas
 
 
-def _same(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        a, b = F.col(f"{left}.{key}"), F.col(f"{right}.{key}")
-        condition = condition & (a.eqNullSafe(b) if null_safe else a == b)
-    return condition
+def _keyed(df: DataFrame, keys: Sequence[str], target: DataFrame) -> DataFrame:
+    """Rows with their key as one value, in the target's types; NULL parts of such a value equal each other.
+
+    Reducing copies and joining by the same column costs one shuffle.
+    """
+    return df.withColumn("_key", F.struct(*[F.col(k).cast(target.schema[k].dataType).alias(k) for k in keys]))
 
 
 def select_counters(counters: DataFrame) -> DataFrame:
@@ -70,10 +71,10 @@ def new_rows(
     columns), before anything is shuffled. With ``null_safe`` a NULL key part equals NULL.
     """
     order = order_by or [c for c in staged.columns if c not in keys] or list(keys)
-    once = dedupe(staged, keys, order)
-    return once.alias("s").join(
-        target.select(*keys).alias("t"), _same("s", "t", keys, null_safe), "left_anti"
-    )
+    if not null_safe:
+        return dedupe(staged, keys, order).join(target.select(*keys), list(keys), "left_anti").select(*staged.columns)
+    once = dedupe(_keyed(staged, keys, target), ["_key"], order)
+    return once.join(_keyed(target, keys, target).select("_key"), "_key", "left_anti").select(*staged.columns)
 
 
 def insert_new(
@@ -106,17 +107,23 @@ def upsert_latest(
     created_col: str | None = "created_on",
     modified_col: str = "modified_on",
     null_safe: bool = True,
+    latest_by: Sequence[str | Column] | None = None,
 ) -> DataFrame:
     """Latest-state table after a load.
 
     Matched rows take the staged ``update_cols`` and the load time; unmatched target rows stay as
     they are; unknown staged rows are added with the load time in ``created_col``. Columns outside
     ``update_cols`` are never refreshed. One shuffle of each side does both halves of the load.
+    Of several staged rows of a key the first by ``latest_by`` counts; without it they fail the job.
+    With ``null_safe`` a NULL key part equals NULL.
     """
     moment = times.as_of_time(as_of)
-    old = target.withColumn("_old", F.lit(True)).alias("t")
-    new = unique_on(staged, keys).withColumn("_new", F.lit(True)).alias("s")
-    joined = old.join(new, _same("t", "s", keys, null_safe), "full_outer")
+    by = ["_key"] if null_safe else list(keys)
+    stored, arrived = (_keyed(df, keys, target) if null_safe else df for df in (target, staged))
+    once = first_per_key(arrived, by, latest_by) if latest_by else unique_on(arrived, by)
+    old, new = stored.withColumn("_old", F.lit(True)).alias("t"), once.withColumn("_new", F.lit(True)).alias("s")
+    equal = reduce(Column.__and__, [F.col(f"t.{c}") == F.col(f"s.{c}") for c in by])
+    joined = old.join(new, equal, "full_outer")
     added, matched = F.col("t._old").isNull(), F.col("t._old") & F.col("s._new")
 
     def value(name: str) -> Column:
@@ -150,8 +157,8 @@ def mark_dropped(
     not drop its databases. A row that comes back loses its flag. ``strict`` judges every row and
     never resets a flag.
     """
-    present = staged.select(*keys).distinct().withColumn("_present", F.lit(True)).alias("s")
-    joined = target.alias("t").join(present, _same("t", "s", keys, null_safe=True), "left")
+    present = _keyed(staged, keys, target).select("_key").distinct().withColumn("_present", F.lit(True)).alias("s")
+    joined = _keyed(target, keys, target).alias("t").join(present, F.col("t._key") == F.col("s._key"), "left")
     seen = F.col("s._present").isNotNull()
     judged = F.lit(True)
     if ok_sources is not None and not strict:
@@ -174,17 +181,17 @@ def sync_database_master(
     """
     keys = schemas.DATABASE_MASTER_KEY
     rest = [c for c in staged.columns if c not in keys]
-    once = dedupe(staged, keys, rest).withColumn("is_dropped", F.lit(False))
+    arrived = staged.withColumn("is_dropped", F.lit(False))
     refreshed = [c for c in rest if c not in schemas.DATABASE_MASTER_FIXED]
-    loaded = upsert_latest(master, once, keys, refreshed, as_of)
+    loaded = upsert_latest(master, arrived, keys, refreshed, as_of, latest_by=rest)
     return mark_dropped(loaded, staged, keys, as_of, ok_sources)
 
 
 def sync_size_log(log: DataFrame, staged: DataFrame, as_of: AsOf) -> DataFrame:
     """The daily size log after a load: sizes of known parts refreshed, new parts and days added."""
     keys, sizes = schemas.DATABASE_SIZE_LOG_DETAILS_KEY, ["used_mb", "reserved_mb"]
-    once = dedupe(staged, keys, [c for c in staged.columns if c not in keys])
-    return upsert_latest(log, once, keys, sizes, as_of, created_col=None)
+    rest = [c for c in staged.columns if c not in keys]
+    return upsert_latest(log, staged, keys, sizes, as_of, created_col=None, latest_by=rest)
 
 
 def retain(

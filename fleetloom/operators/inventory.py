@@ -159,14 +159,12 @@ def role_list(logins: DataFrame) -> DataFrame:
 
 
 def login_sid_mismatch(logins: DataFrame) -> DataFrame:
-    """Logins known under several identities: one row per name and identity, with its instances."""
-    identities = logins.groupBy("name", F.concat(F.lit("0x"), F.hex("sid")).alias("sid")).agg(
-        F.count_distinct("instance_fullname").alias("instances")
-    )
-    several = (
-        identities.groupBy("name").agg(F.count("sid").alias("identities")).where(F.col("identities") > 1)
-    )
-    return identities.join(several, "name")
+    """Logins known under several identities: one row per name, identity and instance that has it."""
+    known = logins.where(F.col("sid").isNotNull()).select(
+        "name", F.concat(F.lit("0x"), F.hex("sid")).alias("sid"), "instance_fullname"
+    ).distinct()
+    several = known.groupBy("name").agg(F.count_distinct("sid").alias("identities")).where(F.col("identities") > 1)
+    return known.join(several, "name")
 
 
 def backup_files(
@@ -253,8 +251,8 @@ def latest_full_backup(
     return first_per_key(files, group_cols, [F.desc("filename")], k)
 
 
-def directory_users(staged: DataFrame) -> DataFrame:
-    """Distinct directory entries as users: manager's name, dates where they parse, status of the account."""
+def _as_users(staged: DataFrame) -> DataFrame:
+    """Directory entries as users: manager's name, dates where they parse, status of the account."""
     at = F.instr("manager", "OU=")
     manager = F.when(at >= 2, F.replace(F.left("manager", at - 2), F.lit("CN="), F.lit("")))
     return staged.select(
@@ -270,7 +268,12 @@ def directory_users(staged: DataFrame) -> DataFrame:
         F.col("whenchanged").try_cast("timestamp").alias("ldap_modified_on"),
         decode.decode(F.col("useraccountcontrol"), decode.ACCOUNT_CONTROL).alias("user_status"),
         F.col("samaccounttype").alias("sma_account_type"),
-    ).distinct()
+    )
+
+
+def directory_users(staged: DataFrame) -> DataFrame:
+    """Distinct directory entries as users."""
+    return _as_users(staged).distinct()
 
 
 def sync_directory_users(users: DataFrame, staged: DataFrame, as_of: AsOf) -> DataFrame:
@@ -278,11 +281,10 @@ def sync_directory_users(users: DataFrame, staged: DataFrame, as_of: AsOf) -> Da
 
     Of several entries of an account the one changed last counts.
     """
-    arrived = directory_users(staged)
-    rest = [c for c in arrived.columns if c not in ("user_account", "ldap_modified_on")]
-    newest = first_per_key(arrived, ["user_account"], [F.desc("ldap_modified_on"), *rest])
-    columns = [c for c in newest.columns if c != "user_account"]
-    return upsert_latest(users, newest, ["user_account"], columns, as_of)
+    arrived = _as_users(staged)
+    columns = [c for c in arrived.columns if c != "user_account"]
+    latest = [F.desc("ldap_modified_on"), *[c for c in columns if c != "ldap_modified_on"]]
+    return upsert_latest(users, arrived, ["user_account"], columns, as_of, latest_by=latest)
 
 
 def password_expiry(logins: DataFrame) -> DataFrame:

@@ -234,9 +234,9 @@ def role_list(tables: Tables) -> DataFrame:
 @query(
     "sid_mismatch",
     """
-    WITH i AS (SELECT p_name AS name, '0x' || hex(p_brand) AS sid, count(DISTINCT p_type) AS instances FROM part GROUP BY 1, 2)
-    SELECT name, sid, instances, count(*) OVER (PARTITION BY name) AS identities FROM i
-    QUALIFY count(*) OVER (PARTITION BY name) > 1
+    WITH i AS (SELECT DISTINCT p_name AS name, '0x' || hex(p_brand) AS sid, p_type AS instance_fullname FROM part),
+    m AS (SELECT name, count(DISTINCT sid) AS identities FROM i GROUP BY name HAVING count(DISTINCT sid) > 1)
+    SELECT name, sid, instance_fullname, identities FROM i JOIN m USING (name)
     """,
 )
 def sid_mismatch(tables: Tables) -> DataFrame:

@@ -75,8 +75,8 @@ def test_login_sid_mismatch(table):
         dict(instance_fullname=n, name=u, sid=s) for n, u, s in (
             ("n1", "a", b"\x0a\xff"), ("n2", "a", b"\x0a\xff"), ("n3", "a", b"\x01"), ("n1", "b", b"\x02"), ("n2", "b", b"\x02"),
             ("n1", "c", None), ("n2", "c", b"\x03"))])
-    assert tuples(inventory.login_sid_mismatch(df), "name", "sid", "instances", "identities") == [
-        ("a", "0x01", 1, 2), ("a", "0x0AFF", 2, 2)]
+    assert tuples(inventory.login_sid_mismatch(df), "name", "sid", "instance_fullname", "identities") == [
+        ("a", "0x01", "n3", 2), ("a", "0x0AFF", "n1", 2), ("a", "0x0AFF", "n2", 2)]
 
 
 def test_backup_files(table):

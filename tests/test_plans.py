@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetloom import plans
 from fleetloom.operators import ingest, inventory, reports, series
+from fleetloom.plans.inventory import directory_entries
+from fleetloom.plans.registry import Tables
 from fleetloom.sources import readers, schemas
 from tests.conftest import at, day, tuples
 
@@ -40,6 +42,21 @@ def test_plan(spark, no_broadcast, name):
     assert ("BroadcastExchange" in plan) == (name in BOUNDED)
 
 
+@pytest.mark.parametrize("name", ["insert_new", "upsert_latest", "mark_dropped"])
+def test_loads_shuffle_each_side_once(spark, no_broadcast, name):
+    assert plan_of(plans.QUERIES[name](spark, SMALL)).count("Exchange hashpartitioning") == 2
+
+
+def test_directory_sync_shuffles_each_side_once(spark, no_broadcast, tmp_path):
+    entries = directory_entries(Tables(spark, SMALL))
+    # The users are read from a table, so that nothing but the load itself is in the plan.
+    path = str(tmp_path / "users")
+    stamps = {c: F.lit(None).cast("timestamp") for c in ("created_on", "modified_on")}
+    inventory.directory_users(entries).withColumns(stamps).write.parquet(path)
+    plan = plan_of(inventory.sync_directory_users(spark.read.parquet(path), entries, "2024-02-01"))
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def written(spark, tmp_path, df, *partitions):
     path = str(tmp_path / "t")
     df.write.partitionBy(*partitions).parquet(path)
