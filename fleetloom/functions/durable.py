@@ -9,13 +9,16 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 _made: dict[str, SparkSession] = {}
+_scopes = threading.local()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -34,9 +37,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder of this run below the checkpoint root, removed with the session at the latest."""
     folder = f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     _made[folder] = spark
+    for made in getattr(_scopes, "open", []):
+        made.append(folder)
     return folder
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Folders made in the block, by this thread, are removed at its end. For jobs whose result is written in it."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        for folder in _scopes.open.pop():
+            remove(folder)
+
+
 def remove(folder: str) -> None:
     """Remove a folder that this run made."""
     spark = _made.pop(folder, None)

@@ -10,69 +10,29 @@ from pyspark.sql import functions as F
 from fleetloom.functions.durable import durable
 
 
-# Rows of one series and bucket that a task may get before the bucket is cut finer.
-CROWDED = 10_000_000
-
-
-def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    values: Mapping[str, str],
-    bucket: Column,
-    finer: Column | None = None,
-    crowded: int = CROWDED,
-) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: Mapping[str, str]) -> DataFrame:
     """Add, to each row, values of the row before it in its series.
 
-    ``values`` maps new column names to existing ones. ``order_by`` must be a total order within
-    ``keys``, and ``bucket`` a non-decreasing function of its first column (an hour, say). Rows are
-    shuffled by (keys, bucket), so one long series is spread over many tasks. The only row of
-    another bucket that a bucket needs is the last one before it: that row is found with a
-    partially aggregated maximum and carried over to the next bucket which has rows.
-
-    Buckets with more than ``crowded`` rows are cut further by ``finer``, which lies between the
-    bucket and the next one for every row of the bucket (a minute of that hour).
+    ``values`` maps new column names to existing ones. ``order_by`` must order the rows of a series up to rows
+    that are equal in it and in ``values``. Rows are dealt out by ranges of (keys, order) of about equal size and
+    written, so that the ranges are settled once: neither a series nor a moment that has most of the
+    rows meets in one task, and rows equal in all of it are spread by a random number. The only row of
+    another range that a range needs is the last one before it, which is carried over.
     """
-    used = list(dict.fromkeys([*order_by, *values.values()]))
-    rows = df.withColumn("_bucket", bucket)
-    if finer is not None:
-        rows = _cut_crowded(rows, keys, finer, crowded)
-    rows = rows.withColumn("_carried", F.lit(False))
-
-    last = rows.groupBy(*keys, "_bucket").agg(F.max(F.struct(*used)).alias("_last"))
-    # One row per series and bucket that has rows, whatever the number of samples in it.
-    next_bucket = F.lead("_bucket").over(Window.partitionBy(*keys).orderBy("_bucket"))
-    carried = (
-        last.withColumn("_bucket", next_bucket)
-        .where(F.col("_bucket").isNotNull())
-        .select(
-            *keys,
-            "_bucket",
-            *[F.col(f"_last.{c}").alias(c) for c in used if c not in keys],
-            F.lit(True).alias("_carried"),
-        )
-    )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_carried"), *order_by)
+    used = list(dict.fromkeys([*keys, *order_by, *values.values()]))
+    ranged = df.withColumn("_tie", F.rand(0)).repartitionByRange(*keys, *order_by, "_tie").drop("_tie")
+    rows = durable(ranged.withColumn("_part", F.spark_partition_id()))
+    last = rows.groupBy("_part").agg(F.max(F.struct(*used)).alias("_last"))
+    # One row per range that has rows.
+    following = F.lead("_part").over(Window.orderBy("_part"))
+    carried = last.select(following.alias("_part"), "_last.*", F.lit(True).alias("_carried")).where(F.col("_part").isNotNull())
+    within = Window.partitionBy("_part", *keys).orderBy(F.desc("_carried"), *order_by)
     return (
-        rows.unionByName(carried, allowMissingColumns=True)
+        rows.withColumn("_carried", F.lit(False))
+        .unionByName(carried, allowMissingColumns=True)
         .withColumns({new: F.lag(old).over(within) for new, old in values.items()})
         .where(~F.col("_carried"))
-        .drop("_bucket", "_carried")
-    )
-
-
-def _cut_crowded(rows: DataFrame, keys: Sequence[str], finer: Column, crowded: int) -> DataFrame:
-    place = [*keys, "_bucket"]
-    # At most one row per ``crowded`` rows of the table, which bounds the broadcast.
-    full = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded)
-    full = full.select(*[F.col(c).alias(f"_full_{i}") for i, c in enumerate(place)], F.lit(True).alias("_crowded"))
-    same = F.lit(True)
-    for i, c in enumerate(place):
-        same = same & F.col(c).eqNullSafe(F.col(f"_full_{i}"))
-    return rows.join(F.broadcast(full), same, "left").select(
-        *[c for c in rows.columns if c != "_bucket"],
-        F.when(F.col("_crowded"), finer).otherwise(F.col("_bucket")).alias("_bucket"),
+        .drop("_part", "_carried")
     )
 
 

@@ -31,8 +31,6 @@ def _counter_steps(samples: DataFrame, keys: Sequence[str], time_col: str, value
             keys,
             [time_col, value_col],
             {"_last_time": time_col, "_last_value": value_col},
-            bucket=F.date_trunc("hour", F.col(time_col)),
-            finer=F.date_trunc("minute", F.col(time_col)),
         )
         .withColumns(
             {
@@ -164,15 +162,7 @@ def size_growth(
         series, day = list(series_keys), [*series_keys, date_col]
         order = [date_col, value_col]
         recent = first_per_key(recent, day, newest)
-    # A month of one series is at most 31 rows, or in strict mode as many as servers and loads make it.
-    changes = with_previous(
-        recent,
-        series,
-        order,
-        {"_before": value_col},
-        bucket=F.trunc(F.col(date_col), "month"),
-        finer=F.col(date_col) if strict else None,
-    )
+    changes = with_previous(recent, series, order, {"_before": value_col})
     if strict:
         changes = first_per_key(changes, day, newest)
     change = F.col(value_col) - F.col("_before")
@@ -220,14 +210,7 @@ def error_log_context(
         F.col("date").between(first, last)
         & ~F.startswith("text", F.lit(exclude_prefix))
     )
-    return with_previous(
-        lines,
-        partition_by,
-        ["date", "line_no", "text"],
-        {"_before": "text"},
-        bucket=F.date_trunc("hour", F.col("date")),
-        finer=F.date_trunc("minute", F.col("date")),
-    ).select(
+    return with_previous(lines, partition_by, ["date", "line_no", "text"], {"_before": "text"}).select(
         *partition_by,
         "date",
         "line_no",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetloom.functions.durable import scratch
 from fleetloom.operators.ingest import dedupe, new_rows, upsert_latest
 from fleetloom.operators.series import COUNTER_SERIES, counter_rates
 from fleetloom.sources.logs import DatedLog
@@ -105,7 +106,8 @@ class CounterRates:
         series = samples.where(ready)
         if last is not None:
             series = series.unionByName(last)
-        self.rates.write(counter_rates(series, object_suffix=None).where(is_new), batch_id)
+        with scratch():
+            self.rates.write(counter_rates(series, object_suffix=None).where(is_new), batch_id)
         newest_of = series.groupBy(*COUNTER_SERIES).agg(F.max(F.struct("sample_time", "cntr_value")).alias("_last"))
         self.last.write(newest_of.select(*COUNTER_SERIES, "_last.*"), batch_id)
         self.waiting.write(samples.where(~ready), batch_id)

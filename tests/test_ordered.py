@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,44 +21,60 @@ def hot_series(spark, n=4000):
 
 def test_previous_equals_plain_lag(spark):
     df = hot_series(spark)
-    got = with_previous(df, ["k"], ["t", "id"], {"pt": "t", "pid": "id"}, bucket=F.floor(F.col("t") / 500))
+    got = with_previous(df, ["k"], ["t", "id"], {"pt": "t", "pid": "id"})
     w = Window.partitionBy("k").orderBy("t", "id")
     want = df.withColumns({"pt": F.lag("t").over(w), "pid": F.lag("id").over(w)})
     assert got.columns == want.columns
     assert tuples(got) == tuples(want)
 
 
-def test_previous_does_not_depend_on_bucket_or_layout(spark):
+@pytest.fixture()
+def many_ranges(spark):
+    """Ranges stay as small as they are dealt out."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_previous_does_not_depend_on_ranges_or_layout(spark, many_ranges):
     df = hot_series(spark, 1000)
-    results = [
-        tuples(with_previous(df.repartition(n), ["k"], ["t", "id"], {"p": "id"}, bucket=F.floor(F.col("t") / width)))
-        for n, width in ((1, 1), (7, 1000), (3, 10**6))
-    ]
-    assert results[0] == results[1] == results[2]
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = tuples(df.withColumn("p", F.lag("id").over(w)))
+    for n, ranges in ((1, 1), (7, 5), (3, 23), (2, 400)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+        assert tuples(with_previous(df.repartition(n), ["k"], ["t", "id"], {"p": "id"})) == want
 
 
-def test_crowded_buckets_are_cut_finer(spark):
-    df = hot_series(spark)
-    plain = with_previous(df, ["k"], ["t", "id"], {"p": "id"}, bucket=F.floor(F.col("t") / 10**6))
-    for limit in (0, 5, 100, 10**9):
-        cut = with_previous(df, ["k"], ["t", "id"], {"p": "id"}, bucket=F.floor(F.col("t") / 5000) * 5000,
-                            finer=F.col("t").cast("bigint"), crowded=limit)
-        assert cut.columns == plain.columns and tuples(cut) == tuples(plain)
+def test_previous_of_repeated_rows(spark, many_ranges):
+    df = spark.createDataFrame([("a", 1)] * 300 + [("a", 2)] * 300 + [("b", 1)], "k STRING, t INT")
+    got = with_previous(df, ["k"], ["t"], {"p": "t"}).groupBy("k", "t", "p").count()
+    assert tuples(got) == tuples(spark.createDataFrame(
+        [("a", 1, None, 1), ("a", 1, 1, 299), ("a", 2, 1, 1), ("a", 2, 2, 299), ("b", 1, None, 1)], "k STRING, t INT, p INT, count BIGINT"))
+
+
+def test_previous_of_nothing(spark):
+    assert with_previous(spark.createDataFrame([], "k STRING, t INT"), ["k"], ["t"], {"p": "t"}).count() == 0
 
 
 def test_previous_with_null_order_value_and_value(spark):
     df = spark.createDataFrame([("a", None, 1, None), ("a", 1, 2, "x"), ("a", 9, 3, None), ("a", 10, 4, "y")],
                                "k STRING, t INT, id INT, v STRING")
-    got = with_previous(df, ["k"], ["t", "id"], {"p": "v"}, bucket=F.floor(F.col("t") / 5))
+    got = with_previous(df, ["k"], ["t", "id"], {"p": "v"})
     assert tuples(got, "id", "p") == [(1, None), (2, None), (3, "x"), (4, None)]
 
 
-def test_one_hot_series_is_spread_over_tasks(spark):
-    df = spark.range(20000).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
-    got = with_previous(df, ["k"], ["t"], {"p": "t"}, bucket=F.floor(F.col("t") / 100))
-    plan = got._jdf.queryExecution().toString()
-    assert "hashpartitioning(k" in plan and "_bucket" in plan
-    assert got.where(F.coalesce(F.col("p"), F.lit(-1)) != F.col("t") - 1).count() == 0
+@pytest.mark.parametrize("moments", [20000, 1])
+def test_one_hot_series_is_spread_over_tasks(spark, many_ranges, moments):
+    df = spark.range(20000).select(F.lit("hot").alias("k"), (F.col("id") % moments).alias("t"))
+    got = with_previous(df, ["k"], ["t"], {"p": "t"})
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 8000
+    assert got.where(F.col("p").isNull()).count() == 1
+    assert got.where(F.col("p") != F.col("t") - (1 if moments > 1 else 0)).count() == 0
 
 
 def test_first_per_key_limits_before_the_shuffle(spark):

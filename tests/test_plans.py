@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetloom import plans
+from fleetloom.functions import ordered
+from fleetloom.functions.durable import durable
 from fleetloom.operators import ingest, inventory, reports, series
 from fleetloom.plans.inventory import directory_entries
 from fleetloom.plans.registry import Tables
@@ -15,9 +17,9 @@ from tests.conftest import at, day, tuples
 SMALL = "/root/testdata/sf0.001"
 STREAMS = {n for n in plans.QUERIES if n.startswith("stream_")}
 # The one unpartitioned window runs over one row per range partition.
-NUMBERED = {"report_catalog"}
-# Broadcasts of a proven bound: the row counts of range partitions, the list of crowded buckets.
-BOUNDED = {"report_catalog", "counter_rates", "replica_stats", "error_log_context"}
+NUMBERED = {"report_catalog", "counter_rates", "replica_stats", "error_log_context", "size_growth"}
+# Broadcasts of a proven bound: the row counts of range partitions.
+BOUNDED = {"report_catalog"}
 
 
 def plan_of(df):
@@ -33,6 +35,12 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.fixture()
+def unwritten(monkeypatch):
+    """Previous-row logic without its written table, so that the plan has the steps before it, too."""
+    monkeypatch.setattr(ordered, "durable", lambda df: df)
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - STREAMS))
 def test_plan(spark, no_broadcast, name):
     plan = plan_of(plans.QUERIES[name](spark, SMALL))
@@ -70,7 +78,7 @@ def test_time_filter_reaches_the_scan(spark, tmp_path, table):
     assert "GreaterThanOrEqual(event_time" in plan
 
 
-def test_old_days_are_not_read(spark, tmp_path, table):
+def test_old_days_are_not_read(spark, tmp_path, table, unwritten):
     rows = [dict(instancefullname="n", databasename="d", log_date=day(d), modified_on=at(d)) for d in ("2023-01-01", "2024-01-30", "2024-01-31")]
     path = written(spark, tmp_path, table(schemas.DATABASE_SIZE_LOG_DETAILS, rows), "log_date")
     log = readers.read_snapshot(spark, path, schemas.DATABASE_SIZE_LOG_DETAILS)
@@ -81,7 +89,7 @@ def test_old_days_are_not_read(spark, tmp_path, table):
     assert re.search(r"PartitionFilters: \[[^\]]*log_date", plan_of(samples))
 
 
-def test_only_needed_columns_are_read(spark, tmp_path, table):
+def test_only_needed_columns_are_read(spark, tmp_path, table, unwritten):
     df = table(schemas.OS_PERFORMANCE_COUNTERS, [dict(object_name="x:SQL Statistics", sample_time=at("2024-01-01"), cntr_value=1)])
     wide = df.withColumn("unused", F.lit("x"))
     path = written(spark, tmp_path, wide)
@@ -89,6 +97,16 @@ def test_only_needed_columns_are_read(spark, tmp_path, table):
     assert "unused" not in plan_of(series.counter_rates(log))
 
 
+def test_previous_rows_take_one_scan_of_the_input(spark, no_broadcast, monkeypatch):
+    steps = []
+    monkeypatch.setattr(ordered, "durable", lambda df: steps.append(plan_of(df)) or durable(df))
+    for name in ("counter_rates", "replica_stats", "error_log_context", "size_growth"):
+        steps.clear()
+        last = plan_of(plans.QUERIES[name](spark, SMALL))
+        assert len(steps) == 1 and steps[0].count("Exchange rangepartitioning") == 1
+        assert "events.parquet" not in last and "Broadcast" not in steps[0]
+
+
 def test_backup_day_is_a_range_on_the_column(spark, tmp_path, table):
     df = table(schemas.BACKUPSET, [dict(media_set_id=1, backup_finish_date=at("2024-01-01"))])
     sets = readers.read_snapshot(spark, written(spark, tmp_path, df), schemas.BACKUPSET)
