@@ -235,7 +235,7 @@ def class_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_report(read(spark, folder, "documents"))
+    return lines.line_report(read(spark, folder, "documents"), cut=lines.AT_CHARACTERS)
 
 
 @query("op9_token_counts")

@@ -310,6 +310,45 @@ def test_line_groups_by_brute_force(make):
     assert lines.drop_repeated_lines(make([])).count() == 0
 
 
+def test_line_dedup_takes_shingles_at_every_character(make, spark, tmp_path):
+    rng = random.Random(11)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200))
+    token = "".join(rng.choice("0123456789abcdef") for _ in range(300))
+    plain = "Some words of a line that somebody wrote once here"
+    texts = [cjk, cjk[:3] + "\u4e00" + cjk[3:], token, "x" + token, plain, plain + ".", "-" * 80, "-" * 30, "😀" * 9 + "ab", "ab", "abcde", "abcdef"]
+    for _ in range(150):
+        line = prose(rng, rng.randrange(1, 40))
+        texts.append(line)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(line) + 1)
+            line = line[:at] + rng.choice(".,;x語😀") + line[at + rng.randrange(2) :]
+            texts.append(line)
+    order = rng.sample(range(len(texts)), len(texts))
+    cut = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(cut[i] & cut[j]) >= 4 * len(cut[i] | cut[j]):
+                root[find(i)] = find(j)
+    first = {}
+    for i in sorted(range(len(texts)), key=order.__getitem__):
+        first.setdefault(find(i), i)
+    want = {order[i] for i in range(len(texts)) if first[find(i)] != i}
+    make([(n, t, "en", "a") for n, t in zip(order, texts, strict=True)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect() if r.n_dropped}
+    assert got <= want and len(want - got) <= 0.02 * len(want)
+    for a in (0, 2, 4, 6):
+        assert {order[a], order[a + 1]} & got, texts[a]
+    staged = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in staged.collect()} == set(order) - got
+
+
 def test_language(make):
     rng = random.Random(1)
     speech = {"aa": "abde", "bb": "klmo", "cc": "rstu"}
