@@ -33,9 +33,9 @@ def event_stream(tables: Tables) -> DataFrame:
 def stream_cpu_utilization(tables: Tables) -> DataFrame:
     """Mean shares of all minutes closed when the files end."""
     work = shared_folder(tables.spark, "stream-cpu")
-    averaged = streams.stream_cpu_utilization(cpu_samples(event_stream(tables)), delay="10 minutes")
-    streams.start_files(averaged, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-    return tables.spark.read.schema(averaged.schema).parquet(f"{work}/out")
+    job = streams.CpuUtilization(tables.spark, work, delay=timedelta(minutes=10))
+    streams.start_batches(cpu_samples(event_stream(tables)), job, f"{work}/checkpoint").awaitTermination()
+    return job.closed()
 
 
 @query(
@@ -53,9 +53,9 @@ def stream_counter_rates(tables: Tables) -> DataFrame:
         F.col("ts").alias("sample_time"),
         F.round(F.col("value") * 100).cast("bigint").alias("cntr_value"),
     )
-    job = streams.CounterRates(tables.spark, work, delay=timedelta(minutes=10))
+    job = streams.CounterRates(tables.spark, work, delay=timedelta(minutes=10), keep_late=True)
     streams.start_batches(samples, job, f"{work}/checkpoint").awaitTermination()
-    return job.rates.appended().select(
+    return job.settled().select(
         "instance_fullname", "counter_name", "sample_time", F.col("counter_value").cast("double").alias("counter_value")
     )
 
@@ -86,9 +86,10 @@ def stream_insert_new(tables: Tables) -> DataFrame:
         keys=["event_type", "user_id", "sample_time"],
         order_by=["event_id"],
         date_col="sample_date",
+        any_order=True,
     )
     streams.start_batches(rows, job, f"{work}/checkpoint").awaitTermination()
-    return job.log.rows()
+    return job.rows()
 
 
 @query(
@@ -102,10 +103,11 @@ def stream_insert_new(tables: Tables) -> DataFrame:
 def stream_upsert(tables: Tables) -> DataFrame:
     """The last event of each user."""
     work = shared_folder(tables.spark, "stream-upsert")
-    job = streams.Upsert(
+    job = streams.UpsertRuns(
         tables.spark,
-        f"{work}/table",
+        work,
         "user_id BIGINT, event_type STRING, value DOUBLE, created_on TIMESTAMP, modified_on TIMESTAMP",
+        "user_id BIGINT, event_type STRING, value DOUBLE, ts TIMESTAMP, event_id BIGINT",
         keys=["user_id"],
         update_cols=["event_type", "value"],
         order_by=[F.desc("event_id")],
@@ -115,4 +117,5 @@ def stream_upsert(tables: Tables) -> DataFrame:
     streams.start_batches(
         event_stream(tables).select("user_id", "event_type", "value", "ts", "event_id"), job, f"{work}/checkpoint"
     ).awaitTermination()
+    job.finish()
     return job.table.current()

@@ -28,6 +28,10 @@ class BucketedTable:
         names = files.folder_names(self.spark, f"{self.root}/bucket={bucket}")
         return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("load="))
 
+    def newest_load(self) -> int:
+        """The newest load of any bucket, -1 before the first."""
+        return max((load for bucket in range(self.buckets) for load in self._loads(bucket)), default=-1)
+
     def current(self, only: Iterable[int] | None = None, before_load: int | None = None) -> DataFrame:
         """Current rows, of some buckets or of all, as they were before a load or as they are."""
         folders = []

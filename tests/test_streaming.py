@@ -1,9 +1,13 @@
+import os
 import random
 from datetime import timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from fleetloom import plans
 from fleetloom.operators import series
 from fleetloom.operators.ingest import dedupe
 from fleetloom.streaming import streams
@@ -182,3 +186,54 @@ def test_restart_continues(spark, tmp_path):
     spark.createDataFrame(second, LOG).write.mode("append").parquet(str(tmp_path / "in"))
     got = run()
     assert tuples(got, "k", "v") == tuples(dedupe(spark.createDataFrame(first + second, LOG), ["k", "t"], ["v"]), "k", "v")
+
+
+EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+@pytest.fixture(scope="module")
+def shuffled_events(spark, tmp_path_factory):
+    """Events once as one file and once as 140 files, of which a batch reads 64, the oldest events in the last ones."""
+    rng = random.Random(6)
+    base, root = at("2024-01-01 22:00:00"), tmp_path_factory.mktemp("events")
+    rows = [
+        (i, base + timedelta(seconds=20 * i), rng.choice([3, 7, 40, 400 + i % 150]), rng.choice(["click", "view"]), rng.randrange(9000) / 100, None)
+        for i in range(700)
+    ]
+    files = [rows[i : i + 5] for i in range(0, 700, 5)]
+    files = rng.sample(files[12:], 128) + rng.sample(files[:12], 12)
+    for name, parts in (("one", [rows]), ("many", files)):
+        folder = root / name / "events.parquet"
+        folder.mkdir(parents=True)
+        for n, part in enumerate(parts):
+            events = dict(zip(("event_id", "ts", "user_id", "event_type", "value", "props"), zip(*part, strict=True), strict=True))
+            types = (pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.float64(), pa.string())
+            file = folder / f"part-{n:03}.parquet"
+            pq.write_table(pa.table({k: pa.array(v, t) for (k, v), t in zip(events.items(), types, strict=True)}), file)
+            os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))
+    return root
+
+
+@pytest.mark.parametrize("name", ["stream_counter_rates", "stream_cpu_utilization", "stream_insert_new", "stream_upsert"])
+def test_results_do_not_depend_on_the_order_of_files(spark, shuffled_events, name):
+    one, many = (tuples(plans.QUERIES[name](spark, str(shuffled_events / folder))) for folder in ("one", "many"))
+    assert len(one) > 100
+    assert many == one
+
+
+def test_upsert_runs_compare_with_what_is_stored(spark, tmp_path):
+    ddl = "k STRING, v INT, fixed INT, t TIMESTAMP"
+    job = streams.UpsertRuns(
+        spark, str(tmp_path), STATE, ddl, keys=["k"], update_cols=["v"], order_by=[F.desc("t")], as_of=F.col("s.t"), buckets=4
+    )
+    runs = [
+        [[("a", 2, 2, at("2024-01-02"))], [("a", 1, 1, at("2024-01-01")), ("b", 5, 5, at("2024-01-05"))]],
+        [[("a", 3, 3, at("2024-01-03"))], [("b", 4, 4, at("2024-01-04"))]],
+    ]
+    for run, batches in enumerate(runs):
+        for n, rows in enumerate(batches):
+            job(spark.createDataFrame(rows, ddl), 2 * run + n)
+        job.finish()
+    job.finish()
+    assert tuples(job.table.current()) == [
+        ("a", 3, 2, at("2024-01-02"), at("2024-01-03")), ("b", 5, 5, at("2024-01-05"), None)]
