@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import classlm, contamination, exact, language, lines, mixing, quality, secrets, simhash, tokens
+from fleetloom.llm import (
+    chat, classlm, codes, contamination, exact, language, lines, manifest, mixing, quality, secrets, simhash, tokens,
+)
 from fleetloom.llm.common import in_fold, learnable, read, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,3 +256,128 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", simhash.written(F.col("mark")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op11_vector_codes",
+    """
+    with numbered as (
+        select row_number() over () as row, vec_id, label, embedding as e from embeddings
+    ), able as (
+        select * from numbered
+        where e is not null and len(e) > 0 and len(e) % 16 = 0
+          and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    ), kept as (
+        select row, vec_id, label,
+               list_transform(e, lambda x: cast(least(greatest(floor(256 * cast(x as double)), -134217728), 134217728) as bigint)) as v, e
+        from able where len(e) = (select len(e) from able where vec_id is not null order by vec_id, e limit 1)
+    ), parts as (
+        select row, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as s from (select row, v, unnest(range(16)) as p from kept)
+    ), firsts as (
+        select v, row_number() over (order by vec_id) - 1 as k
+        from (select vec_id, arg_min(v, e) as v from kept where vec_id is not null group by vec_id order by vec_id limit 64)
+    ), book0 as (
+        select p, k, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as c from (select v, k, unnest(range(16)) as p from firsts)
+    )""" + "".join(
+        f"""
+    , near{i} as (
+        select row, p, min(d * 64 + k) as best from (
+            select row, p, k, list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+            from parts join book{i} using (p)) group by row, p
+    )"""
+        + (
+            f"""
+    , moved{i} as (
+        select p, k, list(m order by spot) as c from (
+            select p, k, spot, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as m
+            from (select p, best % 64 as k, unnest(s) as x, generate_subscripts(s, 1) as spot from parts join near{i} using (row, p))
+            group by p, k, spot) group by p, k
+    ), book{i + 1} as (
+        select p, k, coalesce(m.c, b.c) as c from book{i} b left join moved{i} m using (p, k)
+    )"""
+            if i < 2
+            else ""
+        )
+        for i in range(3)
+    )
+    + """
+    , coded as (
+        select row, string_agg(printf('%02x', best % 64), '' order by p) as code, cast(sum(best // 64) as bigint) as error
+        from near2 group by row
+    )
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+           (select sha256(string_agg(array_to_string(c, ','), ',' order by p, k)) from book2) as codebooks_sha256
+    from coded join kept using (row)
+    """,
+)
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.vector_codes(read(spark, folder, "embeddings"))
+
+
+def _tree_sql(levels: int = 12, group_levels: int = 4) -> str:
+    """The tree level by level, for groups of up to 3 ** levels rows."""
+    crc = """list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda c, o: case when o >= 0 then xor(c, o) else xor(c >> 1, 3988292384 * (c & 1)) end, 4294967295)"""
+    shown = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    leaf = lambda text: f"sha256({' || '.join([*map(shown, ('doc_id', 'source', 'lang', 'n_chars')), text])})"
+    # crc32 ends with all bits turned over, so that it is even where this is odd.
+    tampered = f"""case when coalesce(({crc}) & 1, 0) = 1 then replace(text, chr(10), '') else text end"""
+    parts = [
+        f"""with leaves as (
+        select *, coalesce('s' || source, '') as g, {leaf(shown("text"))} as h, {leaf(shown(tampered))} as other from documents
+    ), a0 as (
+        select g, row_number() over (partition by g order by doc_id nulls first, h, other) - 1 as i, h, doc_id, other from leaves
+    ), f0 as (
+        select g, i, doc_id, h as leaf, h as own, other as folded, '' as proof from a0
+    )"""
+    ]
+
+    def level(j: int, tree: str, nodes: str) -> str:
+        held = f"list_filter(hs, lambda h, n: n - 1 <> slot)"
+        return f"""
+    , {tree}r{j} as (
+        select g, i // 3 as i, list(h order by i) as hs, any_value(n) as n
+        from (select g, i, h, count(*) over (partition by g) as n from {nodes}) group by g, i // 3
+    ), {tree}{j + 1} as (
+        select g, i, case when n > 1 then sha256(array_to_string(hs, '')) else hs[1] end as h from {tree}r{j}
+    ), {{step}} as (
+        select g, i, doc_id, leaf, own,
+               case when n > 1 then sha256(array_to_string(list_transform(hs, lambda h, n: case when n - 1 = slot then folded else h end), ''))
+                    else folded end as folded,
+               case when n > 1 then proof || array_to_string({held}, '') else proof end as proof
+        from (select f.* exclude (i, g), r.g, r.i, r.hs, r.n, f.i % 3 as slot from {{before}} f join {tree}r{j} r on f.g = r.g and f.i // 3 = r.i)
+    )"""
+
+    for j in range(levels):
+        parts.append(level(j, "a", f"a{j}").format(step=f"f{j + 1}", before=f"f{j}"))
+    parts.append(f"""
+    , b0 as (
+        select '' as g, row_number() over (order by g) - 1 as i, h, g as name from a{levels}
+    ), e0 as (
+        select '' as g, b.i, f.doc_id, f.leaf, b.h as own, f.folded, f.proof from f{levels} f join b0 b on f.g = b.name
+    )""")
+    for j in range(group_levels):
+        parts.append(level(j, "b", f"b{j}").format(step=f"e{j + 1}", before=f"e{j}"))
+    parts.append(f"""
+    select doc_id, leaf, own as subroot, b.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = b.h as verified
+    from e{group_levels} join b{group_levels} b using (g)""")
+    return "".join(parts)
+
+
+@query("op12_merkle_manifest", _tree_sql())
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    without = F.translate("text", "\n", "")
+    return manifest.merkle_manifest(docs, tampered={"text": without}, where=F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+
+
+# A user and an assistant who say what the template itself is made of.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op13_chat_format")
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    found = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    every = found.unionByName(spark.createDataFrame(CONTROL_TURNS, found.schema))
+    windows = chat.format_conversations(every, public_tokenizers.path(TOKENIZER))
+    return chat.conversation_digests(windows)
