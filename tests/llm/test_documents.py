@@ -266,7 +266,7 @@ def test_line_groups_by_brute_force(make):
                 words[rng.randrange(len(words))] = rng.choice(WORDS)
             chosen.append(" ".join(words))
         docs.append((100 + i, "\n".join(chosen) + rng.choice(["", "\n", "\n \n"]), "en", "a"))
-    cut = lambda line: frozenset(re.findall(r"(?=(\S.{0,11}))\S{1,8}", line, re.S | re.A))
+    cut = lambda line: frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
     stands, every = {}, []
     order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
     for i, text, *_ in order:
@@ -299,14 +299,17 @@ def test_line_groups_by_brute_force(make):
     missed = 0
     report = got.collect()
     assert len(report) == len(docs)
-    by_id = {r.doc_id: set(r.dropped) for r in report if r.doc_id is not None}
-    for (i, text), _ in texts.items():
-        if i is not None:
-            assert by_id[i] <= want[i, text]
-            missed += len(want[i, text] - by_id[i])
+    says = lambda t: {p for p, line in enumerate((t or "").split("\n")) if line.strip(" \t\n\x0b")}
+    for (i, text), copies in texts.items():
+        mine = [set(r.dropped) for r in report if r.doc_id == i and r.n_lines == len((text or "").split("\n"))]
+        kept = [dropped for dropped in mine if dropped <= want[i, text]]
+        assert kept and (copies == 1 or mine.count(says(text)) >= copies - 1)
+        missed += min(len(want[i, text] - dropped) for dropped in kept)
     assert missed <= 0.02 * sum(map(len, want.values()))
     left = lines.drop_repeated_lines(make(docs))
     assert left.columns == make(docs).columns
+    held = Counter((r.doc_id, r.text) for r in left.collect())
+    assert all(n == 1 for (_, text), n in held.items() if says(text))
     assert lines.drop_repeated_lines(make([])).count() == 0
 
 
