@@ -465,3 +465,57 @@ def test_no_python_in_native_queries(spark):
     for name in ("op2_exact_dedup", "op3_secrets", "op5_decontaminate", "op6_mix_sources", "op8_line_dedup"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def edited(rng, words, share):
+    """The words with about so many of a hundred changed one by one, so that 5-word shingles differ."""
+    return [rng.choice(WORDS) if rng.random() < share / 100 else w for w in words]
+
+
+def test_documents_alike_by_brute_force(make):
+    rng = random.Random(21)
+    docs, made = [], 0
+    for i in range(140):
+        words = prose(rng, rng.choice([0, 3, 5, 7, 12, 20, 40, 60, 150, 400])).split()
+        for share in rng.choice([[], [0], [0.5, 1], [1, 1.5, 2], [2, 2.4], [8]]):
+            docs.append((1000 + made, "  ".join(edited(rng, words, share)).upper() + "\n", "en", "a"))
+            made += 1
+        docs.append((i, " ".join(words), "en", "a"))
+    docs += AWKWARD + [(None, docs[5][1], "en", "a"), (3000, None, "en", "b")]
+    cut = lambda t: simhash_words(t)
+    sets = [cut(d[1]) for d in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = []
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * len(sets[i] | sets[j]):
+                near.append((i, j))
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = defaultdict(set)
+    for i in range(len(docs)):
+        groups[find(i)].add(docs[i][0])
+    least = {i: min((d for d in groups[find(i)] if d is not None), default=None) for i in range(len(docs))}
+    got = defaultdict(set)
+    for r in simhash.alike_documents(make(docs)).collect():
+        got[r.doc_id].add(r.component_id)
+    unlike = [p for p in near if not got[docs[p[0]][0]] & got[docs[p[1]][0]]]
+    assert len(unlike) <= 0.05 * len(near) and len(near) > 100
+    want = {(docs[i][0], least[i]) for i in range(len(docs))}
+    found = {(d, c) for d, cs in got.items() for c in cs}
+    assert len(found - want) <= 0.05 * len(want)
+    kept = simhash.keep_one(make(docs), find=simhash.alike_documents)
+    assert kept.columns == make(docs).columns and abs(kept.count() - len(groups)) <= 0.05 * len(near)
+    assert simhash.keep_one(make([]), find=simhash.alike_documents).count() == 0
+
+
+def simhash_words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
