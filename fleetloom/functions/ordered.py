@@ -36,6 +36,34 @@ def with_previous(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], v
     )
 
 
+def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
+    """Each row of ``left`` with the ``values`` of the newest row of ``right`` of its key that is not later; others are left out.
+
+    Both sides have the key and the time. A row of ``right`` without a time holds from the beginning; a row of
+    ``left`` without one meets only such rows. Of rows of ``right`` of one key and time the greatest by ``values`` counts. NULL
+    key parts equal each other.
+
+    Both sides are dealt out together by ranges of (key, time) of about equal size and written, so that a key with most of
+    the rows is spread, and what a range needs of those before it is one row: the last one of ``right``.
+    """
+    row, held = F.struct("*").alias("_row"), F.struct(*values).alias("_held")
+    kind = left.select(row).schema["_row"].dataType
+    facts = right.select(*keys, time, F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_row"), held)
+    asked = left.select(*keys, time, F.lit(1).alias("_side"), row, F.lit(None).cast(facts.schema["_held"].dataType).alias("_held"))
+    order = [*keys, time, "_side", "_held"]
+    # The random number spreads rows that are equal in all of it.
+    dealt = facts.unionByName(asked).withColumn("_tie", F.rand(0)).repartitionByRange(*order[:-1], "_tie").drop("_tie")
+    rows = durable(dealt.withColumn("_part", F.spark_partition_id()))
+    last = rows.groupBy("_part").agg(F.max(F.when(F.col("_side") == 0, F.struct(*order))).alias("_last"))
+    # One row per range that has rows. The last fact of all ranges before is the one its first key may need.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_part", F.last("_last", ignorenulls=True).over(earlier).alias("_last")).where("_last is not null")
+    carried = carried.select("_part", *[F.col("_last")[c].alias(c) for c in order])
+    within = Window.partitionBy("_part", *keys).orderBy(time, "_side", "_held").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.unionByName(carried, allowMissingColumns=True).withColumn("_held", F.last("_held", ignorenulls=True).over(within))
+    return met.where((F.col("_side") == 1) & F.col("_held").isNotNull()).select("_row.*", *[F.col("_held")[c].alias(c) for c in values])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows per key. Spark cuts every map task to ``k`` rows per key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))

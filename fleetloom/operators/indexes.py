@@ -163,9 +163,18 @@ def fragmentation(
     min_pages: int = 990,
     min_frag: float = 2,
 ) -> DataFrame:
-    """Fragmented indexes with their use, page splits and mean lock and latch waits."""
+    """Fragmented indexes with their use, page splits and mean lock and latch waits.
+
+    Operational statistics taken several times are added up first, so a candidate meets one row of its partition.
+    """
     reads, writes = _total(*USER_READS), F.col("user_updates")
     place = [*INDEX, "partition_number", "hobt_id"]
+    counted = [
+        "leaf_allocation_count", "nonleaf_allocation_count",
+        *[f"{kind}{what}" for kind in ("row_lock", "page_lock") for what in ("_count", "_wait_count", "_wait_in_ms")],
+        "page_latch_wait_count", "page_latch_wait_in_ms",
+    ]
+    operational = operational.groupBy(*place).agg(*[F.sum(c).alias(c) for c in counted])
     return (
         _candidates(physical, indexes, objects, schemas, min_pages, min_frag)
         .join(operational, place)

@@ -172,6 +172,55 @@ def mark_dropped(
     return joined.select(*[new_values.get(c, F.col(f"t.{c}")).alias(c) for c in target.columns])
 
 
+def merge_load(
+    target: DataFrame,
+    staged: DataFrame,
+    keys: Sequence[str],
+    update_cols: Sequence[str],
+    as_of: AsOf,
+    ok_sources: Sequence[str] | None = None,
+    source_col: str | None = None,
+    latest_by: Sequence[str | Column] | None = None,
+    flag_col: str = "is_dropped",
+    created_col: str = "created_on",
+    modified_col: str = "modified_on",
+) -> DataFrame:
+    """A load in one pass: known rows refreshed, new ones added, vanished ones flagged, by one full outer join.
+
+    Rows of both sides take the staged ``update_cols``, lose the flag if they have it, and are modified now. Staged rows
+    that are not known are added without the flag, created now. Rows that staging does not have get the flag and are
+    modified now, if their source (``source_col``, the first key by default) is among ``ok_sources``, or these are
+    not given; rows of sources that did not answer, or without a source, stay as they are. Columns outside
+    ``update_cols`` keep what they had at first.
+
+    Copies of a key in staging are reduced to the first by ``latest_by`` (without it they fail the job), by the key of the
+    join: each side is shuffled once. NULL key parts equal each other.
+    """
+    moment = times.as_of_time(as_of)
+    stored, arrived = _keyed(target, keys, target), _keyed(staged, keys, target)
+    once = first_per_key(arrived, ["_key"], latest_by) if latest_by else unique_on(arrived, ["_key"])
+    old, new = stored.withColumn("_old", F.lit(True)).alias("t"), once.withColumn("_new", F.lit(True)).alias("s")
+    joined = old.join(new, F.col("t._key") == F.col("s._key"), "full_outer")
+    added, matched = F.col("t._old").isNull(), F.col("t._old") & F.col("s._new")
+    vanished = F.col("s._new").isNull()
+    if ok_sources is not None:
+        vanished &= F.coalesce(F.col(f"t.{source_col or keys[0]}").isin(list(ok_sources)), F.lit(False))
+
+    def value(name: str) -> Column:
+        before = F.col(f"t.{name}")
+        now = F.col(f"s.{name}") if name in staged.columns else F.lit(None)
+        if name == flag_col:
+            back = F.coalesce(before, F.lit(False)) & matched
+            return F.when(added | back, F.lit(False)).when(vanished, F.lit(True)).otherwise(before)
+        if name == modified_col:
+            return F.when(matched | vanished, moment).otherwise(before)
+        if name == created_col:
+            return F.when(added, moment).otherwise(before)
+        return F.when(added | matched if name in update_cols else added, now).otherwise(before)
+
+    return joined.select(*[value(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+
+
 def sync_database_master(
     master: DataFrame, staged: DataFrame, as_of: AsOf, ok_sources: Sequence[str] | None = None
 ) -> DataFrame:
@@ -181,10 +230,8 @@ def sync_database_master(
     """
     keys = schemas.DATABASE_MASTER_KEY
     rest = [c for c in staged.columns if c not in keys]
-    arrived = staged.withColumn("is_dropped", F.lit(False))
     refreshed = [c for c in rest if c not in schemas.DATABASE_MASTER_FIXED]
-    loaded = upsert_latest(master, arrived, keys, refreshed, as_of, latest_by=rest)
-    return mark_dropped(loaded, staged, keys, as_of, ok_sources)
+    return merge_load(master, staged, keys, refreshed, as_of, ok_sources, latest_by=rest)
 
 
 def sync_size_log(log: DataFrame, staged: DataFrame, as_of: AsOf) -> DataFrame:

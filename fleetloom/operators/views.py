@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.functions import decode, text, times
+from fleetloom.functions.ordered import as_of_join
 from fleetloom.functions.times import AsOf
 
 
@@ -143,21 +144,41 @@ def storage(df: DataFrame) -> DataFrame:
     )
 
 
+def _of_their_time(processes: DataFrame, settings: DataFrame, values: list[str]) -> DataFrame:
+    """Processes with the newest settings sampled at or before them. Process ids are used again for other sessions.
+
+    Settings without a sample time hold for all samples.
+    """
+    timed = lambda df: df if "sample_time" in df.columns else df.withColumn("sample_time", F.lit(None).cast("timestamp"))
+    met = as_of_join(timed(processes), timed(settings), ["instance_fullname", "spid"], "sample_time", values)
+    return met.select(*processes.columns, *values)
+
+
+def _statements(sql_text: DataFrame) -> DataFrame:
+    """Texts by handle, once each: a handle stands for one text, however often it was sampled."""
+    return sql_text.groupBy("instance_fullname", "sql_handle").agg(F.max("text").alias("text"))
+
+
 def active_sessions(processes: DataFrame, connections: DataFrame, sql_text: DataFrame) -> DataFrame:
-    """Processes with a client connection and a statement, client protocol spelled out."""
+    """Processes with a client connection and a statement, client protocol spelled out.
+
+    Of a log of samples, each process has the connection of its own time.
+    """
     protocol = F.shiftrightunsigned(F.col("protocol_version"), 24).bitwiseAND(F.lit(255))
     wires = connections.select(
         "instance_fullname",
-        F.col("session_id").alias("spid"),
+        *[c for c in ["sample_time"] if c in connections.columns],
+        F.col("session_id").cast(processes.schema["spid"].dataType).alias("spid"),
         "encrypt_option",
         "client_net_address",
         "client_tcp_port",
         protocol.alias("client_protocol"),
         decode.decode(protocol, decode.CLIENT_PROTOCOL, "Unknown driver").alias("client_protocol_version"),
     )
-    statements = sql_text.select("instance_fullname", "sql_handle", F.col("text").alias("sql_text"))
+    statements = _statements(sql_text).withColumnRenamed("text", "sql_text")
+    values = ["encrypt_option", "client_net_address", "client_tcp_port", "client_protocol", "client_protocol_version"]
     return (
-        processes.join(wires, ["instance_fullname", "spid"])
+        _of_their_time(processes, wires, values)
         .join(statements, ["instance_fullname", "sql_handle"])
         .withColumnRenamed("cmd", "command_type")
     )
@@ -170,20 +191,24 @@ def session_log(
     collected_by: str,
     as_of: AsOf | None = None,
 ) -> DataFrame:
-    """User processes with session settings and statement, in the layout of the session log."""
+    """User processes with session settings and statement, in the layout of the session log.
+
+    Of a log of samples, each process has the settings of its own time. ``as_of`` is when the rows are collected; it
+    replaces the sample time in the result.
+    """
     foreground = processes.where(F.rtrim("status") != "background")
-    if as_of is not None:
-        foreground = foreground.withColumn("sample_time", times.as_of_time(as_of))
     settings = sessions.select(
         "instance_fullname",
-        F.col("session_id").alias("spid"),
+        *[c for c in ["sample_time"] if c in sessions.columns],
+        F.col("session_id").cast(processes.schema["spid"].dataType).alias("spid"),
         "client_interface_name",
         F.col("client_version").alias("client_int_version"),
         decode.decode(F.col("transaction_isolation_level"), decode.ISOLATION_LEVEL, None).alias("isolation_level"),
     )
-    joined = foreground.join(settings, ["instance_fullname", "spid"]).join(
-        sql_text.select("instance_fullname", "sql_handle", "text"), ["instance_fullname", "sql_handle"]
-    )
+    values = ["client_interface_name", "client_int_version", "isolation_level"]
+    joined = _of_their_time(foreground, settings, values).join(_statements(sql_text), ["instance_fullname", "sql_handle"])
+    if as_of is not None:
+        joined = joined.withColumn("sample_time", times.as_of_time(as_of))
     return joined.select(
         "instance_fullname",
         "sample_time",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.functions.durable import shared_folder
 from fleetloom.operators import ingest
 from fleetloom.plans.registry import Tables, query
 from fleetloom.sources.fleet import fleet_union, health_check_union
+from fleetloom.sources.logs import DatedLog
 
 ORDER_ROW = (
     "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP, "
@@ -38,20 +42,37 @@ def fleet(tables: Tables) -> DataFrame:
 @query(
     "fleet_errors",
     """
-    SELECT 'fleet_union' AS process_name, t.object_ref, t.failed
-    FROM (VALUES ('node-down', 'path'), ('node-schema', 'columns')) AS t(object_ref, failed)
-    WHERE (SELECT count(*) FROM orders) > 0
+    SELECT 'fleet_union' AS process_name, 'node-' || o_orderstatus AS object_ref, count(*) AS rows_read, NULL AS failed
+    FROM orders GROUP BY o_orderstatus
+    UNION ALL
+    SELECT 'fleet_union', 'node-down', NULL, 'path'
+    UNION ALL
+    SELECT 'fleet_union', 'node-schema', NULL, 'columns'
+    UNION ALL
+    SELECT 'fleet_union', 'node-types', CASE WHEN count(*) = 0 THEN count(*) END, CASE WHEN count(*) > 0 THEN 'rows' END
+    FROM orders WHERE o_orderpriority = '1-URGENT'
     """,
 )
 def fleet_errors(tables: Tables) -> DataFrame:
-    """Error rows of the fan-in: a source that is not there, and one without the wanted columns."""
+    """What the fan-in had of each source: rows read, or why it failed.
+
+    One source is not there, one has no such columns, and one has rows that end its job when they are read.
+    """
     path, other = tables.path("orders"), tables.path("customer")
     sources = {f"node-{status}": _orders_of(path, status) for status in ("F", "O", "P")}
     sources["node-down"] = lambda spark: spark.read.parquet(path + ".missing")
     sources["node-schema"] = lambda spark: spark.read.parquet(other)
-    errors = fleet_union(tables.spark, sources, ORDER_ROW).errors
-    failed = F.when(F.contains("error_msg", F.lit("columns missing")), "columns").otherwise("path")
-    return errors.select("process_name", "object_ref", failed.alias("failed"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    sources["node-types"] = lambda spark: spark.read.parquet(path).where(urgent).withColumn(
+        "o_custkey", F.substring("o_orderpriority", 3, 10).cast("bigint")
+    )
+    found = fleet_union(tables.spark, sources, ORDER_ROW)
+    message = F.col("error_msg")
+    failed = F.when(F.contains(message, F.lit("columns missing")), "columns").when(F.contains(message, F.lit("PATH_NOT_FOUND")), "path")
+    none = F.lit(None).cast("bigint").alias("rows_read")
+    read = found.data.groupBy(F.col("source").alias("object_ref")).agg(F.count(F.lit(1)).alias("rows_read"))
+    read = read.select(F.lit("fleet_union").alias("process_name"), "object_ref", "rows_read", F.lit(None).cast("string").alias("failed"))
+    return read.unionByName(found.errors.select("process_name", "object_ref", none, failed.otherwise("rows").alias("failed")))
 
 
 @query(
@@ -219,6 +240,94 @@ def mark_dropped(tables: Tables) -> DataFrame:
     )
 
 
+@query(
+    "sync_database_master",
+    """
+    WITH c AS (
+        SELECT *, c_custkey % 5 <> 0 AS known, c_custkey % 7 <> 0 AND c_mktsegment <> 'FURNITURE' AS seen,
+               c_mktsegment <> 'FURNITURE' AS answered
+        FROM customer)
+    SELECT c_mktsegment AS instancefullname, c_name AS databasename,
+           CASE WHEN known THEN c_nationkey ELSE c_nationkey + 100 END AS database_id,
+           CASE WHEN NOT seen THEN 'BULK' WHEN c_acctbal > 0 THEN 'SIMPLE' ELSE 'FULL' END AS recovery_model,
+           CAST(CASE WHEN seen THEN floor(c_acctbal * 2) ELSE floor(c_acctbal) END AS INTEGER) AS row_data_mb,
+           CASE WHEN seen THEN FALSE WHEN answered THEN TRUE ELSE c_acctbal < 0 END AS is_dropped,
+           CASE WHEN known THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS created_on,
+           CASE WHEN known AND answered THEN TIMESTAMP '2024-02-01' END AS modified_on
+    FROM c WHERE known OR seen
+    """,
+)
+def sync_database_master(tables: Tables) -> DataFrame:
+    """Customers as databases of one server per segment, collected from the servers that answer, some twice, and loaded."""
+    path = tables.path("customer")
+    recovery = F.when(F.col("c_acctbal") > 0, "SIMPLE").otherwise("FULL")
+
+    def server(segment: str):
+        def rows(spark):
+            found = spark.read.parquet(path if segment != "FURNITURE" else path + ".missing")
+            held = found.where((F.col("c_mktsegment") == segment) & (F.col("c_custkey") % 7 != 0)).select(
+                F.col("c_name").alias("databasename"),
+                (F.col("c_nationkey") + 100).alias("database_id"),
+                recovery.alias("recovery_model"),
+                F.floor(F.col("c_acctbal") * 2).cast("int").alias("row_data_mb"),
+            )
+            return held.unionByName(held.withColumn("row_data_mb", F.col("row_data_mb") + 1))
+
+        return rows
+
+    segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    schema = "databasename STRING, database_id INT, recovery_model STRING, row_data_mb INT"
+    staged = fleet_union(tables.spark, {s: server(s) for s in segments}, schema, source_col="instancefullname")
+    master = tables.customer.where(F.col("c_custkey") % 5 != 0).select(
+        F.col("c_mktsegment").alias("instancefullname"),
+        F.col("c_name").alias("databasename"),
+        F.col("c_nationkey").alias("database_id"),
+        F.lit("BULK").alias("recovery_model"),
+        F.floor("c_acctbal").cast("int").alias("row_data_mb"),
+        (F.col("c_acctbal") < 0).alias("is_dropped"),
+        F.lit("2024-01-01").cast("timestamp").alias("created_on"),
+        F.lit(None).cast("timestamp").alias("modified_on"),
+    )
+    return ingest.sync_database_master(master, staged.data, "2024-02-01", ok_sources=staged.ok_sources)
+
+
+@query(
+    "sync_size_log",
+    """
+    WITH o AS (
+        SELECT *, o_orderstatus <> 'P' AND o_custkey % 3 <> 0 AS known, o_orderdate >= TIMESTAMP '1996-01-01' AS seen FROM orders)
+    SELECT o_orderstatus AS instancefullname, 'db' || o_custkey AS databasename, CAST(o_orderkey AS INTEGER) AS databaseid,
+           CAST(o_orderdate AS DATE) AS log_date, 'rows' AS usagetype, 'used' AS allocationtype,
+           CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS filegroupname,
+           CAST(CASE WHEN seen THEN o_totalprice * 2 ELSE o_totalprice END AS DECIMAL(15,3)) AS reserved_mb,
+           CAST(CASE WHEN seen THEN o_totalprice ELSE o_totalprice / 2 END AS DECIMAL(15,3)) AS used_mb,
+           CASE WHEN known AND seen THEN TIMESTAMP '2024-02-01' END AS modified_on
+    FROM o WHERE known OR seen
+    """,
+)
+def sync_size_log(tables: Tables) -> DataFrame:
+    """Orders as database parts, some without a file group: sizes of late ones collected twice and loaded."""
+
+    def parts(orders: DataFrame, reserved, used) -> DataFrame:
+        return orders.select(
+            F.col("o_orderstatus").alias("instancefullname"),
+            F.concat(F.lit("db"), F.col("o_custkey").cast("string")).alias("databasename"),
+            F.col("o_orderkey").cast("int").alias("databaseid"),
+            F.to_date("o_orderdate").alias("log_date"),
+            F.lit("rows").alias("usagetype"),
+            F.lit("used").alias("allocationtype"),
+            F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("filegroupname"),
+            reserved.cast("decimal(15,3)").alias("reserved_mb"),
+            used.cast("decimal(15,3)").alias("used_mb"),
+        )
+
+    price, orders = F.col("o_totalprice"), tables.orders
+    known = orders.where((F.col("o_orderstatus") != "P") & (F.col("o_custkey") % 3 != 0))
+    log = parts(known, price, price / 2).withColumn("modified_on", F.lit(None).cast("timestamp"))
+    staged = parts(orders.where(F.col("o_orderdate") >= "1996-01-01"), price * 2, price)
+    return ingest.sync_size_log(log, staged.unionByName(staged), "2024-02-01")
+
+
 @query(
     "retain",
     "SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-20 12:00:00'",
@@ -228,6 +337,21 @@ def retain(tables: Tables) -> DataFrame:
     return ingest.retain(tables.events, "ts", 10, as_of="2024-01-30 12:00:00")
 
 
+@query(
+    "retain_partitions",
+    "SELECT event_id, user_id, value, CAST(ts AS DATE) AS sample_date FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20'",
+)
+def retain_partitions(tables: Tables) -> DataFrame:
+    """Events written to a log by day, in two loads, and days older than ten days dropped as whole partitions."""
+    schema = "event_id BIGINT, user_id BIGINT, value DOUBLE, sample_date DATE"
+    log = DatedLog(tables.spark, shared_folder(tables.spark, "dated-log"), schema)
+    rows = tables.events.select("event_id", "user_id", "value", F.to_date("ts").alias("sample_date"))
+    for load in (0, 1):
+        log.write(rows.where(F.col("event_id") % 2 == load), load)
+    log.expire(10, date(2024, 1, 30))
+    return log.rows()
+
+
 @query(
     "dedupe",
     """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetloom.functions.durable import shared_folder
 from fleetloom.plans.registry import Tables, query
 from fleetloom.plans.series import CPU_SQL, RATES_SQL, cpu_samples
-from fleetloom.streaming import streams
+from fleetloom.streaming import changes, streams
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -119,3 +119,39 @@ def stream_upsert(tables: Tables) -> DataFrame:
     ).awaitTermination()
     job.finish()
     return job.table.current()
+
+
+@query(
+    "stream_change_log",
+    """
+    SELECT user_id, arg_max(event_type, event_id) FILTER (event_type <> 'error') AS event_type,
+           arg_max(value, event_id) FILTER (event_type <> 'error') AS value, arg_max(ts, event_id) FILTER (event_type <> 'error') AS ts,
+           max(event_id) FILTER (event_type <> 'error') AS event_id,
+           coalesce(max(event_id) FILTER (event_type = 'error') > max(event_id) FILTER (event_type <> 'error'), false) AS is_dropped
+    FROM events GROUP BY user_id HAVING count(*) FILTER (event_type <> 'error') > 0
+    """,
+)
+def stream_change_log(tables: Tables) -> DataFrame:
+    """The last event of each user that is no error; a user whose last event is one is gone. Old changes are compacted."""
+    work = shared_folder(tables.spark, "stream-changes")
+    row = "user_id BIGINT, event_type STRING, value DOUBLE, ts TIMESTAMP, event_id BIGINT"
+    log = changes.ChangeLog(tables.spark, f"{work}/log", row, ["user_id"], "event_id", "ts", "event_type = 'error'")
+    rows = event_stream(tables).select("user_id", "event_type", "value", "ts", "event_id")
+    streams.start_batches(rows, log, f"{work}/checkpoint").awaitTermination()
+    log.compact("2024-01-15")
+    return log.current()
+
+
+@query(
+    "stream_first_within",
+    """
+    SELECT DISTINCT event_type, user_id, date_trunc('hour', ts) AS sample_time FROM events
+    """,
+)
+def stream_first_within(tables: Tables) -> DataFrame:
+    """Types and users by hour, once each, deduplicated by Spark's bounded state: however files of two months are ordered."""
+    work = shared_folder(tables.spark, "stream-first")
+    rows = event_stream(tables).select("event_type", "user_id", F.date_trunc("hour", "ts").alias("sample_time"))
+    once = changes.first_within(rows, ["event_type", "user_id", "sample_time"], "sample_time", "62 days")
+    streams.start_files(once, f"{work}/rows", f"{work}/checkpoint").awaitTermination()
+    return tables.spark.read.schema("event_type STRING, user_id BIGINT, sample_time TIMESTAMP").parquet(f"{work}/rows")

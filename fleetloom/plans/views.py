@@ -295,3 +295,37 @@ def session_log(tables: Tables) -> DataFrame:
         "isolation_level",
         "collected_by",
     )
+
+
+@query(
+    "active_sessions_as_of",
+    """
+    WITH p AS (SELECT * FROM events WHERE event_type IN ('view', 'purchase'))
+    SELECT p.event_id AS kpid, CAST(p.user_id % 50 AS BIGINT) AS spid, p.ts AS sample_time,
+           CAST(c.value AS VARCHAR) AS encrypt_option, n.n_name AS sql_text
+    FROM p ASOF JOIN (
+        SELECT user_id % 50 AS spid, user_id % 3 AS node, ts, max(value) AS value FROM events
+        WHERE event_type = 'click' GROUP BY ALL) c
+      ON p.user_id % 3 = c.node AND p.user_id % 50 = c.spid AND p.ts >= c.ts
+    JOIN nation n ON p.user_id % 25 = n.n_nationkey
+    """,
+)
+def active_sessions_as_of(tables: Tables) -> DataFrame:
+    """Events as samples of processes and connections whose ids are used again: each process has the connection of its time."""
+    server = F.concat(F.lit("node-"), (F.col("user_id") % 3).cast("string")).alias("instance_fullname")
+    spid, time = (F.col("user_id") % 50).cast("bigint"), F.col("ts").alias("sample_time")
+    kind = F.col("event_type")
+    processes = tables.events.where(kind.isin("view", "purchase")).select(
+        server, time, spid.alias("spid"), F.col("event_id").alias("kpid"), F.lit("SELECT").alias("cmd"),
+        binary_key(F.col("user_id") % 25).alias("sql_handle"),
+    )
+    # The greatest of the settings of one moment counts.
+    connections = tables.events.where(kind == "click").groupBy("user_id", "ts").agg(F.max("value").alias("value")).select(
+        server, time, spid.alias("session_id"), F.lit(0).alias("protocol_version"), F.col("value").alias("encrypt_option"),
+        F.lit(None).cast("string").alias("client_net_address"), F.lit(None).cast("int").alias("client_tcp_port"),
+    )
+    texts = tables.nation.select(binary_key("n_nationkey").alias("sql_handle"), F.col("n_name").alias("text"))
+    statements = texts.withColumn("instance_fullname", F.explode(F.array(*[F.lit(f"node-{i}") for i in range(3)])))
+    return views.active_sessions(processes, connections, statements).select(
+        "kpid", "spid", "sample_time", F.col("encrypt_option").cast("string").alias("encrypt_option"), "sql_text"
+    )

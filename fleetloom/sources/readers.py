@@ -59,8 +59,12 @@ def read_documents(spark: SparkSession, path: str, column: str = "textdata", ins
     )
 
 
-def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder, from file metadata only; contents are not read."""
+def file_listing(spark: SparkSession, path: str, pattern: str = "*", max_depth: int | None = None) -> DataFrame:
+    """Files below a folder, and the folders that hold them, from file metadata only; contents are not read.
+
+    ``depth`` is 1 for what stands in the folder itself and one more for each folder between. Folders without
+    any file below are not seen. ``max_depth`` leaves out what stands deeper.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -68,15 +72,34 @@ def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
         .load(path)
         .select("path", "length", F.col("modificationTime").alias("modified_on"))
     )
-    name = F.substring_index("path", "/", -1)
-    return files.select(
-        F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("folder"),
-        name.alias("filename"),
-        F.lit(1).cast("smallint").alias("depth"),
+    # A scheme and host may have been added to the path, so places are counted from its end.
+    root = F.lit("/" + path.split("://", 1)[-1].strip("/") + "/")
+    below = F.split(F.expr("substring(path, locate(root, path) + length(root))"), "/")
+    placed = files.withColumn("root", root).withColumn("steps", below).withColumn("depth", F.size("steps"))
+    up = lambda depth: F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - F.col("depth") + depth - 1), "/")
+    listed = placed.select(
+        up(F.col("depth")).alias("folder"),
+        F.element_at("steps", -1).alias("filename"),
+        F.col("depth").cast("smallint").alias("depth"),
         F.lit(1).cast("smallint").alias("isfile"),
         "length",
         "modified_on",
     )
+    folders = (
+        placed.where("depth > 1")
+        .select("path", "steps", "depth", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("at"))
+        .select(
+            up(F.col("at")).alias("folder"),
+            F.element_at("steps", F.col("at")).alias("filename"),
+            F.col("at").cast("smallint").alias("depth"),
+            F.lit(0).cast("smallint").alias("isfile"),
+            F.lit(None).cast("bigint").alias("length"),
+            F.lit(None).cast("timestamp").alias("modified_on"),
+        )
+        .distinct()
+    )
+    every = listed.unionByName(folders)
+    return every if max_depth is None else every.where(F.col("depth") <= max_depth)
 
 
 def read_trace_events(spark: SparkSession, path: str, instance: str | None = None) -> DataFrame:

@@ -22,11 +22,11 @@ PROCESSES = (
     "loginame STRING, nt_username STRING, cmd STRING, sql_handle BINARY"
 )
 CONNECTIONS = (
-    "instance_fullname STRING, session_id INT, protocol_version INT, encrypt_option STRING, "
+    "instance_fullname STRING, sample_time TIMESTAMP, session_id INT, protocol_version INT, encrypt_option STRING, "
     "client_net_address STRING, client_tcp_port INT"
 )
 SESSIONS = (
-    "instance_fullname STRING, session_id INT, client_interface_name STRING, client_version DOUBLE, "
+    "instance_fullname STRING, sample_time TIMESTAMP, session_id INT, client_interface_name STRING, client_version DOUBLE, "
     "transaction_isolation_level SMALLINT"
 )
 SQL_TEXT = ("instance_fullname STRING, sql_handle BINARY, text STRING")

@@ -121,6 +121,29 @@ def test_sync_database_master(table):
         ("new", 100, "FULL", False, at("2024-01-01")), ("x", 100, "FULL", False, None)]
 
 
+def test_merge_load_inserts_updates_and_flags_in_one_pass(short):
+    target = short("src STRING, k INT, v STRING, fixed STRING, is_dropped BOOLEAN, created_on TIMESTAMP, modified_on TIMESTAMP", [
+        ("a", 1, "old", "f", False, at("2023-01-01"), None), ("a", 2, "old", "f", False, None, None), ("a", 3, "old", "f", True, None, None),
+        ("a", None, "old", "f", False, None, None), ("b", 1, "old", "f", False, None, None), (None, 9, "old", "f", None, None, None),
+        ("a", 5, "old", "f", True, None, at("2023-05-05"))])
+    staged = short("src STRING, k INT, v STRING, fixed STRING, extra INT", [
+        ("a", 1, "new", "g", 1), ("a", 1, "late", "g", 2), ("a", 3, "new", "g", 1), ("a", None, "new", "g", 1), ("c", 7, "new", "g", 1)])
+    now = at("2024-01-01")
+    got = ingest.merge_load(target, staged, ["src", "k"], ["v"], "2024-01-01", ok_sources=["a", "c"], latest_by=["extra"])
+    assert got.columns == target.columns
+    assert set(map(tuple, got.collect())) == {
+        ("a", 1, "new", "f", False, at("2023-01-01"), now), ("a", 2, "old", "f", True, None, now), ("a", 3, "new", "f", False, None, now),
+        ("a", None, "new", "f", False, None, now), ("b", 1, "old", "f", False, None, None), (None, 9, "old", "f", None, None, None),
+        ("a", 5, "old", "f", True, None, now), ("c", 7, "new", "g", False, now, None)}
+    everyone = ingest.merge_load(target, staged, ["src", "k"], ["v"], "2024-01-01", latest_by=["extra"])
+    assert tuples(everyone.where("is_dropped"), "src", "k") == [(None, 9), ("a", 2), ("a", 5), ("b", 1)]
+    again = ingest.merge_load(got, staged, ["src", "k"], ["v"], "2024-01-02", ok_sources=["a", "c"], latest_by=["extra"])
+    assert tuples(again, "src", "k", "v", "is_dropped") == tuples(got, "src", "k", "v", "is_dropped")
+    assert ingest.merge_load(target.limit(0), staged.limit(0), ["src", "k"], ["v"], "2024-01-01").count() == 0
+    with pytest.raises(Exception, match="not unique"):
+        ingest.merge_load(target, staged, ["src", "k"], ["v"], "2024-01-01").collect()
+
+
 def test_sync_size_log_knows_parts_without_file_group(table):
     def size(fg, used, **kw):
         return dict(dict(instancefullname="n1", databasename="d", databaseid=5, log_date=day("2024-01-01"), usagetype="log",

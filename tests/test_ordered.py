@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetloom.functions.ordered import first_per_key, with_global_number, with_previous
+from fleetloom.functions.ordered import as_of_join, first_per_key, with_global_number, with_previous
 from tests.conftest import tuples
 
 
@@ -94,3 +94,35 @@ def test_global_number(spark):
 
 def test_global_number_of_nothing(spark):
     assert with_global_number(spark.createDataFrame([], "a INT"), ["a"], "n").count() == 0
+
+
+def test_as_of_join_by_brute_force(spark):
+    rng = random.Random(6)
+    pick = lambda: (rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(40)]))
+    left = [(*pick(), i, "x") for i in range(400)]
+    right = [(*pick(), i % 7, f"v{i % 5}") for i in range(300)]
+    want = []
+    for k, t, i, x in left:
+        held = [(rt is not None, rt or 0, a, b) for rk, rt, a, b in right if rk == k and (rt is None or (t is not None and rt <= t))]
+        if held:
+            *_, a, b = max(held)
+            want.append((k, t, i, x, a, b))
+    asked = spark.createDataFrame(left, "k INT, t INT, i INT, x STRING").repartition(3)
+    facts = spark.createDataFrame(right, "k INT, t INT, a INT, b STRING").repartition(5)
+    got = as_of_join(asked, facts, ["k"], "t", ["a", "b"])
+    assert got.columns == ["k", "t", "i", "x", "a", "b"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_as_of_join_spreads_a_key_with_most_of_the_rows(spark):
+    asked = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") % 10_000).alias("t"), "id")
+    facts = spark.range(3).select(F.lit(1).alias("k"), (F.col("id") * 4_000).alias("t"), F.col("id").alias("v"))
+    # So few rows would be put together to one range otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = as_of_join(asked, facts, ["k"], "t", ["v"])
+        per_task = [r["count"] for r in got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(per_task) == 20_000 and max(per_task) < 16_000
+    assert got.where(F.col("v") != F.floor(F.col("t") / 4_000)).count() == 0

@@ -17,7 +17,10 @@ from tests.conftest import at, day, tuples
 SMALL = "/root/testdata/sf0.001"
 STREAMS = {n for n in plans.QUERIES if n.startswith("stream_")}
 # The one unpartitioned window runs over one row per range partition.
-NUMBERED = {"report_catalog", "counter_rates", "replica_stats", "error_log_context", "size_growth"}
+NUMBERED = {
+    "report_catalog", "counter_rates", "replica_stats", "error_log_context", "size_growth",
+    "active_sessions", "active_sessions_as_of", "session_log",
+}
 # Broadcasts of a proven bound: the row counts of range partitions.
 BOUNDED = {"report_catalog"}
 
@@ -160,3 +163,12 @@ def test_hot_join_key_is_split(spark, no_broadcast, table):
 
 def _columns(ddl):
     return [tuple(part.split()) for part in ddl.split(", ")]
+
+
+def test_a_load_of_three_parts_shuffles_each_side_once(spark, tmp_path):
+    row = "src STRING, k INT, v STRING, is_dropped BOOLEAN, created_on TIMESTAMP, modified_on TIMESTAMP"
+    for name in ("target", "staged"):
+        spark.createDataFrame([("a", i, "x", False, None, None) for i in range(50)], row).write.parquet(f"{tmp_path}/{name}")
+    target, staged = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("target", "staged"))
+    plan = plan_of(ingest.merge_load(target, staged.select("src", "k", "v"), ["src", "k"], ["v"], "2024-01-01", ["a"], latest_by=["v"]))
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FullOuter") == 1

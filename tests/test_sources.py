@@ -66,3 +66,15 @@ def test_files(spark, tmp_path):
     assert files.folder_names(spark, str(tmp_path)) == ["a"] and files.folder_names(spark, str(tmp_path / "b")) == []
     files.remove(spark, str(tmp_path / "a"))
     assert files.folder_names(spark, str(tmp_path)) == []
+
+
+def test_file_listing_has_depths_and_folders(spark, tmp_path):
+    for name in ("a.bak", "x/b.bak", "x/y/c.bak", "x/y/d.txt", "z w/e.bak"):
+        (tmp_path / "top" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "top" / name).write_text("12345")
+    got = readers.file_listing(spark, f"{tmp_path}/top/", "*.bak")
+    rows = {(r.filename, r.depth, r.isfile, r.folder.split("/top", 1)[1], r.length) for r in got.collect()}
+    assert rows == {
+        ("a.bak", 1, 1, "", 5), ("b.bak", 2, 1, "/x", 5), ("c.bak", 3, 1, "/x/y", 5), ("e.bak", 2, 1, "/z w", 5),
+        ("x", 1, 0, "", None), ("y", 2, 0, "/x", None), ("z w", 1, 0, "", None)}
+    assert {r.filename for r in readers.file_listing(spark, f"{tmp_path}/top", "*", max_depth=1).collect()} == {"a.bak", "x", "z w"}

@@ -105,3 +105,20 @@ def test_session_log(table):
     row = got.first()
     assert (row.memory_usage_mb, row.hostname, row.cmd, row.collected_by, row.sample_time, row.status) == (
         dec("0.02"), "h", "SELECT", "job", at("2024-02-02"), "running")
+
+
+def test_a_reused_process_id_meets_the_settings_of_its_time(table):
+    procs = table(schemas.PROCESSES, [
+        process(spid=60, sample_time=at(f"2024-01-01 10:{m:02}"), cpu=m) for m in (0, 5, 10, 10, 30)] + [
+        process(spid=61, sample_time=at("2024-01-01 10:00"), cpu=99), process(spid=60, sample_time=None, cpu=77),
+        process(spid=62, sample_time=at("2024-01-01 10:00"), cpu=55)])
+    sess = table(schemas.SESSIONS, [
+        dict(instance_fullname="n1", session_id=60, sample_time=at(f"2024-01-01 10:{m:02}"), client_interface_name=name)
+        for m, name in ((5, "first"), (10, "a"), (10, "b"), (20, "third"))] + [
+        dict(instance_fullname="n2", session_id=60, sample_time=at("2024-01-01 09:00"), client_interface_name="other server"),
+        dict(instance_fullname="n1", session_id=62, client_interface_name="always")])
+    texts = table(schemas.SQL_TEXT, [dict(instance_fullname="n1", sql_handle=b"\x01", text="t")] * 3)
+    got = views.session_log(procs, sess, texts, "job")
+    assert tuples(got, "cpu", "client_interface_name") == [(10, "b"), (10, "b"), (30, "third"), (5, "first"), (55, "always")]
+    assert views.session_log(procs.limit(0), sess, texts, "job").count() == 0
+    assert views.session_log(procs, sess.limit(0), texts, "job").count() == 0
