@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.functions.durable import durable
+from fleetloom.functions.durable import discard, durable
 from fleetloom.functions.ordered import first_per_key
 from fleetloom.functions.text import one_line
 
@@ -19,9 +19,18 @@ TREE_HEAD = "HEAD -  "
 TREE_BRANCH = "|------  "
 # End of the fixed values.
 
-# Digits of the largest process id there can be: ids are 32-bit numbers.
+# Digits of the largest 32-bit process id: ids are padded to that, longer ones stay as they are.
 ID_WIDTH = 10
 
+
+def _padded(number: Column) -> Column:
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(ID_WIDTH), F.length(text)), F.lit("0"))
+
+
+# Path counts stop here: so many stands for so many or more.
+MOST_PATHS = 10**18
+
 # Loop numbers count per server.
 LOOP = ("instance_fullname", "monitorloop")
 
@@ -52,6 +61,72 @@ def paths_from_root(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, finished).select(*group, "node", "path")
 
 
+def _bounded_sum(*counts: str) -> Column:
+    """Sum over a group of products of path counts, up to MOST_PATHS; products of two of them fit a decimal."""
+    product = reduce(lambda a, b: a * b, [F.col(c).cast("decimal(19,0)") for c in counts])
+    most = F.lit(MOST_PATHS).cast("decimal(19,0)")
+    return F.least(F.sum(F.least(product, most).cast("decimal(19,0)")), most).cast("bigint")
+
+
+def path_counts(edges: DataFrame, group: Sequence[str]) -> DataFrame:
+    """How many paths lead from roots to each node, without listing them: ``node, n_paths, shallowest, deepest, looped``.
+
+    ``edges`` is that of :func:`paths_from_root`. A node without a path from a root has no row. For one on or below a cycle that has
+    (``looped``) paths and greatest depth are not counted and NULL. 10^18 paths stand for that many or more.
+
+    Walks of 2^k edges between two nodes are counted from those of half the length, so there are as many rounds as the
+    logarithm of the depth, or of the nodes of a group if it has a cycle. A node of a tree has one ancestor at any distance, so
+    tables of walks are not larger than that of edges there; elsewhere they have a row per node and ancestor at that distance.
+    """
+    keys = [*group, "node"]
+    roots = edges.where(F.col("parent").isNull()).select(*keys).distinct()
+    reached = roots.select(
+        *keys, F.lit(1).cast("bigint").alias("n_paths"), F.lit(0).cast("bigint").alias("shallowest"), F.lit(0).cast("bigint").alias("deepest")
+    )
+    reached = durable(reached)
+    present = edges.select(*group, F.col("node").alias("parent")).distinct()
+    steps = edges.where(F.col("parent").isNotNull()).join(present, [*group, "parent"], "left_semi")
+    walks = durable(steps.select(*group, F.col("parent").alias("above"), "node", F.lit(1).cast("bigint").alias("walks")))
+    nodes = edges.groupBy(*group).agg(F.count_distinct("node").alias("nodes")).agg(F.max("nodes")).first()[0] or 0
+    length = 1
+    # A walk of as many edges as there are nodes has been on a cycle.
+    while length < 2 * nodes and not walks.isEmpty():
+        further = reached.withColumnRenamed("node", "above").join(walks, [*group, "above"])
+        longer = further.groupBy(*keys).agg(
+            _bounded_sum("n_paths", "walks").alias("n_paths"),
+            (F.min("shallowest") + length).alias("shallowest"),
+            (F.max("deepest") + length).alias("deepest"),
+        )
+        both = reached.unionByName(longer).groupBy(*keys)
+        grown = durable(
+            both.agg(_bounded_sum("n_paths").alias("n_paths"), F.min("shallowest").alias("shallowest"), F.max("deepest").alias("deepest"))
+        )
+        first = walks.select(*group, "above", F.col("node").alias("_middle"), F.col("walks").alias("_walks"))
+        second = walks.withColumnRenamed("above", "_middle")
+        doubled = durable(
+            first.join(second, [*group, "_middle"]).groupBy(*group, "above", "node").agg(_bounded_sum("_walks", "walks").alias("walks"))
+        )
+        discard(reached)
+        discard(walks)
+        reached, walks, length = grown, doubled, 2 * length
+    looped = walks.select(*keys).distinct().withColumn("looped", F.lit(True))
+    counted = reached.join(looped, keys, "left").withColumn("looped", F.coalesce("looped", F.lit(False)))
+    return counted.withColumns({c: F.when(~F.col("looped"), F.col(c)) for c in ("n_paths", "deepest")})
+
+
+def _edge_counts(edges: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``node, parent`` and what :func:`path_counts` says of the paths that end with this edge, for reached edges."""
+    counted = path_counts(edges, group)
+    above = counted.withColumnRenamed("node", "parent")
+    below = edges.where(F.col("parent").isNotNull()).join(above, [*group, "parent"])
+    heads = edges.where(F.col("parent").isNull()).select(
+        *edges.columns, *[F.lit(n).cast("bigint").alias(c) for c, n in (("n_paths", 1), ("shallowest", 0), ("deepest", 0))],
+        F.lit(False).alias("looped"),
+    )
+    further = below.withColumns({c: F.col(c) + 1 for c in ("shallowest", "deepest")})
+    return heads.unionByName(further.select(*heads.columns))
+
+
 def _blocking_edges(processes: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of processes that block or are blocked, one per process and blocker, and the edges between them.
 
@@ -92,7 +167,7 @@ def blocking_tree(
         F.col("node").alias("spid"),
         F.coalesce(_parent_in("path"), F.lit(0)).alias("_parent"),
         (F.size("path") - 1).alias("depth"),
-        F.concat_ws("/", F.transform("path", lambda p: F.lpad(p.cast("string"), ID_WIDTH, "0"))).alias("path_key"),
+        F.concat_ws("/", F.transform("path", _padded)).alias("path_key"),
     )
     line = F.concat(
         F.lit(TREE_MARGIN),
@@ -105,6 +180,20 @@ def blocking_tree(
     return involved.join(placed, [*group, "spid", "_parent"]).drop("_parent").withColumn("blocking_tree", line)
 
 
+def blocking_edges(processes: DataFrame, group: Sequence[str] = ("instance_fullname", "sample_time")) -> DataFrame:
+    """The rows of :func:`blocking_tree` without repeats: one per process and blocker, however many paths lead there.
+
+    Adds ``n_paths`` (rows the process has in the tree below this blocker), ``shallowest`` and ``deepest`` (their depths) and ``looped``
+    (the blocker is on or below a cycle, so paths and greatest depth are NULL). Where processes wait for several others, paths
+    can double with every level; these rows cannot.
+    """
+    involved, edges = _blocking_edges(processes, group)
+    placed = _edge_counts(edges, group).select(
+        *group, F.col("node").alias("spid"), F.coalesce("parent", F.lit(0)).alias("_parent"), "n_paths", "shallowest", "deepest", "looped"
+    )
+    return involved.join(placed, [*group, "spid", "_parent"]).drop("_parent")
+
+
 def unreached(
     processes: DataFrame, group: Sequence[str] = ("instance_fullname", "sample_time")
 ) -> DataFrame:
@@ -127,13 +216,8 @@ def block_heads(reports: DataFrame) -> DataFrame:
     return blocker.join(blocked, [*LOOP, "spid", "ecid"], "left_anti")
 
 
-def blocked_hierarchy(reports: DataFrame) -> DataFrame:
-    """Blocked-process reports as trees per server and monitor loop, head blockers included as 'Lead' rows.
-
-    One report per blocked and blocking process of a loop counts; who is blocked by several stands below
-    each. ``chain`` orders a loop's rows; its numbers are padded, so it orders them as numbers.
-    """
-    ends = ["blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"]
+def _report_edges(reports: DataFrame, ends: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One report per blocked and blocking process of a loop, and the edges between processes, those of heads included."""
     rest = [c for c in reports.columns if c not in {*LOOP, *ends}]
     once = durable(first_per_key(reports, [*LOOP, *ends], rest))
     edges = once.select(*LOOP, _identity("blocked").alias("node"), _identity("blocking").alias("parent"))
@@ -142,8 +226,30 @@ def blocked_hierarchy(reports: DataFrame) -> DataFrame:
         F.struct("spid", "ecid").alias("node"),
         F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"),
     )
-    step = lambda p: F.concat_ws(".", F.lpad(p["spid"].cast("string"), ID_WIDTH, "0"), F.lpad(p["ecid"].cast("string"), ID_WIDTH, "0"))
-    placed = paths_from_root(edges.unionByName(heads), LOOP).select(
+    return once, edges.unionByName(heads)
+
+
+def blocked_edges(reports: DataFrame) -> DataFrame:
+    """Who blocks whom in each server's monitor loops, one row per blocked and blocking process, heads with blocker NULL.
+
+    ``n_paths`` is how often the row stands in :func:`blocked_hierarchy`, ``shallowest`` and ``deepest`` at which levels;
+    ``looped`` as in :func:`blocking_edges`.
+    """
+    _, edges = _report_edges(reports, ["blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"])
+    both = [F.col(f"{end}.{part}").alias(f"{kind}_{part}") for end, kind in (("node", "blocked"), ("parent", "blocking")) for part in ("spid", "ecid")]
+    return _edge_counts(edges, LOOP).select(*LOOP, *both, "n_paths", "shallowest", "deepest", "looped")
+
+
+def blocked_hierarchy(reports: DataFrame) -> DataFrame:
+    """Blocked-process reports as trees per server and monitor loop, head blockers included as 'Lead' rows.
+
+    One report per blocked and blocking process of a loop counts; who is blocked by several stands below
+    each. ``chain`` orders a loop's rows; its numbers are padded, so it orders them as numbers.
+    """
+    ends = ["blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"]
+    once, edges = _report_edges(reports, ends)
+    step = lambda p: F.concat_ws(".", _padded(p["spid"]), _padded(p["ecid"]))
+    placed = paths_from_root(edges, LOOP).select(
         *LOOP,
         F.col("node.spid").alias("blocked_spid"),
         F.col("node.ecid").alias("blocked_ecid"),

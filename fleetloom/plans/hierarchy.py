@@ -92,6 +92,49 @@ def blocking_unreached(tables: Tables) -> DataFrame:
     return hierarchy.unreached(event_processes(tables))
 
 
+# Pairs of a node and one above it; what is above itself is on a cycle.
+LOOPED_SQL = """
+    reach AS (
+        SELECT {group}, {parent} AS above, {node} AS node FROM {edges}
+        UNION
+        SELECT {pairs}, r.above, e.{node} FROM {edges} e JOIN reach r ON {same} AND e.{parent} = r.node),
+    looped AS (SELECT DISTINCT {group}, node FROM reach WHERE above IN (
+        SELECT node FROM reach c WHERE c.node = c.above AND {of_reach}))
+"""
+
+
+def looped_sql(group: tuple[str, str], edges: str, node: str, parent: str) -> str:
+    """Nodes on or below a cycle, as ``looped``."""
+    same = lambda a, b: " AND ".join(f"{a}.{g} = {b}.{g}" for g in group)
+    return LOOPED_SQL.format(
+        group=", ".join(group), pairs=", ".join(f"e.{g}" for g in group), edges=edges, node=node, parent=parent,
+        same=same("e", "r"), of_reach=same("c", "reach"),
+    )
+
+
+@query(
+    "blocking_edges",
+    TREE_SQL
+    + ", waiting AS (SELECT * FROM p WHERE waits > 0), "
+    + looped_sql(("instance_fullname", "sample_time"), "waiting", "spid", "waits")
+    + """
+    SELECT t.instance_fullname, t.sample_time, t.spid, t.blocked, t.cpu, 'select' || chr(10) || t.cpu AS sql_text,
+           CASE WHEN max(l.node) IS NULL THEN count(*) END AS n_paths, CAST(min(len(path) - 1) AS BIGINT) AS shallowest,
+           CASE WHEN max(l.node) IS NULL THEN CAST(max(len(path) - 1) AS BIGINT) END AS deepest, max(l.node) IS NOT NULL AS looped
+    FROM (SELECT * FROM tree
+          -- Into a cycle from below: no path without repeats, but the blocker has one.
+          UNION ALL
+          SELECT p.*, list_append(t.path, p.spid) FROM p JOIN tree t ON p.instance_fullname = t.instance_fullname
+            AND p.sample_time = t.sample_time AND p.waits = t.spid WHERE p.waits > 0 AND list_contains(t.path, p.spid)) t
+    LEFT JOIN looped l ON l.instance_fullname = t.instance_fullname AND l.sample_time = t.sample_time AND l.node = t.waits
+    GROUP BY ALL
+    """,
+)
+def blocking_edges(tables: Tables) -> DataFrame:
+    """The trees' rows once per process and blocker, with the number of paths."""
+    return hierarchy.blocking_edges(event_processes(tables))
+
+
 def event_reports(tables: Tables) -> DataFrame:
     """Reports of blocked users; servers have the same loops, the days, and workers alternate.
 
@@ -163,3 +206,25 @@ def block_heads(tables: Tables) -> DataFrame:
 def blocked_hierarchy(tables: Tables) -> DataFrame:
     """Report trees per server and day."""
     return hierarchy.blocked_hierarchy(event_reports(tables))
+
+
+@query(
+    "blocked_edges",
+    f"""
+    WITH RECURSIVE {REPORTS_SQL},
+    u AS (SELECT DISTINCT instance_fullname, monitorloop, spid, by_spid FROM r),
+    h AS (SELECT instance_fullname, monitorloop, by_spid AS spid FROM u EXCEPT SELECT instance_fullname, monitorloop, spid FROM u),
+    t AS (
+        SELECT instance_fullname, monitorloop, spid, CAST(NULL AS INTEGER) AS by_spid, 0 AS level FROM h
+        UNION ALL
+        SELECT u.instance_fullname, u.monitorloop, u.spid, u.by_spid, level + 1
+        FROM u JOIN t ON u.instance_fullname = t.instance_fullname AND u.monitorloop = t.monitorloop AND u.by_spid = t.spid)
+    SELECT instance_fullname, monitorloop, spid AS blocked_spid, spid % 2 AS blocked_ecid, by_spid AS blocking_spid,
+           by_spid % 2 AS blocking_ecid, count(*) AS n_paths, CAST(min(level) AS BIGINT) AS shallowest,
+           CAST(max(level) AS BIGINT) AS deepest, false AS looped
+    FROM t GROUP BY ALL
+    """,
+)
+def blocked_edges(tables: Tables) -> DataFrame:
+    """Who blocks whom per server and day, with the number of paths. Blockers have smaller numbers, so there are no cycles."""
+    return hierarchy.blocked_edges(event_reports(tables))

@@ -140,3 +140,49 @@ def test_servers_have_their_own_loops(table):
 def test_reports_of_one_process_by_two_blockers(table):
     got = hierarchy.blocked_hierarchy(reports(table, [("unknown", 5, 0, 7, 0), ("unknown", 6, 0, 7, 0), ("unknown", 7, 0, 8, 0)]))
     assert sorted(r.blockingtree for r in got.collect()) == ["        8", "        8", "    7", "    7", "5", "6"]
+
+
+def test_paths_are_counted_without_listing_them(short):
+    # Thirty levels of two, each blocked by both above: 2^29 paths to each of the last.
+    edges = [(1, 0), (2, 0)] + [(2 * n + a, 2 * n - 2 + b) for n in range(1, 30) for a in (1, 2) for b in (1, 2)]
+    got = hierarchy.blocking_edges(processes(short, edges))
+    assert got.count() == len(edges)
+    last = got.where("spid = 60").orderBy("blocked").collect()
+    assert [(r.blocked, r.n_paths, r.shallowest, r.deepest, r.looped) for r in last] == [(b, 2**28, 29, 29, False) for b in (57, 58)]
+
+
+def test_path_counts_are_bounded(short):
+    edges = [(1, 0), (2, 0)] + [(2 * n + a, 2 * n - 2 + b) for n in range(1, 70) for a in (1, 2) for b in (1, 2)]
+    counts = {(r.spid, r.blocked): r.n_paths for r in hierarchy.blocking_edges(processes(short, edges)).collect()}
+    assert counts[41, 39] == 2**19 and counts[139, 137] == hierarchy.MOST_PATHS
+
+
+def test_counted_paths_are_those_of_the_tree(short):
+    rng = random.Random(5)
+    for _ in range(3):
+        edges = {(n, rng.choice([0, 0, *range(1, n), 99]) if n > 1 else 0) for n in range(1, 16) for _ in range(3)}
+        df = processes(short, sorted(edges)).unionByName(processes(short, [(2, 1), (1, 0)], inst="n2"))
+        tree = hierarchy.blocking_tree(df).groupBy("instance_fullname", "spid", "blocked").agg(
+            F.count("*"), F.min("depth"), F.max("depth"))
+        # A head that also waits has one row for each; the tree shows the same.
+        got = hierarchy.blocking_edges(df)
+        assert tuples(got, "instance_fullname", "spid", "blocked", "n_paths", "shallowest", "deepest") == tuples(tree)
+
+
+def test_paths_at_cycles_are_not_counted(short):
+    df = processes(short, [(1, 0), (2, 1), (2, 3), (3, 2), (4, 3), (5, 1), (8, 9), (9, 8), (10, 99)])
+    got = hierarchy.blocking_edges(df)
+    assert tuples(got, "spid", "blocked", "n_paths", "shallowest", "deepest", "looped") == [
+        (1, 0, 1, 0, 0, False), (2, 1, 1, 1, 1, False), (2, 3, None, 3, None, True), (3, 2, None, 2, None, True),
+        (4, 3, None, 3, None, True), (5, 1, 1, 1, 1, False)]
+    empty = processes(short, [])
+    assert hierarchy.blocking_edges(empty).count() == 0
+
+
+def test_report_edges_count_the_rows_of_the_hierarchy(short):
+    rows = [("n", "1", s, 0, b, 0) for s, b in [(2, 1), (3, 1), (4, 2), (4, 3), (4, 3), (5, 4)]]
+    reports = short("instance_fullname STRING, monitorloop STRING, blocked_spid INT, blocked_ecid INT, blocking_spid INT, blocking_ecid INT, duration BIGINT",
+        [(*r, i) for i, r in enumerate(rows)])
+    got = hierarchy.blocked_edges(reports)
+    assert tuples(got, "blocked_spid", "blocking_spid", "n_paths", "shallowest", "deepest") == [
+        (1, None, 1, 0, 0), (2, 1, 1, 1, 1), (3, 1, 1, 1, 1), (4, 2, 1, 2, 2), (4, 3, 1, 2, 2), (5, 4, 2, 3, 3)]
