@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.functions.durable import durable
+from fleetloom.functions.durable import discard, durable
 
 # No word is empty, so the empty one stands for the end of a text.
 END = b""
@@ -111,33 +111,44 @@ def choose_symbols(counts: DataFrame, head: int, own: int, endings: int, ending_
     return Symbols(words, min(own, len(words)), kept, ending_bytes), np.array([r[1] for r in frequent], dtype=np.float64)
 
 
-def bigram_counts(texts: DataFrame, symbols: Symbols, text_col: str = "text") -> np.ndarray:
-    """How often each symbol follows each, over all texts; texts begin after an end.
-
-    The driver gets at most the square of the number of symbols, however long the texts.
-    """
+def pair_counts(texts: DataFrame, symbols: Symbols, text_col: str = "text") -> DataFrame:
+    """``a, b, n``: how often each symbol follows each, over all texts; texts begin after an end."""
     size = symbols.count
 
+    def counted(tokens: list[bytes]) -> pd.DataFrame:
+        _, kinds = symbols.of_tokens(tokens)
+        pairs, n = np.unique(kinds[:-1] * size + kinds[1:], return_counts=True)
+        return pd.DataFrame({"a": pairs // size, "b": pairs % size, "n": n})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size * size, dtype=np.int64)
+        found = [END]
         for batch in batches:
-            found = [END]
             for text in batch["text"]:
                 found.extend(tokens_of(text))
                 if len(found) > HELD:
-                    _, kinds = symbols.of_tokens(found)
-                    total += np.bincount(kinds[:-1] * size + kinds[1:], minlength=size * size)
+                    yield counted(found)
                     found = [END]
-            _, kinds = symbols.of_tokens(found)
-            total += np.bincount(kinds[:-1] * size + kinds[1:], minlength=size * size)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": seen, "n": total[seen]})
+        yield counted(found)
+
+    rows = texts.select(F.col(text_col).alias("text")).mapInPandas(count, "a int, b int, n long")
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-    rows = texts.select(F.col(text_col).alias("text")).mapInPandas(count, "pair long, n long")
-    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    matrix = np.zeros(size * size)
-    matrix[found["pair"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return matrix.reshape(size, size)
+
+def _numbered(pairs: DataFrame, of: np.ndarray) -> DataFrame:
+    """``symbol, class`` as a table to be broadcast: it has a row per symbol, whose number ``fit`` bounds."""
+    numbers = pd.DataFrame({"symbol": np.arange(len(of), dtype=np.int32), "class": of.astype(np.int32)})
+    return F.broadcast(pairs.sparkSession.createDataFrame(numbers, "symbol int, class int"))
+
+
+def between(pairs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """How often each of ``size`` classes follows each; ``of`` is the class of every symbol."""
+    classed = pairs
+    for side in ("a", "b"):
+        classed = classed.join(_numbered(pairs, of).select(F.col("symbol").alias(side), F.col("class").alias(f"of_{side}")), side)
+    found = classed.groupBy("of_a", "of_b").agg(F.sum("n").alias("n")).toPandas()
+    matrix = np.zeros((size, size))
+    matrix[found["of_a"].to_numpy(dtype=np.int64), found["of_b"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    return matrix
 
 
 def _weight(x: np.ndarray) -> np.ndarray:
@@ -193,6 +204,83 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
     return of
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Mean log probability of a class transition and of its second word's class, up to what no class changes."""
+    whole = _weight(table).sum() - _weight(table.sum(axis=0)).sum() - _weight(table.sum(axis=1)).sum()
+    return float(whole / max(table.sum(), 1.0))
+
+
+def better_classes(pairs: DataFrame, of: np.ndarray, table: np.ndarray, half: int) -> pd.DataFrame:
+    """``symbol, class`` of symbols of one half (by hash) whose class's exchange for another raises the likelihood.
+
+    Counts of the classes before and after each symbol are one aggregation; a symbol has at most two counts a
+    class then, however frequent it is. All symbols are tried against the same table of class transitions,
+    each without its own part in its own class's counts.
+    """
+    sides = []
+    for side, (symbol, other) in enumerate((("b", "a"), ("a", "b"))):
+        mine = (F.col(symbol) != END_SYMBOL) & (F.pmod(F.xxhash64(symbol), F.lit(2)) == half)
+        met = pairs.where(mine).join(_numbered(pairs, of).withColumnRenamed("symbol", other), other)
+        sides.append(met.select(F.col(symbol).alias("symbol"), (F.lit(128 * side) + F.col("class")).alias("seen"), "n"))
+    seen = sides[0].unionByName(sides[1]).groupBy("symbol", "seen").agg(F.sum("n").alias("n"))
+    packed = seen.groupBy("symbol").agg(F.sort_array(F.collect_list(F.col("n") * 256 + F.col("seen"))).alias("seen"))
+    tables, sums = (table, table.T.copy()), (table.sum(axis=0), table.sum(axis=1))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            symbols = batch["symbol"].to_numpy(dtype=np.int64)
+            old, rows = of[symbols], np.arange(len(symbols))
+            row = np.repeat(rows, batch["seen"].map(len).to_numpy())
+            entries = np.concatenate(batch["seen"].to_numpy())
+            gain = np.zeros((len(symbols), len(table)))
+            for side in (0, 1):
+                at = np.flatnonzero((entries >> 7 & 1) == side)
+                n, neighbour, whose = (entries[at] >> 8).astype(np.float64), entries[at] & 127, row[at]
+                counts = tables[side][neighbour]
+                change = _weight(counts + n[:, None]) - _weight(counts)
+                now = counts[np.arange(len(at)), old[whose]]
+                change[np.arange(len(at)), old[whose]] = _weight(now) - _weight(np.maximum(now - n, 0))
+                have, first = np.unique(whose, return_index=True)
+                if len(have):
+                    gain[have] += np.add.reduceat(change, first, axis=0)
+                total = np.bincount(whose, weights=n, minlength=len(symbols))
+                shared = _weight(sums[side][None, :] + total[:, None]) - _weight(sums[side])
+                now = sums[side][old]
+                shared[rows, old] = _weight(now) - _weight(np.maximum(now - total, 0))
+                gain -= shared
+            gain[:, 0] = -np.inf
+            new = gain.argmax(axis=1)
+            moves = gain[rows, new] > gain[rows, old] + 1e-9
+            yield pd.DataFrame({"symbol": symbols[moves], "class": new[moves]})
+
+    return packed.mapInPandas(choose, "symbol int, class int").toPandas()
+
+
+def spread_exchange(pairs: DataFrame, of: np.ndarray, classes: int, least_gain: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
+    """Exchange of all symbols by rounds of Spark jobs, from given classes: classes, and their table of transitions.
+
+    A round moves the symbols of one half at once. A round that does not raise the likelihood is taken back; when neither
+    half raises it by ``least_gain`` a token, the exchange ends. So it ends by itself: the likelihood has a bound.
+    """
+    if not 0 < classes < 128:
+        raise ValueError("1 to 127 classes")
+    table = between(pairs, of, classes + 1)
+    best, half, poor = likelihood(table), 0, 0
+    while poor < 2:
+        moved = better_classes(pairs, of, table, half)
+        tried = of.copy()
+        tried[moved["symbol"].to_numpy(dtype=np.int64)] = moved["class"].to_numpy(dtype=np.int64)
+        following = between(pairs, tried, classes + 1) if len(moved) else table
+        now = likelihood(following)
+        poor = 0 if now >= best + least_gain else poor + 1
+        if now > best:
+            of, table, best = tried, following, now
+        half = 1 - half
+    return of, table
+
+
 @dataclass
 class ClassModel:
     """Class transitions and word emissions, and the plain word frequencies to compare with."""
@@ -217,13 +305,10 @@ class ClassModel:
         return np.where(classes == 0, 0.0, np.log10((counts + self.added) / room))
 
 
-def transitions(bigrams: np.ndarray, class_of: np.ndarray, classes: int, pull: float = 5.0) -> np.ndarray:
+def transitions(table: np.ndarray, pull: float = 5.0) -> np.ndarray:
     """log10 probability of each class after each; pulled to the class's share of all as if seen ``pull`` times."""
-    member = np.zeros((len(bigrams), classes + 1))
-    member[np.arange(len(bigrams)), class_of] = 1
-    between = member.T @ bigrams @ member
-    share = (between.sum(axis=0) + 0.5) / (between.sum() + 0.5 * (classes + 1))
-    return np.log10((between + pull * share) / (between.sum(axis=1, keepdims=True) + pull))
+    share = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * len(table))
+    return np.log10((table + pull * share) / (table.sum(axis=1, keepdims=True) + pull))
 
 
 def fit(
@@ -233,19 +318,29 @@ def fit(
     own: int = 600,
     endings: int = 400,
     classes: int = 64,
+    least: int = 5,
     counts: DataFrame | None = None,
 ) -> tuple[ClassModel, DataFrame]:
     """The model and the table of word counts, both over all training texts.
 
-    Counts of words, bigrams and classes cover everything. What has a bound is the number of symbols that the
-    exchange clusters on the driver: the ``own`` most frequent words, the ``endings`` most frequent endings
-    of all others, and one for what has none of these. So every word has a class, known or not.
+    Counts of words, pairs and classes cover everything. Of the ``head`` most frequent words each that occurs ``least`` times
+    has a class by its own neighbours, so what is learned grows with the corpus; other words share the class of their
+    ending, known or not. The exchange begins on the driver, with the ``own`` most frequent words and the
+    ``endings`` most frequent endings of all others, and goes on over all words of the head in Spark jobs. The driver
+    has a class per word of the head and tables of classes.
     """
     counts = durable(word_counts(training, text_col)) if counts is None else counts
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    symbols, head_counts = choose_symbols(counts, head, own, endings)
-    bigrams = bigram_counts(training, symbols, text_col)
-    class_of = exchange(bigrams, classes)
+    seeds, head_counts = choose_symbols(counts, head, own, endings)
+    frequent = int((head_counts >= least).sum())
+    symbols = Symbols(seeds.head, max(seeds.own, frequent), seeds.endings, seeds.ending_bytes)
+    pairs = durable(pair_counts(training, symbols, text_col))
+    # Seeds are numbered like symbols; a word of the head that is no seed begins with the class of its ending.
+    seed_of = np.arange(symbols.count)
+    seed_of[seeds.count :] = [seeds.of_tail(w) for w in symbols.head[seeds.own : symbols.own]]
+    started = exchange(between(pairs, seed_of, seeds.count), classes)
+    class_of, table = spread_exchange(pairs, started[seed_of], classes)
+    discard(pairs)
 
     def by_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, distinct = np.zeros(classes + 1, dtype=np.int64), np.zeros(classes + 1, dtype=np.int64)
@@ -260,7 +355,7 @@ def fit(
     for number, words, distinct in summed.collect():
         class_words[number], class_types[number] = words, distinct
     model = ClassModel(
-        symbols, class_of, transitions(bigrams, class_of, classes), class_words, class_types, head_counts, int(total), int(types)
+        symbols, class_of, transitions(table), class_words, class_types, head_counts, int(total), int(types)
     )
     return model, counts
 
