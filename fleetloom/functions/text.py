@@ -54,6 +54,14 @@ def fold_case(text: Column, case_insensitive: bool) -> Column:
     return F.lower(text) if case_insensitive else text
 
 
+def collated(text: Column, case_insensitive: bool) -> Column:
+    """Text whose comparisons, joins, groups and patterns do not see case, when asked to.
+
+    Spark compares such text by itself, so keys need no column of folded text. Filters on it do not reach a Parquet scan.
+    """
+    return F.collate(text, "UTF8_LCASE") if case_insensitive else text
+
+
 def xml_escape(text: Column) -> Column:
     escaped = text
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

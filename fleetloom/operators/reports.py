@@ -32,13 +32,16 @@ def source_uri(additional_info: Column) -> Column:
     return F.try_element_at(info["SourceReportUri"], F.lit(1))
 
 
-def execution_log(log: DataFrame, catalog: DataFrame, exclude_user_like: str | None = None) -> DataFrame:
+def execution_log(
+    log: DataFrame, catalog: DataFrame, exclude_user_like: str | None = None, case_insensitive: bool = True
+) -> DataFrame:
     """Execution log rows with the catalog item they ran and their codes spelled out.
 
     Items no longer in the catalog are kept as deleted. ``exclude_user_like`` drops users by a LIKE
-    pattern, and with it rows without a user.
+    pattern, of any case unless ``case_insensitive`` is off, and with it rows without a user.
     """
-    rows = log if exclude_user_like is None else log.where(~F.col("username").like(exclude_user_like))
+    user = text.collated(F.col("username"), case_insensitive)
+    rows = log if exclude_user_like is None else log.where(~user.like(exclude_user_like))
     items = catalog.select(
         F.col("itemid").alias("_itemid"),
         F.col("path").alias("_path"),
@@ -213,10 +216,17 @@ def classifications(
     )
 
 
-def orphaned_users(db_principals: DataFrame, server_principals: DataFrame) -> DataFrame:
-    """Database users whose identity no login of the server has; no identity counts as orphaned."""
+def orphaned_users(db_principals: DataFrame, server_principals: DataFrame, case_insensitive: bool = True) -> DataFrame:
+    """Database users whose identity no login of the server has; no identity counts as orphaned.
+
+    Names of servers come from several collections, so they are compared without case unless ``case_insensitive`` is off.
+    """
     users = db_principals.where((F.col("principal_id") > 5) & F.col("type").isin("S", "U", "G"))
-    return users.join(server_principals.select("instance_fullname", "sid"), ["instance_fullname", "sid"], "left_anti")
+    logins = server_principals.select(
+        text.collated(F.col("instance_fullname"), case_insensitive).alias("_server"), F.col("sid").alias("_sid")
+    )
+    same_server = text.collated(F.col("instance_fullname"), case_insensitive) == F.col("_server")
+    return users.join(logins, same_server & (F.col("sid") == F.col("_sid")), "left_anti")
 
 
 def database_catalog(master: DataFrame, size_log: DataFrame, as_of: AsOf, strict: bool = False) -> DataFrame:

@@ -38,25 +38,33 @@ Scope = str | Sequence[str] | DataFrame | None
 
 
 def resolve_scope(
-    df: DataFrame, col: str, include: Scope = None, exclude: Scope = None, sep: str = ",", always_exclude: bool = False
+    df: DataFrame,
+    col: str,
+    include: Scope = None,
+    exclude: Scope = None,
+    sep: str = ",",
+    always_exclude: bool = False,
+    case_insensitive: bool = False,
 ) -> DataFrame:
     """Rows whose ``col`` is in scope.
 
     Lists come as separated text, as names or as a one-column DataFrame of any size. None means no
     restriction. The include list wins: with one, the exclude list only counts if ``always_exclude``.
+    ``case_insensitive`` compares names like a server with such a collation does; lists then do not reach the scan.
     """
-    scoped = _listed(df, col, include, sep, "left_semi")
-    return _listed(scoped, col, exclude, sep, "left_anti") if include is None or always_exclude else scoped
+    scoped = _listed(df, col, include, sep, "left_semi", case_insensitive)
+    return _listed(scoped, col, exclude, sep, "left_anti", case_insensitive) if include is None or always_exclude else scoped
 
 
-def _listed(df: DataFrame, col: str, names: Scope, sep: str, how: str) -> DataFrame:
+def _listed(df: DataFrame, col: str, names: Scope, sep: str, how: str, case_insensitive: bool) -> DataFrame:
     if names is None:
         return df
+    name = text.collated(F.col(col), case_insensitive)
     if isinstance(names, DataFrame):
-        listed = names.select(F.trim(F.col(names.columns[0])).alias(col)).distinct()
-        return df.join(listed, col, how).select(*df.columns)
+        listed = names.select(text.collated(F.trim(F.col(names.columns[0])), case_insensitive).alias("_listed")).distinct()
+        return df.join(listed, name == F.col("_listed"), how)
     parts = names.split(sep) if isinstance(names, str) else names
-    wanted = F.col(col).isin([p.strip() for p in parts if p.strip()])
+    wanted = name.isin([text.collated(F.lit(p.strip()), case_insensitive) for p in parts if p.strip()])
     # A NULL name is in no list.
     return df.where(wanted if how == "left_semi" else ~F.coalesce(wanted, F.lit(False)))
 

@@ -96,6 +96,22 @@ def resolve_scope_exclude(tables: Tables) -> DataFrame:
     return views.resolve_scope(listed, "p_name", exclude=excluded).select("p_partkey", "p_name", "p_brand")
 
 
+@query(
+    "resolve_scope_collated",
+    """
+    SELECT p_partkey, p_name, p_type FROM part
+    WHERE lower(p_type) IN ('small', 'large')
+      AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size = 50 AND p_brand = 'Brand#7')
+    """,
+)
+def resolve_scope_collated(tables: Tables) -> DataFrame:
+    """Parts by lists whose names are written in other cases."""
+    part = tables.part
+    excluded = part.where((F.col("p_size") == 50) & (F.col("p_brand") == "Brand#7")).select(F.upper("p_name").alias("name"))
+    listed = views.resolve_scope(part, "p_type", "small, LargE", case_insensitive=True)
+    return views.resolve_scope(listed, "p_name", exclude=excluded, case_insensitive=True).select("p_partkey", "p_name", "p_type")
+
+
 @query(
     "missing_indexes",
     """

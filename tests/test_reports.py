@@ -140,6 +140,16 @@ def test_classifications(table):
     assert tuples(strict, "table_name", "column_name") == [("t1", "c1"), ("t1", "c5"), ("t2", "c1")]
 
 
+def test_names_of_other_case(table):
+    rows = [dict(logentryid=n, reportid="r1", username=u) for n, u in [(1, "corp\\ADMIN.x"), (2, "corp\\ann")]]
+    got = lambda **kw: tuples(reports.execution_log(log(table, rows), catalog(table), "corp\\\\Admin.%", **kw), "logentryid")
+    assert got() == [(2,)] and got(case_insensitive=False) == [(1,), (2,)]
+    users = table(schemas.DATABASE_PRINCIPALS, [dict(instance_fullname="N1", principal_id=6, name="u", sid=b"\x01", type="S")])
+    logins = table(schemas.LOGINS, [dict(instance_fullname="n1", sid=b"\x01")])
+    assert reports.orphaned_users(users, logins).count() == 0
+    assert reports.orphaned_users(users, logins, case_insensitive=False).count() == 1
+
+
 def test_orphaned_users(table):
     def user(name, sid, kind="S", pid=6, inst="n1"):
         return dict(instance_fullname=inst, principal_id=pid, name=name, sid=sid, type=kind)

@@ -36,6 +36,20 @@ def test_resolve_scope(short):
     assert names(exclude=listed) == [None, "b", "c"]
 
 
+def test_resolve_scope_without_case(short):
+    df = short("name STRING, n INT", [("Alpha", 1), ("ALPHA", 2), ("beta", 3), (None, 4)])
+    rows = lambda **kw: [r[1] for r in tuples(views.resolve_scope(df, "name", **kw).select("n", "n"))]
+    listed = short("x STRING", [(" alphA ",), ("alpha",), (None,)])
+    assert rows(include="alpha") == [] and rows(include=listed) == []
+    for include in ("alpha, gamma", listed):
+        assert rows(include=include, case_insensitive=True) == [1, 2]
+    for exclude in ("alpha, gamma", listed):
+        assert rows(exclude=exclude, case_insensitive=True) == [3, 4]
+    # Names keep their type and case.
+    kept = views.resolve_scope(df, "name", include=listed, case_insensitive=True)
+    assert kept.schema == df.schema and tuples(kept, "name") == [("ALPHA",), ("Alpha",)]
+
+
 def test_missing_indexes(table):
     def row(**kw):
         return dict(dict(hostname="h", sql_instance="i", databaseid=100, impact_reduced=50.1, user_requests=501), **kw)
