@@ -13,11 +13,12 @@ import pytest
 import public_tokenizers
 import tokenizers
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetloom.llm import (
-    classlm, components, contamination, exact, language, lines, mixing, quality, queries, secrets, simhash, tokens,
+    alike, classlm, components, contamination, exact, language, lines, mixing, quality, queries, secrets, simhash, tokens,
 )
 from tests import oracle
 
@@ -314,6 +315,19 @@ def test_line_groups_by_brute_force(make):
     assert lines.drop_repeated_lines(make([])).count() == 0
 
 
+def test_texts_of_a_band_are_compared_until_none_is_left(spark):
+    """In one band, 200 texts like no other stand before two that are alike; every other band of theirs is empty."""
+    rng = random.Random(4)
+    texts = [(i, f"u{i:04}", prose(rng, 30)) for i in range(200)]
+    twin = prose(rng, 30)
+    texts += [(900, "u0900", twin), (901, "u0901", twin + " dan")]
+    members = spark.createDataFrame([(7, i) for i, *_ in texts] + [(8, 3), (8, 4)], "band long, short long")
+    links = alike.alike_links(members, spark.createDataFrame(texts, "short long, unit string, text string"), lines.at_characters)
+    assert {tuple(sorted(r)) for r in links.collect()} == {("u0900", "u0901")}
+    none = alike.alike_links(members.limit(0), spark.createDataFrame([], "short long, unit string, text string"), lines.at_characters)
+    assert none.columns == ["a", "b"] and none.count() == 0
+
+
 def test_line_dedup_takes_shingles_at_every_character(make, spark, tmp_path):
     rng = random.Random(11)
     cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200))
@@ -355,8 +369,10 @@ def test_line_dedup_takes_shingles_at_every_character(make, spark, tmp_path):
 
 def test_language(make):
     rng = random.Random(1)
-    speech = {"aa": "abde", "bb": "klmo", "cc": "rstu"}
-    say = lambda lang, n: " ".join("".join(rng.choice(speech[lang]) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    # Languages of the same letters with words of their own: what a dictionary can hold are strings that come again.
+    words = rng.sample(["".join(rng.choice("abdeklmorstu") for _ in range(rng.randrange(3, 9))) for _ in range(200)], 180)
+    speech = {"aa": words[:60], "bb": words[60:120], "cc": words[120:]}
+    say = lambda lang, n: " ".join(rng.choice(speech[lang]) for _ in range(n))
     docs = [(i, say(lang, rng.randrange(20, 200)), lang, "s") for i, lang in enumerate(rng.choices(list(speech), k=150))]
     dictionaries = language.fit_dictionaries(make(docs[:100]).unionByName(make([(900, None, "aa", "s"), (901, "x", None, "s")])))
     asked = docs[100:] + [(200, None, "aa", "s"), (201, "12 !?", "aa", "s"), (202, "", "aa", "s")]
@@ -364,6 +380,24 @@ def test_language(make):
     for r in found:
         assert 0 <= r.f.score <= 1
         assert r.f.lang_pred == ("und" if r.doc_id >= 200 else r.lang)
+    # The same sizes, by the library alone, for texts whose margin needs no second look.
+    for r in found:
+        if r.doc_id < 200 and not r.f.rejected and r.f.score < 1:
+            data, sizes = docs[r.doc_id][1].encode(), {}
+            for lang, content in dictionaries.items():
+                raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                squeeze = zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False, write_dict_id=False)
+                sizes[lang] = len(squeeze.compress(data))
+            best, second = sorted(sizes.values())[:2]
+            assert r.lang == min(sizes, key=sizes.get) and abs(r.f.score - 0.5 - 5 * (second - best) / second) < 1e-9
+    # Awkward texts with dictionaries to compress by, more than once; half of each of two languages is no clear case.
+    met = make([*AWKWARD, *AWKWARD]).select("doc_id", "text", language.identify_language(F.col("text"), dictionaries).alias("f")).collect()
+    assert len(met) == 2 * len(AWKWARD) and len({(r.text, r.f) for r in met}) == len({r.text for r in met})
+    assert all((r.f.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) for r in met)
+    half = " ".join(f"{a} {b}" for a, b in zip(say("aa", 300).split(), say("bb", 300).split(), strict=True))
+    torn = language.classifier(dictionaries)(half)
+    assert torn[0] in ("aa", "bb") and torn[1] < 0.75
+    assert make([]).select(language.identify_language(F.col("text"), dictionaries)).collect() == []
     assert language.fit_dictionaries(make([])) == {}
     assert make(AWKWARD).select(language.identify_language(F.col("text"), {})["lang_pred"]).distinct().first()[0] == "und"
 
