@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.functions.durable import discard, durable
+from fleetloom.llm.components import components
 
-# So many texts of a band, at most, are compared with its others in one round.
-AT_ONCE = 64
+# Bands in which more texts are left than this are a crowd: there, only those that share a rare shingle are compared.
+CROWD = 16
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[Column], Column], similar: tuple[int, int], most: int | None) -> DataFrame:
@@ -35,33 +36,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[Column], Colum
     return met.where(F.get(F.transform(F.array(cut), alike), F.lit(0))).select("a", "b", "a_unit", "b_unit")
 
 
+def _most_met(members: DataFrame) -> DataFrame:
+    """``band, lead``: the text of each band that meets most others over all its bands. Copies with edits meet their original."""
+    held = members.groupBy("band").agg(F.count(F.lit(1)).alias("held"))
+    met = members.join(held, "band").groupBy("short").agg(F.sum("held").alias("met"))
+    return members.join(met, "short").groupBy("band").agg(F.max(F.struct("met", "short"))["short"].alias("lead"))
+
+
+def _led(
+    members: DataFrame, texts: DataFrame, sets: Callable[[Column], Column], similar: tuple[int, int], most: int | None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The first text that all of a band are compared with, ``band, lead``, and links found by such comparisons.
+
+    Crowds are compared with further texts for as long as each round spares an eighth of the rows that are left, so the
+    comparisons are at most eight times the rows.
+    """
+    first = lead = durable(_most_met(members))
+    seeking, found = members, []
+    while True:
+        apart = durable(seeking.join(lead, "band").where(F.col("short") != F.col("lead")))
+        pairs = apart.select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct()
+        found.append(durable(_verified(pairs, texts, sets, similar, most)))
+        linked = found[-1].select(F.col("a").alias("short"), F.col("b").alias("lead")).distinct()
+        left = apart.join(linked, ["short", "lead"], "left_anti").select("band", "short")
+        crowds = left.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > CROWD).select("band")
+        following = durable(left.join(crowds, "band", "left_semi"))
+        rows, before = following.count(), None if seeking is members else seeking.count()
+        discard(apart)
+        if seeking is not members:
+            discard(seeking)
+        if not rows or (before is not None and 8 * rows > 7 * before):
+            discard(following)
+            return first, found
+        seeking = following
+        lead = durable(seeking.groupBy("band").agg(F.min(F.struct(F.xxhash64("short", F.lit(len(found))), "short"))["short"].alias("lead")))
+
+
+def _sharing_rare(crowd: DataFrame, texts: DataFrame, sets: Callable[[Column], Column], similar: tuple[int, int]) -> DataFrame:
+    """Pairs ``a, b`` of crowded texts of several groups that may be alike: no pair that is goes missing.
+
+    Sets in one order of their shingles, rare ones first, are alike only if the first they share is so early in both that enough
+    can follow. So it is among the first fifth of the one and, as it has no less to lose, the first ninth of the smaller one.
+    """
+    over, under = similar
+    n, at = F.col("n"), F.col("at")
+    cut = crowd.join(texts.select("short", "text"), "short").select("short", "group", sets(F.col("text")).alias("set"))
+    pieces = durable(cut.select("short", "group", F.size("set").alias("n"), F.explode("set").alias("piece")))
+    often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
+    ordered = pieces.join(often, "piece").groupBy("short", "group", "n").agg(F.sort_array(F.collect_list(F.struct("often", "piece"))).alias("set"))
+    reach = n - F.ceil(n * over / F.lit(under)).cast("int") + 1
+    early = ordered.select("short", "group", "n", F.posexplode(F.slice("set", 1, reach)).alias("at", "piece"))
+    early = durable(early.where("piece.often > 1").select("short", "group", "n", "at", F.col("piece.piece").alias("piece")))
+    # Members of a group are not compared with each other: of the largest group at a shingle, with those of other groups only.
+    shares = early.groupBy("piece", "group").agg(F.count(F.lit(1)).alias("of_group"))
+    main = shares.groupBy("piece").agg(F.max(F.struct("of_group", "group"))["group"].alias("main"), F.count(F.lit(1)).alias("groups"))
+    mixed = durable(early.join(main.where("groups > 1").drop("groups"), "piece"))
+    is_main = F.col("group") == F.col("main")
+    smaller = mixed.where((n - at) * (over + under) >= 2 * over * n).select(
+        "piece", *[F.col(c).alias(f"_{c}") for c in ("short", "group", "n", "at")], is_main.alias("_main")
+    )
+    larger = (F.col("_n") < n) | ((F.col("_n") == n) & (F.col("_short") < F.col("short")))
+    enough = F.least(F.col("_n") - F.col("_at"), n - at) * (over + under) >= (F.col("_n") + n) * over
+    possible = larger & enough & (F.col("_group") != F.col("group"))
+    pair = lambda x, y: x.join(y, "piece").where(possible).select(F.col("_short").alias("a"), F.col("short").alias("b"))
+    met = durable(pair(smaller.where(~F.col("_main")), mixed).unionByName(pair(smaller.where("_main"), mixed.where(~is_main))).distinct())
+    for table in (pieces, early, mixed):
+        discard(table)
+    return met
+
+
 def alike_links(
     members: DataFrame, texts: DataFrame, sets: Callable[[Column], Column], similar: tuple[int, int] = (4, 5), most: int | None = None
 ) -> DataFrame:
-    """``a, b``: links between units that are alike, by rounds.
+    """``a, b``: links between units that are alike, such that all that are alike and share a band are connected.
 
-    ``members`` has ``band, short``, only bands of several; ``texts`` has ``short, unit, text`` of these, once each. In a round,
-    all texts of a band are compared, exactly, with the ones of the smallest ids: one in the first round, then four times as many
-    in each, up to AT_ONCE. What is alike to one of them leaves the band, and so do they; the others go on
-    until no band has two left. A group of copies, however large, so takes a comparison a text, and texts that share a band but are
-    like no other have all been compared. With ``most``, pairs whose ``mark`` differs in more bits are not compared.
+    ``members`` has ``band, short``, only bands of several; ``texts`` has ``short, unit, text`` of these, once each. First all
+    texts of a band are compared with one, so that a group of copies, however large, takes a comparison a text. Texts linked so are
+    groups; a link between texts of one group would add nothing. Of texts that share a band and are of several groups, each pair is
+    compared; in crowds each pair that :func:`_sharing_rare` does not rule out. With ``most``, pairs whose ``mark`` differs in more
+    bits are not compared.
     """
-    left, links, several = members, [], 1
-    while True:
-        placed = F.row_number().over(Window.partitionBy("band").orderBy("short"))
-        # Only the first rows of each band leave the map tasks.
-        low = left.withColumn("place", placed).where(F.col("place") <= several).select("band", F.col("short").alias("low"))
-        apart = durable(left.join(low, "band").where(F.col("short") >= F.col("low")))
-        pairs = apart.where(F.col("short") != F.col("low"))
-        found = durable(_verified(pairs.select(F.col("short").alias("a"), F.col("low").alias("b")).distinct(), texts, sets, similar, most))
-        links.append(found.select(F.col("a_unit").alias("a"), F.col("b_unit").alias("b")))
-        linked = found.select(F.col("a").alias("short"), F.col("b").alias("low"), F.lit(True).alias("linked"))
-        gone = F.max(F.coalesce("linked", F.col("short") == F.col("low")))
-        over = apart.join(linked, ["short", "low"], "left").groupBy("band", "short").agg(gone.alias("gone")).where(~F.col("gone"))
-        following = durable(over.select("band", "short"))
-        discard(apart)
-        if left is not members:
-            discard(left)
-        left, several = following, min(4 * several, AT_ONCE)
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, links)
+    lead, found = _led(members, texts, sets, similar, most)
+    shorts = reduce(DataFrame.unionByName, [f.select("a", "b") for f in found])
+    grouped = durable(components(shorts).withColumnRenamed("node", "short"))
+    group = F.coalesce("root", F.col("short")).alias("group")
+    # The text that all have been compared with has no pair left.
+    rest = members.join(lead, "band").where(F.col("short") != F.col("lead")).join(grouped, "short", "left").select("band", "short", group)
+    rest = durable(rest)
+    several = rest.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.min("group").alias("least"), F.max("group").alias("most"))
+    several = durable(several.where(F.col("least") != F.col("most")).select("band", "held"))
+    few = rest.join(several.where(F.col("held") <= CROWD), "band")
+    other = few.select("band", F.col("short").alias("a"), F.col("group").alias("_group"))
+    pairs = few.join(other, "band").where((F.col("a") < F.col("short")) & (F.col("group") != F.col("_group"))).select("a", F.col("short").alias("b"))
+    crowd = durable(rest.join(several.where(F.col("held") > CROWD), "band", "left_semi").select("short", "group").distinct())
+    rare = None if crowd.isEmpty() else _sharing_rare(crowd, texts, sets, similar)
+    pairs = (pairs if rare is None else pairs.unionByName(rare)).distinct()
+    found.append(durable(_verified(pairs, texts, sets, similar, most)))
+    for table in (lead, grouped, rest, several, crowd, rare):
+        if table is not None:
+            discard(table)
+    return reduce(DataFrame.unionByName, [f.select(F.col("a_unit").alias("a"), F.col("b_unit").alias("b")) for f in found])

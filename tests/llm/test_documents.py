@@ -638,3 +638,19 @@ def simhash_words(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w]
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("crowd", [0, 60])
+def test_texts_alike_to_one_that_left_are_linked(spark, crowd):
+    """In one band: each text of a chain is alike the one before it only, beside texts that share a passage and are unlike."""
+    rng = random.Random(6)
+    shared, middle = prose(rng, 12), prose(rng, 90).split()
+    chain = [" ".join(middle[3 * i : 3 * i + 40]) for i in range(12)]
+    texts = [*chain, *(f"{shared} {prose(rng, 25)}" for _ in range(crowd))]
+    rows = [(i, f"u{i:04}", t) for i, t in enumerate(texts)]
+    cut = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    alikes = {(x, y) for y in range(len(texts)) for x in range(y) if 5 * len(cut[x] & cut[y]) >= 4 * len(cut[x] | cut[y])}
+    assert alikes == {(i, i + 1) for i in range(11)}
+    members = spark.createDataFrame([(7, i) for i in range(len(texts))], "band long, short long")
+    links = alike.alike_links(members, spark.createDataFrame(rows, "short long, unit string, text string"), lines.at_characters)
+    assert {tuple(sorted((int(a[1:]), int(b[1:])))) for a, b in links.collect()} == alikes
