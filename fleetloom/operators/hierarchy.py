@@ -75,8 +75,8 @@ def path_counts(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     (``looped``) paths and greatest depth are not counted and NULL. 10^18 paths stand for that many or more.
 
     Walks of 2^k edges between two nodes are counted from those of half the length, so there are as many rounds as the
-    logarithm of the depth, or of the nodes of a group if it has a cycle. A node of a tree has one ancestor at any distance, so
-    tables of walks are not larger than that of edges there; elsewhere they have a row per node and ancestor at that distance.
+    logarithm of the depth, or of the walks that are left in a group, if it has a cycle. A node of a tree has one ancestor at any
+    distance, so tables of walks are not larger than that of edges there; elsewhere they have a row per node and ancestor at that distance.
     """
     keys = [*group, "node"]
     roots = edges.where(F.col("parent").isNull()).select(*keys).distinct()
@@ -87,10 +87,14 @@ def path_counts(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     present = edges.select(*group, F.col("node").alias("parent")).distinct()
     steps = edges.where(F.col("parent").isNotNull()).join(present, [*group, "parent"], "left_semi")
     walks = durable(steps.select(*group, F.col("parent").alias("above"), "node", F.lit(1).cast("bigint").alias("walks")))
-    nodes = edges.groupBy(*group).agg(F.count_distinct("node").alias("nodes")).agg(F.max("nodes")).first()[0] or 0
-    length = 1
-    # A walk of as many edges as there are nodes has been on a cycle.
-    while length < 2 * nodes and not walks.isEmpty():
+    length, least = 1, None
+    while True:
+        most = walks.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        # What lies at this length or beyond on a longer walk ends one of this length, of which a group has so many at most:
+        # with more edges than that on top, a walk has been on a cycle.
+        least = length + most if least is None else min(least, length + most)
+        if not most or length >= least:
+            break
         further = reached.withColumnRenamed("node", "above").join(walks, [*group, "above"])
         longer = further.groupBy(*keys).agg(
             _bounded_sum("n_paths", "walks").alias("n_paths"),

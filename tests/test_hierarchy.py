@@ -186,3 +186,18 @@ def test_report_edges_count_the_rows_of_the_hierarchy(short):
     got = hierarchy.blocked_edges(reports)
     assert tuples(got, "blocked_spid", "blocking_spid", "n_paths", "shallowest", "deepest") == [
         (1, None, 1, 0, 0), (2, 1, 1, 1, 1), (3, 1, 1, 1, 1), (4, 2, 1, 2, 2), (4, 3, 1, 2, 2), (5, 4, 2, 3, 3)]
+
+
+def test_a_short_cycle_does_not_add_rounds_for_every_other_node(spark, monkeypatch):
+    """Rounds follow the depth and what is below the cycle, not the number of processes of the snapshot."""
+    edges = [(1, n, None if n == 10 else 10) for n in range(10, 4000)] + [(1, 2, 3), (1, 3, 2), (1, 4, 3), (1, 3, 10)]
+    edges += [(2, n, n - 1 if n else None) for n in range(9)]
+    written = []
+    keep = hierarchy.durable
+    monkeypatch.setattr(hierarchy, "durable", lambda df: written.append(1) or keep(df))
+    got = hierarchy.path_counts(spark.createDataFrame(edges, "g int, node int, parent int"), ["g"]).collect()
+    found = {(r.g, r.node): (r.n_paths, r.shallowest, r.deepest, r.looped) for r in got}
+    assert len(found) == 3990 + 3 + 9 and found[1, 10] == (1, 0, 0, False) and found[1, 3999] == (1, 1, 1, False)
+    assert {n: found[1, n] for n in (2, 3, 4)} == {2: (None, 2, None, True), 3: (None, 1, None, True), 4: (None, 2, None, True)}
+    assert all(found[2, n] == (1, n, n, False) for n in range(9))
+    assert len(written) <= 2 + 2 * 6
