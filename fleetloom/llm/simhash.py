@@ -374,13 +374,15 @@ def word_shingles(text: Column, words: int = 5) -> Column:
 
 
 def alike_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: tuple[int, int] = (4, 5), most: int = 24
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: tuple[int, int] = (4, 5), most: int = 24,
+    radius: int = 4, crowd: int = CROWD,
 ) -> DataFrame:
     """Which documents are alike: ``doc_id, key, text_hash, root, component_id``, one row per input row.
 
     Documents link if the similarity of their sets of 5-word shingles is at least 0.8, exactly. Texts of the same
-    words are one and only distinct ones are compared: those that share a band, if their fingerprints differ in at most ``most`` of
-    64 bits. At a similarity of 0.8 these differ in about 10 bits, in more than 24 hardly ever; unrelated ones in 32.
+    words are one and only distinct ones are compared: those whose fingerprints link within ``radius`` bits as in
+    :func:`near_duplicates`, and those that share a band, if their fingerprints differ in at most ``most`` of 64 bits.
+    At a similarity of 0.8 these differ in about 10 bits, in more than 24 hardly ever; unrelated ones in 32.
     ``component_id`` is the smallest document id of a group. NULL and wordless texts are alike.
     """
     said = F.regexp_extract_all(lower_ascii(text_or_empty(text_col)), F.lit(WORD), F.lit(0))
@@ -389,7 +391,10 @@ def alike_documents(
     marked = durable(rows.select("doc_id", "key", "text_hash", "unit", "sign.*"))
     short = F.conv(F.hex(F.substring("unit", 1, 7)), 16, 10).cast("long").alias("short")
     distinct = durable(marked.groupBy("unit").agg(F.first("mark").alias("mark"), F.first("bands").alias("bands"), F.min("doc_id").alias("least")))
-    banded = distinct.select(short, F.explode("bands").alias("band"))
+    # What fingerprints link is a band of its own: its texts are compared like those of any other.
+    hung = components(near_links(distinct.select("mark").distinct(), radius, crowd))
+    near = distinct.join(hung, distinct["mark"] == hung["node"], "left").select(short, F.xxhash64(F.lit("mark"), F.coalesce("root", "mark")).alias("band"))
+    banded = distinct.select(short, F.explode("bands").alias("band")).unionByName(near)
     held = F.count(F.lit(1)).over(Window.partitionBy("band"))
     members = durable(banded.withColumn("held", held).where("held > 1").drop("held"))
     # One text for each unit that shares a band: the one whose hash is the smallest.

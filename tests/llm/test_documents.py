@@ -654,3 +654,21 @@ def test_texts_alike_to_one_that_left_are_linked(spark, crowd):
     members = spark.createDataFrame([(7, i) for i in range(len(texts))], "band long, short long")
     links = alike.alike_links(members, spark.createDataFrame(rows, "short long, unit string, text string"), lines.at_characters)
     assert {tuple(sorted((int(a[1:]), int(b[1:])))) for a, b in links.collect()} == alikes
+
+
+def test_documents_alike_that_fingerprints_alone_find(make):
+    """Texts of similarity 0.8 or more without a common band, whose fingerprints differ in at most four bits."""
+    rng = random.Random(5)
+    for _ in range(200_000):
+        words = prose(rng, rng.choice([10, 11, 12, 13])).split()
+        texts = " ".join(words[:-1]), " ".join(words)
+        hashes = [list(simhash.shingle_hashes(t, 5)) for t in texts]
+        a, b = (simhash.bands_of(np.concatenate(h)) for h in hashes)
+        if set(a) & set(b):
+            continue
+        if (simhash.fingerprint_from(hashes[0]) ^ simhash.fingerprint_from(hashes[1])).bit_count() <= 4:
+            break
+    else:
+        raise AssertionError("no such texts")
+    got = simhash.alike_documents(make([(1, texts[0], "en", "a"), (2, texts[1], "en", "a"), (3, prose(rng, 30), "en", "a")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
