@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ END = b""
 END_SYMBOL, REST_SYMBOL = 0, 1
 # Distinct words that a task counts before it hands them on.
 HELD = 1 << 20
+# Neighbours of symbols that are handed on at once.
+NEIGHBOURS = 1 << 18
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -68,6 +71,16 @@ class Symbols:
         self.of_ending = {e: 2 + i for i, e in enumerate(self.endings)}
         self.of_head = np.array([self._symbol(i, w) for i, w in enumerate(self.head)], dtype=np.int64).reshape(-1)
 
+    def __getstate__(self) -> dict:
+        # Words have no space: they travel as one string, and are numbered again where they arrive.
+        return {k: v for k, v in self.__dict__.items() if k not in ("head", "number")} | {"packed": b" ".join(self.head), "any": bool(self.head)}
+
+    def __setstate__(self, state: dict) -> None:
+        packed, some = state.pop("packed"), state.pop("any")
+        self.__dict__.update(state)
+        self.head = packed.split(b" ") if some else []
+        self.number = {w: i for i, w in enumerate(self.head)}
+
     def _symbol(self, place: int, word: bytes) -> int:
         if word == END:
             return END_SYMBOL
@@ -86,17 +99,41 @@ class Symbols:
         return numbers, symbols
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of the largest ``n``, ties by ``word``.
+
+    How many words have a count, by its six leading bits, says from which count on all are in; only those of the next
+    few counts are put in order. Otherwise each task would hand ``most`` words to the driver.
+    """
+    cut = "greatest(length(bin(n)) - 6, 0)"
+    floor = F.expr(f"shiftleft(shiftright(n, {cut}), {cut})")
+    least, left = None, most
+    for bound, words in sorted(counts.groupBy(floor.alias("bound")).count().collect(), reverse=True):
+        if words > left:
+            break
+        least, left = bound, left - words
+    else:
+        return counts
+    above = counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
+    return above.unionByName(counts.where(floor == bound).orderBy(F.desc("n"), "word").limit(left))
+
+
 def choose_symbols(counts: DataFrame, head: int, own: int, endings: int, ending_bytes: int = 3) -> tuple[Symbols, np.ndarray]:
     """Symbols by counts over the whole training text, and the counts of the head words.
 
-    The driver gets the ``head`` most frequent words and the ``endings`` most frequent endings of others.
+    The driver gets the ``head`` most frequent words, as one string, and the ``endings`` most frequent endings of others.
     """
-    frequent = counts.orderBy(F.desc("n"), "word").limit(head).collect()
-    words = [r.word.encode() for r in frequent]
+    chosen = durable(most_frequent(counts, head))
+    held = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word")))
+    packed = chosen.agg(held.alias("held"), F.count(F.lit(1)).alias("rows"))
+    found = packed.select(F.concat_ws(" ", "held.word").alias("words"), F.col("held.n").alias("n"), "rows").toArrow()
+    discard(chosen)
+    words = found["words"][0].as_py().encode().split(b" ") if found["rows"][0].as_py() else []
+    times = -found["n"].chunk(0).values.to_numpy().astype(np.float64)
+    named = counts.sparkSession.createDataFrame([(w.decode(),) for w in words[:own]], "word string")
     # The end always has a number and a symbol.
     if END not in words:
-        words, frequent = [END, *words], [(END, 0), *frequent]
-    named = durable(counts.orderBy(F.desc("n"), "word").limit(own).select("word"))
+        words, times = [END, *words], np.r_[0.0, times]
     # As bytes, like the tasks cut them.
     ending = F.expr(f"right(hex(cast(word as binary)), {2 * ending_bytes})")
     common = (
@@ -108,7 +145,7 @@ def choose_symbols(counts: DataFrame, head: int, own: int, endings: int, ending_
         .collect()
     )
     kept = [bytes.fromhex(r.ending) for r in common if r.ending]
-    return Symbols(words, min(own, len(words)), kept, ending_bytes), np.array([r[1] for r in frequent], dtype=np.float64)
+    return Symbols(words, min(own, len(words)), kept, ending_bytes), times
 
 
 def pair_counts(texts: DataFrame, symbols: Symbols, text_col: str = "text") -> DataFrame:
@@ -134,21 +171,66 @@ def pair_counts(texts: DataFrame, symbols: Symbols, text_col: str = "text") -> D
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _numbered(pairs: DataFrame, of: np.ndarray) -> DataFrame:
-    """``symbol, class`` as a table to be broadcast: it has a row per symbol, whose number ``fit`` bounds."""
-    numbers = pd.DataFrame({"symbol": np.arange(len(of), dtype=np.int32), "class": of.astype(np.int32)})
-    return F.broadcast(pairs.sparkSession.createDataFrame(numbers, "symbol int, class int"))
-
-
 def between(pairs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
     """How often each of ``size`` classes follows each; ``of`` is the class of every symbol."""
-    classed = pairs
-    for side in ("a", "b"):
-        classed = classed.join(_numbered(pairs, of).select(F.col("symbol").alias(side), F.col("class").alias(f"of_{side}")), side)
-    found = classed.groupBy("of_a", "of_b").agg(F.sum("n").alias("n")).toPandas()
-    matrix = np.zeros((size, size))
-    matrix[found["of_a"].to_numpy(dtype=np.int64), found["of_b"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return matrix
+    of = of.astype(np.int32)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size)
+        for batch in batches:
+            a, b, n = (batch[c].to_numpy() for c in ("a", "b", "n"))
+            cells = of[a].astype(np.int64) * size + of[b]
+            if len(cells) < len(table):
+                cells, place = np.unique(cells, return_inverse=True)
+                table[cells] += np.bincount(place, weights=n, minlength=len(cells))
+            else:
+                table += np.bincount(cells, weights=n, minlength=len(table))
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(table[cells].astype(np.int64))], names=["cell", "n"])
+
+    found = pairs.select("a", "b", "n").mapInArrow(add, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros(size * size)
+    matrix[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return matrix.reshape(size, size)
+
+
+def neighbours(pairs: DataFrame, half: int) -> DataFrame:
+    """``symbol, held``: each symbol of one half (by hash) with the ``other`` symbols beside it and how often, ``n``.
+
+    ``other`` is twice its number, one more if it stands after the symbol. A symbol has at most two entries for each other,
+    however frequent it is.
+    """
+    sides = [
+        pairs.select(F.col(symbol).alias("symbol"), (F.col(other) * 2 + side).alias("other"), "n")
+        for side, (symbol, other) in enumerate((("b", "a"), ("a", "b")))
+    ]
+    mine = (F.col("symbol") != END_SYMBOL) & (F.pmod(F.xxhash64("symbol"), F.lit(2)) == half)
+    dealt = sides[0].unionByName(sides[1]).where(mine).repartition("symbol").sortWithinPartitions("symbol")
+    kind = pa.struct([("other", pa.int32()), ("n", pa.int64())])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+
+        def packed(symbol: np.ndarray, other: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            firsts = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+            held = pa.StructArray.from_arrays([pa.array(other, pa.int32()), pa.array(n, pa.int64())], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[firsts, len(symbol)].astype(np.int32)), held)
+            return pa.RecordBatch.from_arrays([pa.array(symbol[firsts], pa.int32()), lists], names=["symbol", "held"])
+
+        for batch in batches:
+            waiting.append([batch[c].to_numpy() for c in ("symbol", "other", "n")])
+            rows += batch.num_rows
+            if rows >= NEIGHBOURS:
+                whole = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                # The last symbol may go on in the next batch.
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                if cut:
+                    yield packed(*[c[:cut] for c in whole])
+                waiting, rows = [[c[cut:] for c in whole]], len(whole[0]) - cut
+        if rows:
+            yield packed(*[np.concatenate(c) for c in zip(*waiting, strict=True)])
+
+    return dealt.mapInArrow(together, "symbol int, held array<struct<other: int, n: long>>")
 
 
 def _weight(x: np.ndarray) -> np.ndarray:
@@ -210,52 +292,51 @@ def likelihood(table: np.ndarray) -> float:
     return float(whole / max(table.sum(), 1.0))
 
 
-def better_classes(pairs: DataFrame, of: np.ndarray, table: np.ndarray, half: int) -> pd.DataFrame:
+def better_classes(pairs: DataFrame, of: np.ndarray, table: np.ndarray, half: int, held: DataFrame | None = None) -> pd.DataFrame:
     """``symbol, class`` of symbols of one half (by hash) whose class's exchange for another raises the likelihood.
 
-    Counts of the classes before and after each symbol are one aggregation; a symbol has at most two counts a
-    class then, however frequent it is. All symbols are tried against the same table of class transitions,
-    each without its own part in its own class's counts.
+    ``held`` are the :func:`neighbours` of that half, which stay the same over all rounds; so a round shuffles nothing. Of
+    them come the counts of the classes before and after each symbol: at most two a class, however frequent it
+    is. All symbols are tried against the same table of class transitions, each without its own part in its own class's counts.
     """
-    sides = []
-    for side, (symbol, other) in enumerate((("b", "a"), ("a", "b"))):
-        mine = (F.col(symbol) != END_SYMBOL) & (F.pmod(F.xxhash64(symbol), F.lit(2)) == half)
-        met = pairs.where(mine).join(_numbered(pairs, of).withColumnRenamed("symbol", other), other)
-        sides.append(met.select(F.col(symbol).alias("symbol"), (F.lit(128 * side) + F.col("class")).alias("seen"), "n"))
-    seen = sides[0].unionByName(sides[1]).groupBy("symbol", "seen").agg(F.sum("n").alias("n"))
-    packed = seen.groupBy("symbol").agg(F.sort_array(F.collect_list(F.col("n") * 256 + F.col("seen"))).alias("seen"))
+    held = neighbours(pairs, half) if held is None else held
+    size, of = len(table), of.astype(np.int32)
     tables, sums = (table, table.T.copy()), (table.sum(axis=0), table.sum(axis=1))
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def better(symbols: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+        old, rows = of[symbols], np.arange(len(symbols))
+        gain = np.zeros((len(symbols), size))
+        for side in (0, 1):
+            whose, neighbour = np.nonzero(seen[:, side])
+            n, counts = seen[whose, side, neighbour], tables[side][neighbour]
+            change = _weight(counts + n[:, None]) - _weight(counts)
+            now = counts[np.arange(len(n)), old[whose]]
+            change[np.arange(len(n)), old[whose]] = _weight(now) - _weight(np.maximum(now - n, 0))
+            have, first = np.unique(whose, return_index=True)
+            if len(have):
+                gain[have] += np.add.reduceat(change, first, axis=0)
+            total = seen[:, side].sum(axis=1)
+            shared = _weight(sums[side][None, :] + total[:, None]) - _weight(sums[side])
+            now = sums[side][old]
+            shared[rows, old] = _weight(now) - _weight(np.maximum(now - total, 0))
+            gain -= shared
+        gain[:, 0] = -np.inf
+        new = gain.argmax(axis=1)
+        moves = gain[rows, new] > gain[rows, old] + 1e-9
+        return pd.DataFrame({"symbol": symbols[moves], "class": new[moves]}).astype("int32")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            symbols = batch["symbol"].to_numpy(dtype=np.int64)
-            old, rows = of[symbols], np.arange(len(symbols))
-            row = np.repeat(rows, batch["seen"].map(len).to_numpy())
-            entries = np.concatenate(batch["seen"].to_numpy())
-            gain = np.zeros((len(symbols), len(table)))
-            for side in (0, 1):
-                at = np.flatnonzero((entries >> 7 & 1) == side)
-                n, neighbour, whose = (entries[at] >> 8).astype(np.float64), entries[at] & 127, row[at]
-                counts = tables[side][neighbour]
-                change = _weight(counts + n[:, None]) - _weight(counts)
-                now = counts[np.arange(len(at)), old[whose]]
-                change[np.arange(len(at)), old[whose]] = _weight(now) - _weight(np.maximum(now - n, 0))
-                have, first = np.unique(whose, return_index=True)
-                if len(have):
-                    gain[have] += np.add.reduceat(change, first, axis=0)
-                total = np.bincount(whose, weights=n, minlength=len(symbols))
-                shared = _weight(sums[side][None, :] + total[:, None]) - _weight(sums[side])
-                now = sums[side][old]
-                shared[rows, old] = _weight(now) - _weight(np.maximum(now - total, 0))
-                gain -= shared
-            gain[:, 0] = -np.inf
-            new = gain.argmax(axis=1)
-            moves = gain[rows, new] > gain[rows, old] + 1e-9
-            yield pd.DataFrame({"symbol": symbols[moves], "class": new[moves]})
-
-    return packed.mapInPandas(choose, "symbol int, class int").toPandas()
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                beside = part["held"].flatten()
+                other, n = beside.field(0).to_numpy(), beside.field(1).to_numpy()
+                row = np.repeat(np.arange(part.num_rows), part["held"].value_lengths().to_numpy())
+                cells = (row * 2 + (other & 1)) * size + of[other >> 1]
+                seen = np.bincount(cells, weights=n, minlength=part.num_rows * 2 * size).reshape(-1, 2, size)
+                yield pa.RecordBatch.from_pandas(better(part["symbol"].to_numpy(), seen), preserve_index=False)
+
+    return held.mapInArrow(choose, "symbol int, class int").toArrow().to_pandas()
 
 
 def spread_exchange(pairs: DataFrame, of: np.ndarray, classes: int, least_gain: float = 0.001) -> tuple[np.ndarray, np.ndarray]:
@@ -268,8 +349,9 @@ def spread_exchange(pairs: DataFrame, of: np.ndarray, classes: int, least_gain:
         raise ValueError("1 to 127 classes")
     table = between(pairs, of, classes + 1)
     best, half, poor = likelihood(table), 0, 0
+    halves = [durable(neighbours(pairs, half)) for half in (0, 1)]
     while poor < 2:
-        moved = better_classes(pairs, of, table, half)
+        moved = better_classes(pairs, of, table, half, halves[half])
         tried = of.copy()
         tried[moved["symbol"].to_numpy(dtype=np.int64)] = moved["class"].to_numpy(dtype=np.int64)
         following = between(pairs, tried, classes + 1) if len(moved) else table
@@ -278,6 +360,8 @@ def spread_exchange(pairs: DataFrame, of: np.ndarray, classes: int, least_gain:
         if now > best:
             of, table, best = tried, following, now
         half = 1 - half
+    for held in halves:
+        discard(held)
     return of, table
 
 

@@ -480,6 +480,24 @@ def test_gains_are_those_of_the_likelihood(spark):
     assert checked
 
 
+@pytest.mark.parametrize("most", [0, 1, 40, 333, 900, 5000])
+def test_most_frequent_words_without_the_driver(spark, most):
+    rng = random.Random(12)
+    rows = [(f"w{i}", int(10 ** rng.uniform(0, 6)) if i % 3 else 70 + i % 2) for i in range(1000)]
+    found = classlm.most_frequent(spark.createDataFrame(rows, "word string, n long"), most)
+    assert {tuple(r) for r in found.collect()} == set(sorted(rows, key=lambda r: (-r[1], r[0]))[:most])
+
+
+def test_class_tables_reach_the_driver_without_rows(spark, monkeypatch):
+    """A table of 1,002 classes is a million cells; as rows they took some 300 MB of the driver, as Arrow columns 12."""
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("rows"))
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: pytest.fail("rows"))
+    pairs = spark.range(90_000).selectExpr("int(id div 300) a", "int(id % 300) b", "id % 7 + 1 n")
+    table = classlm.between(pairs, np.arange(300) % 100, 100)
+    assert table.shape == (100, 100) and table.sum() == sum(i % 7 + 1 for i in range(90_000))
+    assert len(classlm.better_classes(pairs, np.arange(300) % 4, classlm.between(pairs, np.arange(300) % 4, 4), 0)) <= 300
+
+
 def test_class_scores_by_brute_force(make):
     rng = random.Random(6)
     docs = [(i, prose(rng, rng.randrange(0, 60)) + rng.choice(["", " new%d" % i]), None, None) for i in range(80)]
