@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from fleetloom.functions.durable import discard, durable
 from fleetloom.llm.components import components
 
-# Bands in which more texts are left than this are a crowd: there, only those that share a rare shingle are compared.
+# Bands in which more texts are left than this are a crowd: there, only those that can be alike by what sets them off are compared.
 CROWD = 16
+# Words of 64 bits of the marks of what sets a text off, and texts of a crowd that are matched with all others in one task.
+WORDS, CELL = 16, 1024
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[Column], Column], similar: tuple[int, int], most: int | None) -> DataFrame:
@@ -72,37 +74,52 @@ def _led(
         lead = durable(seeking.groupBy("band").agg(F.min(F.struct(F.xxhash64("short", F.lit(len(found))), "short"))["short"].alias("lead")))
 
 
-def _sharing_rare(crowd: DataFrame, texts: DataFrame, sets: Callable[[Column], Column], similar: tuple[int, int]) -> DataFrame:
-    """Pairs ``a, b`` of crowded texts of several groups that may be alike: no pair that is goes missing.
+def _set_off(crowd: DataFrame, texts: DataFrame, sets: Callable[[Column], Column]) -> DataFrame:
+    """``crowd`` with ``n``, the size of the text's set, ``off``, by how many shingles it differs from its lead's, and marks of these.
 
-    Sets in one order of their shingles, rare ones first, are alike only if the first they share is so early in both that enough
-    can follow. So it is among the first fifth of the one and, as it has no less to lose, the first ninth of the smaller one.
+    Each such shingle sets one bit of the marks ``m0``, ``m1``, ...; ``lost`` is by how many bits fewer are set than there are shingles.
+    """
+    of = lambda side: texts.select(F.col("short").alias(side), F.col("text").alias(f"{side}_text"))
+    met = crowd.join(of("short"), "short").join(of("lead"), "lead")
+
+    def differing(both: Column) -> Column:
+        apart = F.concat(F.array_except(both["a"], both["b"]), F.array_except(both["b"], both["a"]))
+        return F.struct(F.size(both["a"]).alias("n"), apart.alias("off"))
+
+    cut = F.struct(sets(F.col("short_text")).alias("a"), sets(F.col("lead_text")).alias("b"))
+    found = met.select("lead", "short", "group", "main", F.get(F.transform(F.array(cut), differing), F.lit(0)).alias("found"))
+    pieces = found.select("lead", "short", "group", "main", "found.n", F.size("found.off").alias("off"), F.explode("found.off").alias("piece"))
+    at = pieces.withColumn("at", F.xxhash64("piece").bitwiseAND(F.lit(64 * WORDS - 1)))
+    word, bit = F.shiftright("at", 6), F.expr("shiftleft(1L, int(at & 63))")
+    marks = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"m{i}") for i in range(WORDS)]
+    marked = at.groupBy("lead", "short", "group", "main", "n", "off").agg(*marks)
+    return marked.withColumn("lost", F.col("off") - reduce(Column.__add__, [F.bit_count(f"m{i}") for i in range(WORDS)]))
+
+
+def _possible(crowd: DataFrame, texts: DataFrame, sets: Callable[[Column], Column], similar: tuple[int, int]) -> DataFrame:
+    """Pairs ``a, b`` of crowded texts of one lead and several groups that may be alike: no pair that is goes missing.
+
+    ``crowd`` has ``lead, short, group, main``, the last being whether the text is of its lead's group. Copies with edits have most
+    shingles in common, whether alike or not; what they differ by from their lead tells them apart. Two texts differ by what sets the one off
+    from the lead and not the other: by the number of both, less twice what is in both, which is no more than the bits that
+    both marks have and those that were lost. All pairs of a crowd are matched, a few instructions each, and only possible ones become rows.
     """
     over, under = similar
-    n, at = F.col("n"), F.col("at")
-    cut = crowd.join(texts.select("short", "text"), "short").select("short", "group", sets(F.col("text")).alias("set"))
-    pieces = durable(cut.select("short", "group", F.size("set").alias("n"), F.explode("set").alias("piece")))
-    often = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
-    ordered = pieces.join(often, "piece").groupBy("short", "group", "n").agg(F.sort_array(F.collect_list(F.struct("often", "piece"))).alias("set"))
-    reach = n - F.ceil(n * over / F.lit(under)).cast("int") + 1
-    early = ordered.select("short", "group", "n", F.posexplode(F.slice("set", 1, reach)).alias("at", "piece"))
-    early = durable(early.where("piece.often > 1").select("short", "group", "n", "at", F.col("piece.piece").alias("piece")))
-    # Members of a group are not compared with each other: of the largest group at a shingle, with those of other groups only.
-    shares = early.groupBy("piece", "group").agg(F.count(F.lit(1)).alias("of_group"))
-    main = shares.groupBy("piece").agg(F.max(F.struct("of_group", "group"))["group"].alias("main"), F.count(F.lit(1)).alias("groups"))
-    mixed = durable(early.join(main.where("groups > 1").drop("groups"), "piece"))
-    is_main = F.col("group") == F.col("main")
-    smaller = mixed.where((n - at) * (over + under) >= 2 * over * n).select(
-        "piece", *[F.col(c).alias(f"_{c}") for c in ("short", "group", "n", "at")], is_main.alias("_main")
-    )
-    larger = (F.col("_n") < n) | ((F.col("_n") == n) & (F.col("_short") < F.col("short")))
-    enough = F.least(F.col("_n") - F.col("_at"), n - at) * (over + under) >= (F.col("_n") + n) * over
-    possible = larger & enough & (F.col("_group") != F.col("group"))
-    pair = lambda x, y: x.join(y, "piece").where(possible).select(F.col("_short").alias("a"), F.col("short").alias("b"))
-    met = durable(pair(smaller.where(~F.col("_main")), mixed).unionByName(pair(smaller.where("_main"), mixed.where(~is_main))).distinct())
-    for table in (pieces, early, mixed):
-        discard(table)
-    return met
+    held = durable(_set_off(crowd, texts, sets))
+    # Of a pair one at least is not of the lead's group. These are dealt out, and each part meets the whole crowd.
+    parts = held.where(~F.col("main")).groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    whole = held.join(parts, "lead").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.pmod(F.xxhash64(F.lit(5), F.col("short")), F.col("parts")).cast("int")
+    names = ["short", "group", "n", "off", "lost", *[f"m{i}" for i in range(WORDS)]]
+    dealt = held.where(~F.col("main")).join(parts, "lead").select("lead", part.alias("part"), *[F.col(c).alias(f"_{c}") for c in names])
+    both = reduce(Column.__add__, [F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"_m{i}"))) for i in range(WORDS)])
+    shared = F.least(both + F.least("lost", "_lost"), "off", "_off")
+    near = (F.col("off") + F.col("_off") - 2 * shared) * (over + under) <= (F.col("n") + F.col("_n")) * (under - over)
+    once = F.col("main") | (F.col("_short") < F.col("short"))
+    met = dealt.join(whole, ["lead", "part"]).where(once & (F.col("_group") != F.col("group")) & near)
+    pairs = durable(met.select(F.least("short", "_short").alias("a"), F.greatest("short", "_short").alias("b")).distinct())
+    discard(held)
+    return pairs
 
 
 def alike_links(
@@ -113,7 +130,7 @@ def alike_links(
     ``members`` has ``band, short``, only bands of several; ``texts`` has ``short, unit, text`` of these, once each. First all
     texts of a band are compared with one, so that a group of copies, however large, takes a comparison a text. Texts linked so are
     groups; a link between texts of one group would add nothing. Of texts that share a band and are of several groups, each pair is
-    compared; in crowds each pair that :func:`_sharing_rare` does not rule out. With ``most``, pairs whose ``mark`` differs in more
+    compared; in crowds each pair that :func:`_possible` does not rule out. With ``most``, pairs whose ``mark`` differs in more
     bits are not compared.
     """
     lead, found = _led(members, texts, sets, similar, most)
@@ -128,8 +145,12 @@ def alike_links(
     few = rest.join(several.where(F.col("held") <= CROWD), "band")
     other = few.select("band", F.col("short").alias("a"), F.col("group").alias("_group"))
     pairs = few.join(other, "band").where((F.col("a") < F.col("short")) & (F.col("group") != F.col("_group"))).select("a", F.col("short").alias("b"))
-    crowd = durable(rest.join(several.where(F.col("held") > CROWD), "band", "left_semi").select("short", "group").distinct())
-    rare = None if crowd.isEmpty() else _sharing_rare(crowd, texts, sets, similar)
+    # Crowds whose leads are of one group are one, matched by what sets texts off from the group's root.
+    crowded = rest.join(several.where(F.col("held") > CROWD), "band", "left_semi").join(lead, "band")
+    of_lead = grouped.select(F.col("short").alias("lead"), F.col("root").alias("of_lead"))
+    root = F.coalesce("of_lead", "lead")
+    crowd = durable(crowded.join(of_lead, "lead", "left").select(root.alias("lead"), "short", "group", (F.col("group") == root).alias("main")).distinct())
+    rare = None if crowd.isEmpty() else _possible(crowd, texts, sets, similar)
     pairs = (pairs if rare is None else pairs.unionByName(rare)).distinct()
     found.append(durable(_verified(pairs, texts, sets, similar, most)))
     for table in (lead, grouped, rest, several, crowd, rare):

@@ -674,6 +674,33 @@ def test_texts_alike_to_one_that_left_are_linked(spark, crowd):
     assert {tuple(sorted((int(a[1:]), int(b[1:])))) for a, b in links.collect()} == alikes
 
 
+def test_crowd_of_edited_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """In one band: 240 copies of a text with so many edits that most are not alike, and 30 further edited copies of some of them."""
+    rng = random.Random(9)
+    origin = prose(rng, 80).split()
+    copies = [[f"x{i}y{at}" if rng.random() < 0.06 else w for at, w in enumerate(origin)] for i in range(240)]
+    copies += [[w if rng.random() < 0.98 else "zz" for w in rng.choice(copies)] for _ in range(30)]
+    texts = [" ".join(c) for c in [origin, *copies]]
+    cut = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    alikes = [(x, y) for y in range(len(texts)) for x in range(y) if 9 * len(cut[x] & cut[y]) >= 4 * (len(cut[x]) + len(cut[y]))]
+    compared, verified = [], alike._verified
+    monkeypatch.setattr(alike, "_verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    members = spark.createDataFrame([(7, i) for i in range(len(texts))], "band long, short long")
+    table = spark.createDataFrame([(i, f"u{i:04}", t) for i, t in enumerate(texts)], "short long, unit string, text string")
+    found = {tuple(sorted((int(a[1:]), int(b[1:])))) for a, b in alike.alike_links(members, table, lines.at_characters).collect()}
+    assert found <= set(alikes)
+
+    def groups(links):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(found) == groups(alikes)
+    assert sum(compared) <= 8 * len(texts) + len(alikes)
+
+
 def test_documents_alike_that_fingerprints_alone_find(make):
     """Texts of similarity 0.8 or more without a common band, whose fingerprints differ in at most four bits."""
     rng = random.Random(5)
