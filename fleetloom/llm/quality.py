@@ -125,6 +125,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = Non
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
     both = np.vstack([positives, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 0.01
+    del both
     p, u = (positives - mean) / scale, (unlabelled - mean) / scale
     if prior is None:
         if min(len(p), len(u)) < 20:
@@ -141,8 +142,9 @@ def _measured(texts: DataFrame, text_col: str) -> np.ndarray:
     def measure(column: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in column])
 
-    rows = texts.select(measure(F.col(text_col))).collect()
-    return np.array([r[0] for r in rows]).reshape(-1, FEATURES)
+    # As Arrow columns, which take a fraction of the driver's memory that rows of numbers do.
+    rows = texts.select(measure(F.col(text_col)).alias("features")).toArrow()["features"]
+    return np.concatenate([np.empty(0), *(chunk.flatten().to_numpy() for chunk in rows.chunks)]).reshape(-1, FEATURES)
 
 
 def fit_quality(
