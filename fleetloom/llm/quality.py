@@ -70,18 +70,24 @@ class Model:
         return _logistic((rows - self.mean) / self.scale @ self.weights + self.bias)
 
 
-def _descend(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int, rate: float, decay: float):
-    """Weights and bias by gradient descent (Adam) on the logistic loss.
+def _standardised(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The features by mean and scale, and a column of ones for the bias, with nothing in between kept."""
+    made = np.ones((len(rows), len(mean) + 1))
+    np.subtract(rows, mean, out=made[:, :-1])
+    made[:, :-1] /= scale
+    return made
+
+
+def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, rate: float, decay: float):
+    """Weights and bias by gradient descent (Adam) on the logistic loss, of positives and unlabelled with a column of ones.
 
     With a prior, the risk is the non-negative unbiased one: what the positives cost, weighted by the
     prior, plus what the unlabelled cost as negatives less the share of it that the positives among them
     have. Where that difference falls below zero the model has begun to learn the sample by heart,
     and the step goes back up. Without a prior the unlabelled are simply the other class.
     """
-    size = positives.shape[1]
-    weights, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    with_bias = lambda x: np.hstack([x, np.ones((len(x), 1))])
-    p, u = with_bias(positives), with_bias(unlabelled)
+    size = p.shape[1]
+    weights, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, steps + 1):
         at_p, at_u = p @ weights, u @ weights
         as_positive = -p.T @ _logistic(-at_p) / len(p)  # gradients of the mean losses
@@ -123,16 +129,21 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = Non
     """
     if not len(positives) or not len(unlabelled):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
-    both = np.vstack([positives, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.01
-    del both
-    p, u = (positives - mean) / scale, (unlabelled - mean) / scale
+    # A few columns at a time, and each sample let go as soon as it is standardised: the driver has little room.
+    mean, scale = np.empty(FEATURES), np.empty(FEATURES)
+    for at in range(0, FEATURES, 32):
+        both = np.vstack([positives[:, at : at + 32], unlabelled[:, at : at + 32]])
+        mean[at : at + 32], scale[at : at + 32] = both.mean(axis=0), both.std(axis=0) + 0.01
+    p = _standardised(positives, mean, scale)
+    del positives
+    u = _standardised(unlabelled, mean, scale)
+    del unlabelled
     if prior is None:
         if min(len(p), len(u)) < 20:
             prior = 0.5
         else:
             weights, _ = _descend(p[::2], u[::2], None, steps, 0.02, 1e-3)
-            prior = estimate_prior(p[1::2] @ weights, u[1::2] @ weights)
+            prior = estimate_prior(p[1::2, :-1] @ weights, u[1::2, :-1] @ weights)
     weights, bias = _descend(p, u, prior, steps, 0.02, 1e-4)
     return Model(mean, scale, weights, bias, prior)
 
